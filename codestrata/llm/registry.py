@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_rp_forest
 from .exact_topk import op10_exact_topk
+from .ngram_join import op6_count_vector_rtree
 from .quality import op9_compression_quality
 from .sharding import op3_virtual_slots
 from .token_files import op8_token_parquet
@@ -15,6 +16,7 @@ from .token_files import op8_token_parquet
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op3_virtual_slots": op3_virtual_slots,
+    "op6_count_vector_rtree": op6_count_vector_rtree,
     "op8_token_parquet": op8_token_parquet,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_topk": op10_exact_topk,
