@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_rp_forest
 from .exact_topk import op10_exact_topk
+from .mixing import OP4_SQL, op4_temperature_mix
 from .ngram_join import op6_count_vector_rtree
 from .quality import op9_compression_quality
+from .sentencepiece_fst import op2_sentencepiece_fst
 from .sharding import op3_virtual_slots
 from .token_files import op8_token_parquet
+from .url_filter import OP5_SQL, op5_temporal_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
+    "op2_sentencepiece_fst": op2_sentencepiece_fst,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_temperature_mix": op4_temperature_mix,
+    "op5_temporal_url_filter": op5_temporal_url_filter,
     "op6_count_vector_rtree": op6_count_vector_rtree,
     "op8_token_parquet": op8_token_parquet,
     "op9_compression_quality": op9_compression_quality,
@@ -23,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_temperature_mix": OP4_SQL,
+    "op5_temporal_url_filter": OP5_SQL,
     "op10_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
