@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_rp_forest
+from .attention_lm import op7_attention_lm
 from .exact_topk import op10_exact_topk
 from .mixing import OP4_SQL, op4_temperature_mix
 from .ngram_join import op6_count_vector_rtree
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_temperature_mix": op4_temperature_mix,
     "op5_temporal_url_filter": op5_temporal_url_filter,
     "op6_count_vector_rtree": op6_count_vector_rtree,
+    "op7_attention_lm": op7_attention_lm,
     "op8_token_parquet": op8_token_parquet,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_topk": op10_exact_topk,
