@@ -71,9 +71,9 @@ def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
         F.max("captures").alias("captures"),
         (F.count("entry") > 0).alias("blocked"),
         F.count("entry").alias("entries"),
-        F.min(F.concat_ws(":", "kind", "entry")).alias("first_entry"),
+        F.min(F.concat("kind", F.lit(":"), "entry")).alias("first_entry"),
         F.min("valid_from").alias("since"),
-    ).withColumn("first_entry", F.when(F.col("blocked"), F.col("first_entry")))
+    )
 
 
 def stand_in_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
