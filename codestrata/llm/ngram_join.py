@@ -15,15 +15,16 @@ the counts, so counting by sample windows costs no exactness. Steps:
    pairs. In windows of a task, shingles of three sets or more are counted; the ``FREQUENT`` commonest go last.
 2. ``_slabs``: (shingle, class) for each slab of each class. Slabs of one class need no tree. The others are
    marked in a bit table of ``FILTER_BITS`` bits, of fixed size however many they are; a wrong mark only costs.
-3. ``_entries``: for the marked slabs, (shingle, class, point); and the whole set of a class that is in one.
+3. ``_entries``: for the marked slabs, (shingle, class, point).
 4. ``_trees``: an R-tree a slab joins its points; pairs that the bound lets pass are united, and a class is
-   sent on with its united group, not with its pairs. Groups that meet over slabs are joined into blocks.
-5. ``_solve``: a block's sets meet once. An R-tree over them, then verification, nearest first, skipping pairs
-   that are connected already. A block beyond ``TILE`` sets is solved in tiles, then among one set of each tile
+   sent on with its united group, not with its pairs. Groups that meet over slabs are joined into blocks, whose
+   classes are marked in a bit table likewise.
+5. ``_solve``: a block's sets, made once more from the texts, meet once. An R-tree over them, then verification,
+   nearest first, skipping pairs that are connected already. A block beyond ``TILE`` sets is solved in tiles, then among one set of each tile
    group, then what is still apart is checked against every tile, so that no task holds a hot block.
 
-Rows that move: a quarter of all shingles at 16 bytes in step 2, and the points and sets of those texts alone
-that share a rare shingle. No pair is emitted before it is verified, and of a hot group not all pairs are.
+Rows that move: a quarter of all shingles at 16 bytes in step 2, the points of texts that share a rare
+shingle, and the sets of texts in blocks. Hashing a text again costs less than moving its set. No pair is emitted before it is verified, and of a hot group not all pairs are.
 
 Dirty input. Null and empty texts and texts without words have an empty set and link with nothing, equal or
 not; their component is their own id. Fewer words than five make one shingle. Repeated rows and equal sets are
@@ -46,7 +47,8 @@ THRESHOLD = 75
 FREQUENT = 1 << 19
 WINDOW = 3_000_000
 FILTER_BITS = 1 << 28
-BLOCK_BITS = 1 << 16
+CLASS_BITS = 1 << 26
+BLOCK_BITS = 1 << 20
 TILE = 96
 LEAF = 8
 
@@ -205,28 +207,41 @@ def _marks(batches):
         yield counted()
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: int) -> np.ndarray:
-    """The slabs of a set: its first shingles, frequent ones last."""
-    n = len(s)
-    p = n - -(-t * n // 100) + 1
-    at = np.searchsorted(frequent, s)
-    at[at == len(frequent)] = 0
-    common = frequent[at] == s if len(frequent) else np.zeros(n, bool)
-    rare = s[~common]
-    if len(rare) >= p:
-        return rare[:p]
-    rest = s[common]
-    return np.concatenate([rare, rest[np.argsort(rank[at[common]], kind="stable")][: p - len(rare)]])
+class Order:
+    """The global order of shingles: those in no list of frequent ones by hash, then those by their count."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray):
+        by = np.argsort(h)
+        self.frequent, self.rank = h[by], n[by]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def prefix(self, s: np.ndarray, t: int) -> np.ndarray:
+        """The slabs of a set: its first shingles."""
+        n = len(s)
+        p = n - -(-t * n // 100) + 1
+        common = self.maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        which = np.flatnonzero(common)
+        if len(which):
+            at = np.searchsorted(self.frequent, s[which])
+            at[at == len(self.frequent)] = 0
+            hit = self.frequent[at] == s[which]
+            common[which[~hit]] = False
+            at = at[hit]
+        rare = s[~common]
+        if len(rare) >= p:
+            return rare[:p]
+        return np.concatenate([rare, s[common][np.argsort(self.rank[at], kind="stable")][: p - len(rare)]])
 
 
 def _slabs(frequent, t: int):
     def run(batches):
-        order, rank = frequent.value
+        order = frequent.value
         for b in batches:
             for rows in chunked((x,) for x in bytes_of(b.column("bytes"))):
                 own = {signature(s): s for s in shingle_sets([r[0] for r in rows]) if len(s)}
                 if own:
-                    p = [prefix(s, order, rank, t) for s in own.values()]
+                    p = [order.prefix(s, t) for s in own.values()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p]))], names=["h", "class"]
                     )
@@ -238,7 +253,12 @@ def _place(h: np.ndarray, bits: int) -> np.ndarray:
     return mix(h.view(np.uint64)) & np.uint64(bits - 1)
 
 
-def _shared(bits: int, block_bits: int):
+def _positions(h: np.ndarray, bits: int) -> pa.RecordBatch:
+    at = np.unique(_place(h, bits)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array((at // BLOCK_BITS).astype(np.int32)), pa.array((at % BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
+
+
+def _shared(bits: int):
     """Of a partition of (h, class): where in the bit table the shingles of two classes or more are."""
 
     def run(batches):
@@ -247,43 +267,71 @@ def _shared(bits: int, block_bits: int):
             h, c = (np.concatenate(x) for x in zip(*cols, strict=True))
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
-            again = (h[1:] == h[:-1]) & (c[1:] != c[:-1])
-            at = np.unique(_place(np.unique(h[1:][again]), bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at // block_bits).astype(np.int32)), pa.array((at % block_bits).astype(np.int32))], names=["block", "bit"])
+            yield _positions(np.unique(h[1:][(h[1:] == h[:-1]) & (c[1:] != c[:-1])]), bits)
 
     return run
 
 
-def _bitmap(block_bits: int):
-    def run(t: pa.Table) -> pa.Table:
-        bits = np.zeros(block_bits, np.uint8)
-        bits[t.column("bit").to_numpy()] = 1
-        return pa.table({"block": t.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def _marked(bits: int):
+    def run(batches):
+        for b in batches:
+            yield _positions(b.column("class").to_numpy(), bits)
+
+    return run
+
+
+def _bitmap(t: pa.Table) -> pa.Table:
+    bits = np.zeros(BLOCK_BITS, np.uint8)
+    bits[t.column("bit").to_numpy()] = 1
+    return pa.table({"block": t.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def bit_table(positions: DataFrame, n: int):
+    """A broadcast table of n bits, whatever the number of positions."""
+    maps = positions.groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
+    bits = np.zeros(n // 8, np.uint8)
+    for block, raw in zip(maps.column("block").to_pylist(), maps.column("bits").to_pylist(), strict=True):
+        bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, np.uint8)
+    return positions.sparkSession.sparkContext.broadcast(bits)
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _place(h, len(bits) * 8)
+    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def _classes(batches):
+    """{class: set} of about a megabyte of texts after another."""
+    for b in batches:
+        for rows in chunked((x,) for x in bytes_of(b.column("bytes"))):
+            yield {signature(s): s for s in shingle_sets([r[0] for r in rows]) if len(s)}
+
+
+def _entries(frequent, marked, t: int):
+    """(h, class, point) of marked slabs."""
+
+    def run(batches):
+        order, bits = frequent.value, marked.value
+        for own in _classes(batches):
+            p = [x[_in(bits, x)] for x in (order.prefix(s, t) for s in own.values())]
+            n = np.array([len(x) for x in p])
+            if n.sum():
+                points = pa.array([point(s).tobytes() if k else b"" for s, k in zip(own.values(), n, strict=True)], pa.binary())
+                at = np.repeat(np.arange(len(n)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.array([*own], np.int64)[at]), points.take(pa.array(at))], names=["h", "class", "body"])
 
     return run
 
 
-def _entries(frequent, table_, t: int):
-    """kind 0: (h, class, point) of marked slabs; kind 1: (class, whole set)."""
-    names = ["kind", "h", "class", "body"]
+def _sets(marked):
+    """(class, whole set) of marked classes."""
 
     def run(batches):
-        (order, rank), bits = frequent.value, table_.value
-        for b in batches:
-            for rows in chunked((x,) for x in bytes_of(b.column("bytes"))):
-                own = {signature(s): s for s in shingle_sets([r[0] for r in rows]) if len(s)}
-                kind, hs, cs, body = [], [], [], []
-                for g, s in own.items():
-                    p = prefix(s, order, rank, t)
-                    at = _place(p, len(bits) * 8)
-                    p = p[(bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1]
-                    if len(p):
-                        kind += [0] * len(p) + [1]
-                        hs += [*p.view(np.int64).tolist(), None]
-                        cs += [g] * (len(p) + 1)
-                        body += [point(s).tobytes()] * len(p) + [s.tobytes()]
-                if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(hs, pa.int64()), pa.array(cs, pa.int64()), pa.array(body, pa.binary())], names=names)
+        for own in _classes(batches):
+            keys = np.array([*own], np.int64)
+            keys = keys[_in(marked.value, keys)].tolist()
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([own[k].tobytes() for k in keys], pa.binary())], names=["class", "body"])
 
     return run
 
@@ -350,24 +398,17 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
     marks = materialize(texts.mapInArrow(_marks, "kind int, doc_id long, n long, class long"), "marks")
     common = marks.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).toArrow()
-    h, n = common.column("class").to_numpy().view(np.uint64), common.column("n").to_numpy()
-    by = np.argsort(h)
-    frequent = sc.broadcast((h[by], n[by]))  # FREQUENT entries at most
+    frequent = sc.broadcast(Order(common.column("class").to_numpy().view(np.uint64), common.column("n").to_numpy()))  # FREQUENT entries at most
 
     slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long").repartition("h")
-    at = slabs.mapInArrow(_shared(FILTER_BITS, BLOCK_BITS), "block int, bit int")
-    maps = at.groupBy("block").applyInArrow(_bitmap(BLOCK_BITS), "block int, bits binary").toArrow()  # FILTER_BITS at most
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for block, raw in zip(maps.column("block").to_pylist(), maps.column("bits").to_pylist(), strict=True):
-        bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, np.uint8)
-    marked = sc.broadcast(bits)
+    marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS), "block int, bit int"), FILTER_BITS)
+    entries = texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "h long, class long, body binary")
+    blocks = components(entries.repartition("h").mapInArrow(_trees(t), "a long, b long")).withColumnsRenamed({"node": "class", "label": "block"})
 
-    entries = materialize(texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "kind int, h long, class long, body binary"), "entries")
-    groups = entries.where("kind = 0").select("h", "class", "body").repartition("h").mapInArrow(_trees(t), "a long, b long")
-    blocks = components(groups).withColumnsRenamed({"node": "class", "label": "block"})
     size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     placed = blocks.join(size, "block").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    sets = entries.where("kind = 1").select("class", "body")
+    wanted = bit_table(blocks.select("class").mapInArrow(_marked(CLASS_BITS), "block int, bit int"), CLASS_BITS)
+    sets = texts.select("bytes").mapInArrow(_sets(wanted), "class long, body binary")
     held = materialize(
         sets.join(placed, "class").select("block", "tile", "tiles", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe")), "blocks"
     )
