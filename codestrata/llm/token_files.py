@@ -8,9 +8,8 @@ offsets reads no ids at all. ``part`` is the place of the file in the order; a d
 stream is its ``local_start`` plus the tokens of all earlier parts, a sum over as many numbers as there are
 files.
 
-Encoding asks the tokenizers library for every distinct piece (the text between the boundaries that the
-tokenizer's own pattern sets; merges never cross them) once a worker and keeps a bounded cache of the answers.
-Texts with characters above U+024F, about whose class two Unicode tables might differ, go to the library whole.
+Encoding asks the tokenizers library for every distinct word once a worker (see ``Encoder``) and keeps a
+bounded cache of the answers.
 
 Dirty input. Null text counts as empty: one end id. Null ids come first; equal ids are ordered by a hash of
 the text, then the text; repeated rows are all written. An empty table gives an empty folder with the same
@@ -19,13 +18,14 @@ columns. Other columns are not looked at.
 
 from __future__ import annotations
 
-import itertools
+import os
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,43 +38,105 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
-CACHE = 400_000
+CACHE = 500_000
+MARKS = ".,;:!?"
 #: Tokens in an Arrow batch that a task hands back.
-BATCH_TOKENS = 2_000_000
-PLAIN = regex.compile("[\x00-ɏ]*")
+BATCH_TOKENS = 1_000_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 1 << 20
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
 
 
 class Encoder:
-    """encode() of the library for whole texts, by way of distinct pieces."""
+    """encode() of the library for whole texts, by way of distinct units.
+
+    A unit is a word with the single space or line feed before it. The tokenizer's pattern always ends a piece
+    before a lone space between two characters that aren't white space, and before and after such a line
+    feed, and merges stay within pieces, so units are encoded alike alone and in place.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, new = {}, list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[w] = tuple(e.ids)
-
-    def encode(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        words = self.split(text)
-        try:
-            got = [*map(self.cache.__getitem__, words)]
-        except KeyError:
-            self.pieces(words)
-            got = [*map(self.cache.__getitem__, words)]
-        return np.fromiter(itertools.chain.from_iterable(got), np.int32)
+        (self.nul,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask_units(self, units: list[str]) -> list[bytes]:
+        """Many units in one text, with a NUL after each: it is in no merge, so its id marks the ends."""
+        ids = self.tokenizer.encode_batch_fast(["\0".join(units) + "\0"], add_special_tokens=False)[0].ids
+        flat = np.array(ids, np.int32)
+        ends = np.flatnonzero(flat == self.nul)
+        raw, out, at = flat.tobytes(), [], 0
+        for end in (ends * 4).tolist():
+            out.append(raw[at:end])
+            at = end + 4
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, odd = [], []
+        for w in new:  # what ends in white space isn't cut alike before a NUL
+            (odd if "\0" in w or w[-1:].isspace() else plain).append(w)
+        for i in range(0, len(plain), 256):
+            some = plain[i : i + 256]
+            self.cache.update(zip(some, self._ask_units([w if w[:1] == "\n" else " " + w for w in some]), strict=True))
+        if odd:
+            self.cache.update(zip(odd, self._ask([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
+
+    def _add(self, parts: set[str], whole: bool) -> set[str]:
+        """Puts units into the cache; with ``whole``, returns those that are none (empty, or white space inside).
+
+        Two generations: when the younger is full it becomes the elder, and what is asked for again moves back, so
+        frequent words stay and rare ones go. A letter or digit before closing marks ends a piece, so a word
+        with such marks is the word and the marks.
+        """
+        new, tailed, bad = [], [], set()
+        for w in parts:
+            if (known := self.old.get(w)) is not None:
+                self.cache[w] = known
+                continue
+            if whole and (not w or w.split() != [w[1:] if w[0] == "\n" else w]):
+                bad.add(w)
+                continue
+            core = w.rstrip(MARKS)
+            if core == w or core[-1:].isalnum() is False:
+                new.append(w)
+                continue
+            tailed.append((w, core))
+            if core not in self.cache:
+                if (known := self.old.get(core)) is not None:
+                    self.cache[core] = known
+                else:
+                    new.append(core)
+        self._learn([*dict.fromkeys(new)])
+        for w, core in tailed:
+            tail = w[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._ask([tail])[0]
+            self.cache[w] = self.cache[core] + self.tails[tail]
+        return bad
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        bad = self._add({w for parts in split for w in parts[1:]}.difference(self.cache), True)
+        for i, text in enumerate(texts):
+            if bad and not bad.isdisjoint(split[i][1:]) or split[i][0].split() != split[i][:1]:
+                split[i] = LONE_SPACE.split(text)
+                self._add(set(split[i][1:]).difference(self.cache), False)
+        heads = self._ask([parts[0] for parts in split])
+        return [np.frombuffer(head + b"".join(map(self.cache.__getitem__, parts[1:])), np.int32) for head, parts in zip(heads, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,9 +164,14 @@ def _encode(name: str, end_id: int):
 
         held = 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                rows.append((doc, np.append(own.encode(text.as_py() or ""), np.int32(end_id))))
-                held += len(rows[-1][1])
+            size, first = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()), 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BATCH_BYTES)))
+                own_rows = b.slice(first, last - first)
+                first = last
+                encoded = own.encode_many([t or "" for t in own_rows.column("text").to_pylist()])
+                rows += [(doc, np.append(x, np.int32(end_id))) for doc, x in zip(own_rows.column("doc_id").to_pylist(), encoded, strict=True)]
+                held += sum(map(len, encoded))
                 if held >= BATCH_TOKENS:
                     yield flush()
                     held = 0
@@ -121,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text").select("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#doc_id", "false")
