@@ -18,3 +18,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from . import history, logs, review  # noqa: E402, F401  (they register themselves)
