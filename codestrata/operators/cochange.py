@@ -31,7 +31,9 @@ def candidates(evidence: DataFrame, commit_files: DataFrame, config: CoChangeCon
     # a commit without a readable file list still counts, with weight 1
     used = evidence.select("source", "sha", "author_mail", "author_time").distinct().join(sizes, "sha", "left")
     used = used.withColumn("w", weight(F.coalesce("n_files", F.lit(0)), config)).where("w > 0")
-    used = used.withColumn("unit", F.when(F.col("author_mail").isNotNull() & F.col("author_time").isNotNull(), author_unit(F.col("author_mail"), F.col("author_time"), config)))
+    known = F.col("author_mail").isNotNull() & F.col("author_time").isNotNull()
+    active = config.author_window_days > 0
+    used = used.withColumn("unit", F.when(known, author_unit(F.col("author_mail"), F.col("author_time"), config)) if active else F.lit(None).cast("string"))
     per_source = used.groupBy("source").agg(F.countDistinct("sha").alias("den"), F.sum("w").alias("sum_w"), F.countDistinct("unit").alias("units"))
     pairs = used.join(files, "sha").where(F.col("path") != F.col("source"))
     if exclude_all_sources:
