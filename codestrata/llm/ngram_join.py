@@ -7,14 +7,16 @@ sets. Every link is found: the bounds only ever skip pairs that cannot link.
 
 In 32 or more dimensions the box of unrelated points covers about everything, so one tree over a corpus would
 compare all pairs. The root of the index therefore has one slab for every shingle: a set of n shingles lies in
-the slabs of its first n - ceil(0.75 n) + 1 shingles in one global order, since two sets that share none of
-those cannot reach the threshold. The order puts shingles seen in several texts last; it is an order whatever
-the counts, so counting by sample windows costs no exactness. Steps:
+the slabs of its first n - ceil(0.75 n) + 1 shingles in one global order. The first shingle that two linked
+sets share is among those of the larger, and among the first n - ceil(6/7 n) + 1 of the smaller (its home
+slabs), so a slab that is home to none is empty. The order puts long shingles first and those seen in several
+texts last; it is an order whatever the counts, so counting by sample windows costs no exactness. Steps:
 
 1. ``_marks``: each text's set size and 64-bit set signature; equal signatures are one class, copies need no
    pairs. In windows of a task, shingles of three sets or more are counted; the ``FREQUENT`` commonest go last.
-2. ``_slabs``: (shingle, class) for each slab of each class. Slabs of one class need no tree. The others are
-   marked in a bit table of ``FILTER_BITS`` bits, of fixed size however many they are; a wrong mark only costs.
+2. ``_slabs``: (shingle, class, home) for each slab of each class. Slabs of one class, or without a home, need
+   no tree. The others are marked in a bit table of ``FILTER_BITS`` bits, of fixed size however many they
+   are; a wrong mark only costs.
 3. ``_entries``: for the marked slabs, (shingle, class, point).
 4. ``_trees``: an R-tree a slab joins its points; pairs that the bound lets pass are united, and a class is
    sent on with its united group, not with its pairs. Groups that meet over slabs are joined into blocks, whose
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import commonest, materialize, table
 from .components import components
-from .text import chunked, mix, shingle_sets
+from .text import chunked, groups, mix, shingle_sets
 
 THRESHOLD = 75
 FREQUENT = 1 << 19
 WINDOW = 3_000_000
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 CLASS_BITS = 1 << 26
 BLOCK_BITS = 1 << 20
 TILE = 96
@@ -67,7 +69,7 @@ def point(s: np.ndarray) -> np.ndarray:
     """Counts by hash group; groups double until every count fits a byte."""
     bits = max(5, int(np.ceil(np.log2(max(1, len(s)) / 8))))
     while True:
-        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        counts = np.bincount(groups(s, bits), minlength=1 << bits)
         if counts.max() < 256:
             return counts.astype(np.uint8)
         bits += 1
@@ -155,17 +157,17 @@ def may_link(points: list[np.ndarray], sizes: np.ndarray, t: int) -> Union:
     return found
 
 
-def links(sets: list[np.ndarray], t: int, groups: list[int] | None = None, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that connect what is linked; of pairs connected already none. ``groups``: known
-    connections. ``probes``: only pairs with one of these."""
+def links(sets: list[np.ndarray], t: int, known: list[int] | None = None, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that connect what is linked; of pairs connected already none. ``known``: groups
+    connected before. ``probes``: only pairs with one of these."""
     sizes = np.array([len(s) for s in sets])
     found, out = Union(len(sets)), []
-    if groups is not None:
+    if known is not None:
         first: dict[int, int] = {}
-        for i, g in enumerate(groups):
+        for i, g in enumerate(known):
             found.join(first.setdefault(g, i), i)
     bits = max(5, min(10, int(np.ceil(np.log2(max(1, sizes.max()) / 8)))))
-    points = np.stack([np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for s in sets]).astype(np.uint32)
+    points = np.stack([np.bincount(groups(s, bits), minlength=1 << bits) for s in sets]).astype(np.uint32)
     for i, j, bound in RTree(points, sizes).pairs(t):
         for k in np.argsort(-bound, kind="stable").tolist():
             x, y = int(i[k]), int(j[k])
@@ -242,8 +244,9 @@ def _slabs(frequent, t: int):
                 own = {signature(s): s for s in shingle_sets([r[0] for r in rows]) if len(s)}
                 if own:
                     p = [order.prefix(s, t) for s in own.values()]
+                    home = [np.arange(len(x)) <= len(s) - -(-2 * t * len(s) // (100 + t)) for x, s in zip(p, own.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p]))], names=["h", "class"]
+                        [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p])), pa.array(np.concatenate(home))], names=["h", "class", "home"]
                     )
 
     return run
@@ -259,15 +262,17 @@ def _positions(h: np.ndarray, bits: int) -> pa.RecordBatch:
 
 
 def _shared(bits: int):
-    """Of a partition of (h, class): where in the bit table the shingles of two classes or more are."""
+    """Of a partition of (h, class, home): where in the bit table the slabs of two classes or more are."""
 
     def run(batches):
-        cols = [(b.column("h").to_numpy(), b.column("class").to_numpy()) for b in batches if b.num_rows]
+        cols = [(b.column("h").to_numpy(), b.column("class").to_numpy(), b.column("home").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if cols:
-            h, c = (np.concatenate(x) for x in zip(*cols, strict=True))
-            order = np.lexsort((c, h))
-            h, c = h[order], c[order]
-            yield _positions(np.unique(h[1:][(h[1:] == h[:-1]) & (c[1:] != c[:-1])]), bits)
+            h, c, home = (np.concatenate(x) for x in zip(*cols, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, c, home = h[order], c[order], home[order]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            several = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
+            yield _positions(h[begin][several & np.logical_or.reduceat(home, begin)], bits)
 
     return run
 
@@ -290,8 +295,8 @@ def bit_table(positions: DataFrame, n: int):
     """A broadcast table of n bits, whatever the number of positions."""
     maps = positions.groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
     bits = np.zeros(n // 8, np.uint8)
-    for block, raw in zip(maps.column("block").to_pylist(), maps.column("bits").to_pylist(), strict=True):
-        bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, np.uint8)
+    for block, raw in zip(maps.column("block").to_pylist(), maps.column("bits"), strict=True):
+        bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
     return positions.sparkSession.sparkContext.broadcast(bits)
 
 
@@ -397,10 +402,11 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     sc = spark.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
     marks = materialize(texts.mapInArrow(_marks, "kind int, doc_id long, n long, class long"), "marks")
-    common = marks.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).toArrow()
+    common = marks.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n"))
+    common = commonest(common, "n", FREQUENT).toArrow()
     frequent = sc.broadcast(Order(common.column("class").to_numpy().view(np.uint64), common.column("n").to_numpy()))  # FREQUENT entries at most
 
-    slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long").repartition("h")
+    slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long, home boolean").repartition("h")
     marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS), "block int, bit int"), FILTER_BITS)
     entries = texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "h long, class long, body binary")
     blocks = components(entries.repartition("h").mapInArrow(_trees(t), "a long, b long")).withColumnsRenamed({"node": "class", "label": "block"})

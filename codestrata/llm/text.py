@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -43,6 +43,10 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words of each text)."""
+    return _words(texts)[:2]
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
     space = _space[buf]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
@@ -52,23 +56,37 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     limits = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(begin, limits), prepend=0)
-    return hashes, counts
+    return hashes, counts, end - begin
+
+
+def _ranked(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(h) >> np.uint64(6) | (np.uint64(63) - np.minimum(length // 2, 63).astype(np.uint64)) << np.uint64(58)
+
+
+def groups(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hash groups 0 .. 2**bits - 1 of shingles; with one bit less, neighbours fall together."""
+    return ((h << np.uint64(6)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's sorted distinct shingles; fewer words than a shingle make one of all of them; none: empty."""
-    words, counts = word_hashes(texts)
+    """Each text's sorted distinct shingles; fewer words than a shingle make one of all of them; none: empty.
+
+    The upper 6 bits of a shingle are smaller the longer its words are together, so sorting by hash puts long
+    shingles, which chance repeats least, first; the other 58 bits are the hash.
+    """
+    words, counts, lengths = _words(texts)
     n = len(words)
     runs = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         runs += words[k : k + len(runs)] * _places[k]
-    runs = mix(runs)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    runs = _ranked(runs, total[SHINGLE:] - total[:-SHINGLE] if n >= SHINGLE else total[:0])
     out, at = [], 0
     for c in counts.tolist():
         if c >= SHINGLE:
             out.append(np.unique(runs[at : at + c - SHINGLE + 1]))
         elif c:
-            out.append(mix((words[at : at + c] * _places[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c)))
+            out.append(_ranked((words[at : at + c] * _places[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c), lengths[at : at + c].sum(keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += c
