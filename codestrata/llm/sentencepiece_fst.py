@@ -37,7 +37,10 @@ from .common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 250_000
+#: Pairs of pieces whose acceptance is remembered.
+PAIRS = 300_000
+MARKS = ".,;:!?"
 BATCH_TOKENS = 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -89,10 +92,14 @@ class Transducer:
                 self.prefix, self.trim, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         if self.kind not in (UNIGRAM, BPE):
             raise NotImplementedError(f"model type {self.kind}")
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: The lexicon's states: every beginning of a piece, with the piece's id where one ends.
+        self.states = {p[:n]: None for p in self.ids for n in range(1, len(p) + 1)}
+        self.states = {p: self.ids.get(p, -1) for p in self.states}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # what no piece holds ends one
         self.by_units = not any(SPACE in p.lstrip(SPACE) for p in self.ids) and self.escape
         self.unknown_cost = 10 - min(self.score, default=0.0)
-        self.passes: dict[tuple[str, str], bool] = {}
+        self.passes: dict[str | None, dict[str, bool]] = {}
+        self.n_passes = 0
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -133,32 +140,43 @@ class Transducer:
         return parts
 
     def accepts(self, u: str | None, v: str) -> bool:
+        """Whether piece v may follow piece u (None: a start, or a character outside the lexicon)."""
         if self.kind == UNIGRAM:
             return True
-        key = (u or "", v)
-        if key not in self.passes:
-            if len(self.passes) > 2_000_000:
-                self.passes = {}
-            self.passes[key] = self.merged(key[0] + v) == ([u, v] if u else [v])
-        return self.passes[key]
+        return self.merged((u or "") + v) == ([u, v] if u else [v])
 
     def shortest(self, unit: str) -> list[int]:
         """Ids on the shortest path through the lattice of a normalised unit."""
-        n = len(unit)
+        if self.n_passes > PAIRS:
+            self.passes, self.n_passes = {}, 0
+        states, n, bpe = self.states, len(unit), self.kind == BPE
         cost, last, back = [math.inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            if cost[i] == math.inf:
+            here = cost[i]
+            if here == math.inf:
                 continue
-            j, u = i + 1, last[i]
-            while j <= n and (v := unit[i:j]) in self.starts:
-                if v in self.ids:
-                    c = cost[i] + (1.0 if self.kind == BPE else -self.score[self.ids[v]])
-                    if c < cost[j] and self.accepts(u, v):
+            u = last[i]
+            after = self.passes.get(u)
+            if after is None:
+                after = self.passes[u] = {}
+            for j in range(i + 1, n + 1):
+                v = unit[i:j]
+                k = states.get(v)
+                if k is None:
+                    break
+                if k < 0:
+                    continue
+                c = here + 1.0 if bpe else here - self.score[k]
+                if c < cost[j]:
+                    ok = after.get(v)
+                    if ok is None:
+                        ok = after[v] = self.accepts(u, v)
+                        self.n_passes += 1
+                    if ok:
                         cost[j], last[j], back[j] = c, v, i
-                j += 1
-            if unit[i] not in self.ids and cost[i] + self.unknown_cost < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + self.unknown_cost, None, i
+            if unit[i] not in self.ids and here + self.unknown_cost < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = here + self.unknown_cost, None, i
         if cost[n] == math.inf:
             raise ValueError(f"no path for {unit[:40]!r}")
         out, i = [], n
@@ -170,13 +188,25 @@ class Transducer:
             i = back[i]
         return out[::-1]
 
+    def _path(self, u: str) -> bytes:
+        """A unit's ids. Closing marks are a unit of their own where no piece holds the boundary before them."""
+        core = u.rstrip(MARKS)
+        if core and core != u and u[len(core) - 1 : len(core) + 1] not in self.inside:
+            return self._known(core) + self._known(u[len(core) :])
+        return np.array(self.shortest(u), "<i4").tobytes()
+
+    def _known(self, u: str) -> bytes:
+        out = self.cache.get(u)
+        if out is None:
+            out = self.old.get(u)
+            self.cache[u] = out = self._path(u) if out is None else out
+        return out
+
     def _add(self, units: list[str]) -> None:
         if len(self.cache) > CACHE:  # the younger generation becomes the elder
             self.old, self.cache = self.cache, {}
-        for u in set(units):
-            if u not in self.cache:
-                known = self.old.get(u)
-                self.cache[u] = known if known is not None else np.array(self.shortest(u), "<i4").tobytes()
+        for u in set(units).difference(self.cache):
+            self._known(u)
 
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
