@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-FIT_ROWS = 12000
+FIT_ROWS = 6000
 FIT_BYTES = 65536
 DICT_BYTES = 65536
 PIECE = 512
@@ -132,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: in
         .join(F.broadcast(known), "doc_id")  # FIT_ROWS rows at most
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(rows)
-        .select("text", "quality")
-        .collect()
+        .select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), "quality")
+        .toArrow()
     )
-    return Model([(r["text"] or "").encode() for r in got], [r["quality"] for r in got])
+    return Model(got.column("text").to_pylist(), got.column("quality").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
