@@ -148,3 +148,63 @@ def test_symbols(spark):
     assert (got["x.go", "Run"]["el"], got["x.go", "Run"]["exact"]) == (2, False)
     assert {("open", "join"), ("inner", "open"), ("inner", "Box"), ("main", "inner")} <= as_set(symbols.calls(files), "caller", "callee")
     assert as_set(symbols.imports(files), "src", "ln", "kind") == {("os", 1, "import"), ("a.b", 2, "import")}
+
+
+def test_signatures(spark):
+    from codestrata.operators import signatures as S
+
+    sigs = ["fn f(a: Map<K, V>, b: [u8; 2]) -> X", "f()", "f( )", "const x", "f(a => g(a, 1), b)", None]
+    got = [r[0] for r in table(spark, [(s,) for s in sigs], "s string").select(S.parameters(F.col("s"))).collect()]
+    assert [g if g is None else len(g) for g in got] == [2, 0, 0, None, 2, None]
+    rows = [
+        ("function", "typescript", "f(a: X)", "f(a: X, b?: Y, c = 1)", None, "compatible"),
+        ("function", "typescript", "f(a: X)", "f(a: X, b: Y)", None, "modified"),
+        ("function", "typescript", "f(a: X)", "f(a: X, ...r: Y[])", True, "closed"),
+        ("function", "python", "def f(a):", "def f(a, *, b=1):", None, "compatible"),
+        ("function", "python", "def f(a):", "def f(a, *):", None, "modified"),
+        ("function", "python", "def f(a, **k):", "def f(a, **k, b=1):", None, "modified"),
+        ("function", "python", "def f():", "def f(b=1):", None, "compatible"),
+        ("constant", "rust", "pub const N: usize = 1;", "pub const N: usize = 2;", None, "value"),
+        ("constant", "rust", "pub static mut N: usize = 1;", "pub static mut N: usize = 2;", None, "modified"),
+        ("variable", "typescript", "export const A = 1", "export const A = 2", None, "value"),
+        ("variable", "typescript", "export const A = {a: 1}", "export const A = {a: 2}", None, "modified"),
+        ("variable", "typescript", "export let A = 1", "export let A = 2", None, "modified"),
+    ]
+    df = table(spark, rows, "k string, l string, o string, n string, c boolean, want string")
+    for r in df.withColumn("got", S.classify(F.col("k"), F.col("l"), F.col("o"), F.col("n"), F.col("c"))).collect():
+        assert r["got"] == r["want"], r
+    assert [r[0] for r in df.limit(2).select(S.same_arity(F.col("o"), F.col("n"))).collect()] == [False, False]
+
+
+def test_impact(spark):
+    from codestrata.operators import impact as I
+
+    refs = table(spark, [("b.ts", "typescript", "f", 3, "g", False), ("a.ts", "typescript", "f", 9, "h", False), ("c.py", "python", "f", 1, "x", False), ("d.ts", "tsx", "m", 2, "y", False), ("e.ts", "tsx", "m", 4, "z", False), ("t.ts", "tsx", "f", 1, "t", True)], "ref_path string, ref_lang string, name string, line int, caller string, is_test boolean")
+    symbols = table(spark, [("src/a.ts", "typescript", "f", None, "modified"), ("src/a.ts", "typescript", "C.m", "C", "removed")], "path string, lang string, symbol string, owner string, change string")
+    owners = table(spark, [("d.ts", "C")], "ref_path string, name string")
+    got = as_set(I.candidates(refs, symbols, owners), "ref_path", "symbol")
+    assert got == {("b.ts", "f"), ("a.ts", "f"), ("d.ts", "C.m")}
+    schema = "id int, is_import boolean, change string, function_value boolean, same_arity boolean, reexport_move boolean, confidence string, name string, ref_lang string, owner string, direct_import boolean, local_shadow boolean, macro_callee boolean, in_macro boolean, has_evidence boolean"
+    none = [None] * 5
+    rows = [
+        (1, True, "modified", None, None, None, "exact", "f", "tsx", None, *none),
+        (2, True, "removed", None, None, None, "exact", "f", "tsx", None, False, None, None, None, None),
+        (3, False, "modified", True, True, None, "exact", "f", "rust", None, *none),
+        (4, False, "modified", True, False, None, "bare", "get", "go", None, *none),
+        (5, False, "modified", None, None, None, "exact", "f", "tsx", None, False, None, None, None, None),
+        (6, False, "modified", None, None, None, "exact", "f", "rust", None, None, None, None, False, False),
+        (7, False, "modified", None, None, None, "exact", "f", "rust", None, *none),
+        (8, False, "modified", None, None, None, "exact", "f", "rust", "T", None, None, True, None, None),
+    ]
+    routes = {r["id"]: r["r"] for r in table(spark, rows, schema).select("id", I.route(["get"]).alias("r")).collect()}
+    assert routes == {1: "informational", 2: "normal", 3: "informational", 4: "low", 5: "low", 6: "low", 7: "normal", 8: "normal"}
+    routed = table(spark, [("p", 1, "f", "c", "low"), ("p", 1, "f", "c", "normal"), ("p", 1, "a", "c", "normal"), ("q", 2, "f", "d", "informational")], "path string, line int, symbol string, caller string, route string")
+    settled = I.settle(routed)
+    assert {(r["path"], r["route"], tuple(r["symbols"])) for r in settled.collect()} == {("p", "normal", ("a", "f")), ("q", "informational", ("f",))}
+    assert [tuple(r["symbols"]) for r in I.unresolved(settled, table(spark, [("q",)], "path string")).collect()] == [("a", "f")]
+    removed = table(spark, [("a.rs", "f", "fn f()"), ("a.rs", "g", "fn g()")], "path string, name string, header string")
+    added = table(spark, [("b.rs", "f", "fn f()"), ("b.rs", "g", "fn g(x)")], "path string, name string, header string")
+    uses = table(spark, [("a.rs", "f", "b.rs"), ("a.rs", "g", "b.rs")], "path string, name string, target string")
+    assert as_set(I.covered_moves(removed, uses, added)) == {("a.rs", "f", "b.rs")}
+    kept = table(spark, [("function", "go", True, None, None, None, "modified", True, None, None, None, True), ("function", "go", True, None, None, None, "modified", False, None, None, None, True), ("class", "java", True, None, None, None, "modified", None, True, None, None, True), ("class", "java", False, None, None, None, "modified", None, True, None, None, True)], "kind string, lang string, exported boolean, is_test boolean, is_override boolean, is_local boolean, change string, signature_changed boolean, header_added boolean, deleted_inside boolean, object_literal boolean, named_in_change boolean")
+    assert I.crosses_files(kept).count() == 2
