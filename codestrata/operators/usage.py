@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def shell_category(command: str = "command") -> Column:
-    """The program a shell line runs: environment settings before it and its directory are dropped, only the first
-    segment of a chain or pipe counts."""
-    first = F.trim(F.element_at(F.split(F.col(command), r"&&|\|\||[;|\n]"), 1))
-    bare = F.regexp_replace(first, r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
-    return F.nullif(F.element_at(F.split(F.element_at(F.split(bare, r"\s+"), 1), "/"), -1), F.lit(""))
+    """The program a shell line runs: settings before it and its directory are dropped, only the first segment of
+    a chain counts; (empty) for a line without one."""
+    bare = F.regexp_replace(F.trim(F.col(command)), r"^(?:[^\s=]\S*=\S*(?:\s+|$))+", "")
+    first = F.trim(F.element_at(F.split(bare, r"&&|\|\||;"), 1))
+    name = F.element_at(F.split(F.element_at(F.split(first, r"\s+"), 1), "/"), -1)
+    return F.when(F.col(command).isNotNull(), F.coalesce(F.nullif(name, F.lit("")), F.lit("(empty)")))
 
 
 def iso_week(day: Column) -> Column:

@@ -119,3 +119,25 @@ def test_requests(spark, tmp_path):
     q.stop()
     assert sorted((r["id"] or "", r["answer"], r["error"]) for r in out if r["answer"]) == [("1", "found f", None)]
     assert sorted(r["error"] for r in out if r["error"]) == ["invalid_json", "invalid_json", "missing_field", "unknown_command"]
+
+
+def test_conventions(spark):
+    from codestrata.functions import conventions as C
+
+    rows = [("FooTest", "class", "php"), ("Foo.testBar", "method", "php"), ("Foo.testing", "method", "php"), ("Foo.setUp", "method", "php"), ("FooTest", "class", "java")]
+    df = spark.createDataFrame(rows, "n string, k string, l string")
+    assert [r[0] for r in df.select(C.is_phpunit(F.col("n"), F.col("k"), F.col("l"))).collect()] == [True, True, False, True, False]
+    rows = [("fix", "function", "a/conftest.py", None, None), ("test_a", "function", "test_m.py", None, None), ("test_a", "function", "m.py", None, None), ("T.test_a", "method", "m.py", None, True), ("T.help", "method", "m.py", None, True), ("T", "class", "m.py", None, True)]
+    df = spark.createDataFrame(rows, "n string, k string, p string, c string, u boolean")
+    assert [r[0] for r in df.select(C.is_python_test(F.col("n"), F.col("k"), F.lit("python"), F.col("p"), F.col("c"), F.col("u"))).collect()] == [True, True, False, True, False, True]
+    assert values(spark, ["x/app/Jobs/a.php", "app/Jobs/a.php", "src/a.php"], lambda c: C.by_framework(c, "laravel")) == [True, True, False]
+    assert values(spark, ['{"dependencies":{"next":"1"}}', '{"devDependencies":{"x":"1"}}', "nope", None], C.framework) == ["nextjs", None, None, None]
+    xml = """<a.b.View android:name=".Main$Inner" xandroid:name="no" class = 'p.q.Cls' other="z"/><plain/>"""
+    got = {r["name"] for r in C.xml_references(spark.createDataFrame([("f", xml), ("g", None)], "path string, text string")).collect()}
+    assert got == {"View", "Main", "Inner", "Cls"}
+    files_ = spark.createDataFrame([("a", "x"), ("b", "y\n" * 6000), ("c", "z")], "path string, text string")
+    taken, left = C.untracked(files_, spark.createDataFrame([("a",)], "path string"))
+    assert [r["path"] for r in taken.collect()] == ["c"] and [r["path"] for r in left.collect()] == ["b"]
+    lines = ["A=1 env tool --config f refs x", "echo 'tool refs'; ls", "time -o out /bin/tool symbols | head", "tool nope", None, "ls && tool calls"]
+    out = C.subcommand(spark.createDataFrame([(x,) for x in lines], "command string"), "tool", ["refs", "symbols", "calls"])
+    assert [r["subcommand"] for r in out.collect()] == ["refs", None, "symbols", None, None, "calls"]

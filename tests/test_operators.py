@@ -107,7 +107,7 @@ def test_graph(spark, tmp_path):
 
 def test_usage(spark):
     t = table(spark, [("A=1 B=2 /usr/bin/git log | head",), ("ls && rm x",), ("",), (None,)], "command string")
-    assert [r[0] for r in t.select(usage.shell_category()).collect()] == ["git", "ls", None, None]
+    assert [r[0] for r in t.select(usage.shell_category()).collect()] == ["git", "ls", "(empty)", None]
     turns = table(spark, [(1, 0, "assistant", "x"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", "")], "s int, t int, role string, text string")
     assert as_set(usage.interactions(turns, "s", "t", "role", "text"), "interaction", "replies", "prompt") == {(1, 1, "hi")}
 
