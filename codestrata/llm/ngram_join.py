@@ -14,10 +14,10 @@ texts last; it is an order whatever the counts, so counting by sample windows co
 
 1. ``_marks``: each text's set size and 64-bit set signature; equal signatures are one class, copies need no
    pairs. In windows of a task, shingles of three sets or more are counted; the ``FREQUENT`` commonest go last.
-2. ``_slabs``: (shingle, class, home) for each slab of each class. Slabs of one class, or without a home, need
-   no tree. The others are marked in a bit table of ``FILTER_BITS`` bits, of fixed size however many they
-   are; a wrong mark only costs.
-3. ``_entries``: for the marked slabs, (shingle, class, point).
+2. ``_slabs``: (shingle, class, size, home) for each slab of each class. An entry needs a tree only if its slab
+   has another class of a size that may link, the smaller at home. Those are marked, by shingle and size, in a
+   bit table of ``FILTER_BITS`` bits, of fixed size however many they are; a wrong mark only costs.
+3. ``_entries``: for the marked entries, (shingle, class, point).
 4. ``_trees``: an R-tree a slab joins its points; pairs that the bound lets pass are united, and a class is
    sent on with its united group, not with its pairs. Groups that meet over slabs are joined into blocks, whose
    classes are marked in a bit table likewise.
@@ -245,8 +245,9 @@ def _slabs(frequent, t: int):
                 if own:
                     p = [order.prefix(s, t) for s in own.values()]
                     home = [np.arange(len(x)) <= len(s) - -(-2 * t * len(s) // (100 + t)) for x, s in zip(p, own.values(), strict=True)]
+                    n = np.repeat([len(s) for s in own.values()], [len(x) for x in p])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p])), pa.array(np.concatenate(home))], names=["h", "class", "home"]
+                        [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p])), pa.array((2 * n + np.concatenate(home)).astype(np.int32))], names=["h", "class", "nh"]
                     )
 
     return run
@@ -261,18 +262,30 @@ def _positions(h: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((at // BLOCK_BITS).astype(np.int32)), pa.array((at % BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
 
 
-def _shared(bits: int):
-    """Of a partition of (h, class, home): where in the bit table the slabs of two classes or more are."""
+def _key(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A slab's sets of about one size."""
+    return mix(h.view(np.uint64)) + np.floor(np.log(n) * 4).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shared(bits: int, t: int):
+    """Of a partition of (h, class, nh), nh twice the size and 1 for a home: where in the bit table the entries
+    are that may link with another of their slab. In a slab in order of size, whoever has a partner larger or
+    smaller has a neighbour that is one."""
 
     def run(batches):
-        cols = [(b.column("h").to_numpy(), b.column("class").to_numpy(), b.column("home").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        cols = [(b.column("h").to_numpy(), b.column("class").to_numpy(), b.column("nh").to_numpy()) for b in batches if b.num_rows]
         if cols:
-            h, c, home = (np.concatenate(x) for x in zip(*cols, strict=True))
+            h, c, nh = (np.concatenate(x) for x in zip(*cols, strict=True))
             order = np.argsort(h, kind="stable")
-            h, c, home = h[order], c[order], home[order]
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            several = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
-            yield _positions(h[begin][several & np.logical_or.reduceat(home, begin)], bits)
+            again = h[order[1:]] == h[order[:-1]]
+            order = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]  # slabs of one row go
+            order = order[np.lexsort((c[order], nh[order], h[order]))]
+            h, c, nh = h[order], c[order], nh[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # a class sent by several tasks counts once
+            h, n, home = h[first], (nh // 2)[first], (nh % 2 == 1)[first]
+            pair = (h[1:] == h[:-1]) & (100 * n[:-1] >= t * n[1:]) & (home[:-1] | home[1:] & (n[:-1] == n[1:]))
+            may = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
+            yield _positions(_key(h[may], n[may]), bits)
 
     return run
 
@@ -318,7 +331,7 @@ def _entries(frequent, marked, t: int):
     def run(batches):
         order, bits = frequent.value, marked.value
         for own in _classes(batches):
-            p = [x[_in(bits, x)] for x in (order.prefix(s, t) for s in own.values())]
+            p = [x[_in(bits, _key(x, np.full(len(x), len(s))))] for x, s in ((order.prefix(s, t), s) for s in own.values())]
             n = np.array([len(x) for x in p])
             if n.sum():
                 points = pa.array([point(s).tobytes() if k else b"" for s, k in zip(own.values(), n, strict=True)], pa.binary())
@@ -406,8 +419,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     common = commonest(common, "n", FREQUENT).toArrow()
     frequent = sc.broadcast(Order(common.column("class").to_numpy().view(np.uint64), common.column("n").to_numpy()))  # FREQUENT entries at most
 
-    slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long, home boolean").repartition("h")
-    marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS), "block int, bit int"), FILTER_BITS)
+    slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long, nh int").repartition("h")
+    marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS, t), "block int, bit int"), FILTER_BITS)
     entries = texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "h long, class long, body binary")
     blocks = components(entries.repartition("h").mapInArrow(_trees(t), "a long, b long")).withColumnsRenamed({"node": "class", "label": "block"})
 
