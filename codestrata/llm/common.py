@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,18 @@ def commonest(df: DataFrame, count: str, most: int) -> DataFrame:
             break
         least = bar["bucket"]
     return df.where(F.lit(False)) if least is None else df.where((F.col(count) > 0) & (bucket >= least))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more. It does so when the driver collects
+    garbage, which a large heap may put off until the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def lowest(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """The ``n`` rows with the lowest ``key``, an even long such as a hash, of about ``total``. Rows too high to
+    be among them go first, so that the driver is sent about n rows, not n from every partition."""
+    share = 1.5 * n / max(1, total)
+    shifted = F.shiftrightunsigned(key, 1)  # 0 .. 2^63 - 1, in the order of the key's bits
+    return (df if share >= 0.5 else df.where(shifted < int(share * 2**63))).orderBy(shifted, *df.columns).limit(n)

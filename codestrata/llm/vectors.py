@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 
 def valid(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", nonzero: bool = False) -> DataFrame:
     """(vec_id long, v array<double>) of the rows that take part.
@@ -32,7 +34,7 @@ def sample(rows: DataFrame, n: int, most_bytes: int = 32 << 20) -> tuple[np.ndar
     if not first:
         return np.zeros(0, np.int64), np.zeros((0, 0))
     n = max(1, min(n, most_bytes // (8 * first[0][0])))
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()
+    got = lowest(rows, F.xxhash64("vec_id"), n, rows.count()).collect() or rows.limit(n).collect()  # ids that repeat may all hash high
     once = {r["vec_id"]: r["v"] for r in reversed(got)}
     ids = np.array(list(once)[::-1], np.int64)
     return ids, np.array(list(once.values())[::-1], np.float64)
