@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commonest, materialize, table
+from .common import commonest, materialize, release, table
 from .components import components
 from .text import chunked, groups, mix, shingle_sets
 
@@ -421,8 +421,15 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
 
     slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long, nh int").repartition("h")
     marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS, t), "block int, bit int"), FILTER_BITS)
+    del slabs
+    release(spark)
     entries = texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "h long, class long, body binary")
-    blocks = components(entries.repartition("h").mapInArrow(_trees(t), "a long, b long")).withColumnsRenamed({"node": "class", "label": "block"})
+    united = materialize(entries.repartition("h").mapInArrow(_trees(t), "a long, b long"), "groups")
+    del entries
+    frequent.unpersist()
+    marked.unpersist()
+    release(spark)
+    blocks = components(united).withColumnsRenamed({"node": "class", "label": "block"})
 
     size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     placed = blocks.join(size, "block").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
@@ -431,6 +438,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     held = materialize(
         sets.join(placed, "class").select("block", "tile", "tiles", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe")), "blocks"
     )
+    wanted.unpersist()
+    release(spark)
     count = size.agg(F.coalesce(F.sum("tiles"), F.lit(0))).collect()[0][0]
     buckets = max(8, int(count) // 64)
     shape = ["block", "tile", "class", "body", "known", "probe"]
