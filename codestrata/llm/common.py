@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +59,10 @@ def commonest(df: DataFrame, count: str, most: int) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more. It does so when the driver collects
     garbage, which a large heap may put off until the disks are full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets the second free its shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def lowest(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:

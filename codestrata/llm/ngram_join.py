@@ -50,6 +50,8 @@ FREQUENT = 1 << 19
 WINDOW = 3_000_000
 FILTER_BITS = 1 << 27
 CLASS_BITS = 1 << 26
+#: The bits of a shingle by which slabs are counted; two that agree in them are taken for shared, which only costs.
+SLAB = np.uint64((1 << 40) - 1)
 BLOCK_BITS = 1 << 20
 TILE = 96
 LEAF = 8
@@ -80,6 +82,16 @@ def fold(p: np.ndarray, dims: int) -> np.ndarray:
     return p.astype(np.uint16).reshape(dims, -1).sum(1, dtype=np.uint16) if len(p) > dims else p.astype(np.uint16)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point's bytes, two counts in one where all are below 16."""
+    return b"\1" + (p[::2] << 4 | p[1::2]).tobytes() if p.max() < 16 else b"\0" + p.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    p = np.frombuffer(raw, np.uint8)[1:]
+    return np.stack([p >> 4, p & 15], 1).reshape(-1) if raw[0] else p
+
+
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -247,7 +259,7 @@ def _slabs(frequent, t: int):
                     home = [np.arange(len(x)) <= len(s) - -(-2 * t * len(s) // (100 + t)) for x, s in zip(p, own.values(), strict=True)]
                     n = np.repeat([len(s) for s in own.values()], [len(x) for x in p])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p])), pa.array((2 * n + np.concatenate(home)).astype(np.int32))], names=["h", "class", "nh"]
+                        [pa.array((np.concatenate(p) & SLAB).view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [len(x) for x in p])), pa.array((2 * n + np.concatenate(home)).astype(np.int32))], names=["h", "class", "nh"]
                     )
 
     return run
@@ -264,7 +276,7 @@ def _positions(h: np.ndarray, bits: int) -> pa.RecordBatch:
 
 def _key(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A slab's sets of about one size."""
-    return mix(h.view(np.uint64)) + np.floor(np.log(n) * 4).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(h.view(np.uint64) & SLAB) + np.floor(np.log(n) * 4).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _shared(bits: int, t: int):
@@ -334,7 +346,7 @@ def _entries(frequent, marked, t: int):
             p = [x[_in(bits, _key(x, np.full(len(x), len(s))))] for x, s in ((order.prefix(s, t), s) for s in own.values())]
             n = np.array([len(x) for x in p])
             if n.sum():
-                points = pa.array([point(s).tobytes() if k else b"" for s, k in zip(own.values(), n, strict=True)], pa.binary())
+                points = pa.array([packed(point(s)) if k else b"" for s, k in zip(own.values(), n, strict=True)], pa.binary())
                 at = np.repeat(np.arange(len(n)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.array([*own], np.int64)[at]), points.take(pa.array(at))], names=["h", "class", "body"])
 
@@ -371,7 +383,7 @@ def _trees(t: int):
             if len(at) < 2 or key in seen:  # near copies share many slabs with the same members
                 continue
             seen.add(key)
-            points = [np.frombuffer(body[k], np.uint8) for k in at]
+            points = [unpacked(body[k]) for k in at]
             found = may_link(points, np.array([int(p.sum(dtype=np.int64)) for p in points]), t)
             for k in range(len(at)):
                 if (r := found.root(k)) != k:
