@@ -281,8 +281,9 @@ def _key(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _shared(bits: int, t: int):
     """Of a partition of (h, class, nh), nh twice the size and 1 for a home: where in the bit table the entries
-    are that may link with another of their slab. In a slab in order of size, whoever has a partner larger or
-    smaller has a neighbour that is one."""
+    are that may link with another of their slab. In a slab in order of size, homes first among equals, a home
+    that has a larger partner has one in the next entry; whoever has a smaller partner, which must be at home,
+    has one in the last home before it, however many entries stand between."""
 
     def run(batches):
         cols = [(b.column("h").to_numpy(), b.column("class").to_numpy(), b.column("nh").to_numpy()) for b in batches if b.num_rows]
@@ -291,12 +292,14 @@ def _shared(bits: int, t: int):
             order = np.argsort(h, kind="stable")
             again = h[order[1:]] == h[order[:-1]]
             order = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]  # slabs of one row go
-            order = order[np.lexsort((c[order], nh[order], h[order]))]
+            order = order[np.lexsort((c[order], nh[order] ^ 1, h[order]))]
             h, c, nh = h[order], c[order], nh[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # a class sent by several tasks counts once
             h, n, home = h[first], (nh // 2)[first], (nh % 2 == 1)[first]
-            pair = (h[1:] == h[:-1]) & (100 * n[:-1] >= t * n[1:]) & (home[:-1] | home[1:] & (n[:-1] == n[1:]))
-            may = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
+            last = np.maximum.accumulate(np.where(home, np.arange(len(h)), 0))[:-1]  # where none is, home[0] or h tells
+            smaller = home[last] & (h[last] == h[1:]) & (100 * n[last] >= t * n[1:])
+            larger = home[:-1] & (h[1:] == h[:-1]) & (100 * n[:-1] >= t * n[1:])
+            may = np.concatenate([larger, [False]]) | np.concatenate([[False], smaller])
             yield _positions(_key(h[may], n[may]), bits)
 
     return run

@@ -97,6 +97,29 @@ def test_ngram_join_large_block(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(components(df.collect()))
 
 
+def test_ngram_join_partner_beyond_a_neighbour(spark):
+    """In the slabs that A shares with B1 and B2 only A is at home, and between A and B2 stands B1, which does not link with B2."""
+    a = [f"w{i}" for i in range(129)]
+    rows = [(1, " ".join(a)), (2, " ".join(a + [f"longerword{i}" for i in range(22)])), (3, " ".join(a + [f"otherwords{i}" for i in range(30)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = ngram_join.near_groups(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(components(df.collect())) == Counter([(1, 125, 1), (2, 147, 1), (3, 155, 1)])
+
+
+def test_slab_marks_equal_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    n = rng.integers(20, 200, 400)
+    h, home = rng.integers(0, 40, 400), rng.integers(0, 3, 400) == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.arange(400)), pa.array((2 * n + home).astype(np.int32))], names=["h", "class", "nh"])
+    small = lambda i, j: home[i] and n[i] <= n[j] and 100 * n[i] >= 75 * n[j]
+    may = np.array([any(h[i] == h[j] and i != j and (small(i, j) or small(j, i)) for j in range(400)) for i in range(400)])
+    want = {tuple(r.values()) for r in ngram_join._positions(ngram_join._key(h[may], n[may]), ngram_join.FILTER_BITS).to_pylist()}
+    got = {tuple(r.values()) for b in ngram_join._shared(ngram_join.FILTER_BITS, 75)([batch]) for r in b.to_pylist()}
+    assert got == want
+
+
 def test_rtree_bound_is_complete():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (8, 40, 41, 300)]
