@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import commonest, materialize, release, table
@@ -193,22 +193,22 @@ def links(sets: list[np.ndarray], t: int, known: list[int] | None = None, probes
 
 
 def _marks(batches):
-    """kind 0: (doc_id, n, class); kind 1: (shingle as class, sets in the window as n)."""
-    names = ["kind", "doc_id", "n", "class"]
+    """kind 0: (doc_id, row, n, class); kind 1: (shingle as class, sets in the window as n)."""
+    names = ["kind", "doc_id", "row", "n", "class"]
     window: dict[int, np.ndarray] = {}
     held = 0
 
     def counted():
         v, c = np.unique(np.concatenate([*window.values()]), return_counts=True)
         v, c = v[c >= 3], c[c >= 3]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(v.view(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(v.view(np.int64))], names=names)
 
     for b in batches:
-        for rows in chunked(zip(b.column("doc_id").to_pylist(), bytes_of(b.column("bytes")), strict=True)):
-            sets = shingle_sets([r[1] for r in rows])
+        for rows in chunked(zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), bytes_of(b.column("bytes")), strict=True)):
+            sets = shingle_sets([r[2] for r in rows])
             sig = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(rows), np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64())], names=names
+                [pa.array(np.zeros(len(rows), np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64())], names=names
             )
             for g, s in zip(sig, sets, strict=True):
                 if g is not None and g not in window:
@@ -424,12 +424,12 @@ def solved(rows: DataFrame, t: int, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(_solve(t), "a long, b long")
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, class) of every row, links (a, b) between classes that connect all that is linked)."""
+def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD, id_col: str = "doc_id", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row, n, class) of every row, links (a, b) between classes that connect all that is linked)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
-    marks = materialize(texts.mapInArrow(_marks, "kind int, doc_id long, n long, class long"), "marks")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(None).cast("long") if row is None else row).alias("row"), F.col(text_col).cast("binary").alias("bytes"))
+    marks = materialize(texts.mapInArrow(_marks, "kind int, doc_id long, row long, n long, class long"), "marks")
     common = marks.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n"))
     common = commonest(common, "n", FREQUENT).toArrow()
     frequent = sc.broadcast(Order(common.column("class").to_numpy().view(np.uint64), common.column("n").to_numpy()))  # FREQUENT entries at most
@@ -497,7 +497,19 @@ def op6_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the row with the smallest doc_id stays; rows without any
-    shingle all stay."""
-    first = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each near-duplicate group one row stays, that with the smallest doc_id, null ids last; of
+    several such the lowest hash of all columns, and of rows equal in all columns one. Rows without any shingle
+    all stay."""
+    row, empty, nth = "codestrata_row", "codestrata_empty", "codestrata_nth"
+    key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    marks, found = similar_classes(docs, row=key)
+    label = components(found)
+    sets = marks.where("class is not null")
+    per = sets.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    per = per.join(label, per["class"] == label["node"], "left").select("first", F.coalesce("label", "class").alias("label"))
+    chosen = per.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row), F.lit(False).alias(empty))
+    chosen = chosen.unionByName(marks.where("class is null").select(F.col("row").alias(row), F.lit(True).alias(empty)).distinct())
+    kept = docs.withColumn(row, key).join(chosen, row)
+    if sets.groupBy("row").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn(nth, F.when(F.col(empty), F.monotonically_increasing_id())).dropDuplicates([row, nth])
+    return kept.select(*docs.columns)

@@ -1,10 +1,12 @@
 import os
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from codestrata.llm import mixing, quality, registry, sentencepiece_fst
+from codestrata.llm.ngram_join import one_of_each
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +42,15 @@ def test_stages_keep_columns(spark, nothing, dirty):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, dirty, SF).columns == dirty.columns
         assert stage(spark, nothing, SF).count() == 0
+
+
+def test_one_of_each_by_rows(spark):
+    """Null ids and repeated ids: one row of each group stays, and all rows without words."""
+    from .conftest import sentence
+
+    rng = random.Random(9)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(5, a), (5, a), (5, a + " "), (None, a), (3, b), (5, b), (None, c), (None, d), (None, d), (None, ""), (None, None), (9, ""), (9, "")]
+    got = one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    want = [(5, a), (3, b), (None, c), (None, d), (None, ""), (None, ""), (9, ""), (9, "")]
+    assert Counter((r["doc_id"], (r["text"] or "").strip()) for r in got) == Counter(want)
