@@ -247,6 +247,15 @@ def test_language_model_is_a_distribution():
     assert together == pytest.approx([model.score([t])[0] for t in texts])
 
 
+def test_subword_counts_survive_the_last_flush(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(attention_lm, "HELD_WORDS", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([b"one two three four"], pa.binary())], names=["doc_id", "text"])
+    rows = [r for b in attention_lm._prepared(attention_lm.TOKENIZER)([batch]) for r in b.to_pylist()]
+    assert sum(r["n"] for r in rows if r["kind"] == 2) == len(rows[0]["ids"]) // 2
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     model = attention_lm.Model(np.zeros(1, int), np.zeros((1, 1)), attention_lm.Model.start(5, 3, 4, rng))
