@@ -256,6 +256,28 @@ def test_subword_counts_survive_the_last_flush(monkeypatch):
     assert sum(r["n"] for r in rows if r["kind"] == 2) == len(rows[0]["ids"]) // 2
 
 
+def test_language_model_trains_on_long_texts(spark):
+    """The only training text is longer than the start's sample takes of one; each of its ids is trained once."""
+    docs = spark.createDataFrame([(None, "red green blue " * 12000), (1, "red green blue red green blue")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in attention_lm.score_documents(docs).collect()}
+    assert got[1] / 7 > -2
+    of = np.arange(attention_lm.VOCABULARY) % 9
+    texts = [np.append(np.arange(n), attention_lm.END).astype(np.uint16) for n in (0, 19, 20, 20000)]
+    x, y = attention_lm.windows(texts, of)
+    assert y[y >= 0].tolist() == of[np.concatenate(texts)].tolist() and (x[:, 1:] == y[:, :-1])[y[:, 1:] >= 0].all()
+
+
+def test_refine_uses_every_training_id(spark):
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.integers(0, 40, n), attention_lm.END).astype(np.uint16) for n in rng.integers(1, 300, 60)]
+    model = attention_lm.fit(np.bincount(np.concatenate(texts), minlength=attention_lm.VOCABULARY), texts, classes=12, steps=2)
+    x, y = attention_lm.windows(texts, model.of)
+    before = model.step(x, y)[0]
+    train = spark.createDataFrame([(bytearray(t.tobytes()), i) for i, t in enumerate(texts)], "ids binary, h long").repartition(3)
+    assert attention_lm.refine(train, model) == sum(map(len, texts))
+    assert model.step(x, y)[0] < before
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     model = attention_lm.Model(np.zeros(1, int), np.zeros((1, 1)), attention_lm.Model.start(5, 3, 4, rng))
