@@ -247,6 +247,19 @@ def test_language_model_is_a_distribution():
     assert together == pytest.approx([model.score([t])[0] for t in texts])
 
 
+def test_every_id_sees_half_a_window():
+    """The id ten places back changes an id's probability, wherever windows begin."""
+    rng = np.random.default_rng(4)
+    of = np.arange(attention_lm.VOCABULARY) % 9
+    model = attention_lm.Model(of, np.zeros((9, attention_lm.VOCABULARY), np.float32), attention_lm.Model.start(9, 4, attention_lm.WINDOW, rng))
+    text = rng.integers(0, 9, 70).astype(np.uint16)
+    for p in range(10, 70):
+        other = text.copy()
+        other[p - 10] = (other[p - 10] + 1) % 9
+        a, b = (model.score([t[: p + 1]])[0] - model.score([t[:p]])[0] for t in (text, other))
+        assert abs(a - b) > 1e-9, p
+
+
 def test_subword_counts_survive_the_last_flush(monkeypatch):
     import pyarrow as pa
 
