@@ -11,13 +11,15 @@ files.
 Encoding asks the tokenizers library for every distinct word once a worker (see ``Encoder``) and keeps a
 bounded cache of the answers.
 
-Dirty input. Null text counts as empty: one end id. Null ids come first; equal ids are ordered by a hash of
+Dirty input. Null text counts as empty: one end id. A text that holds a special token's string gets that token, as the
+library does by default. Null ids come first; equal ids are ordered by a hash of
 the text, then the text; repeated rows are all written. An empty table gives an empty folder with the same
 columns. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, shuffle_partitions, table
+from .common import scratch_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -40,6 +42,8 @@ PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
 CACHE = 500_000
 MARKS = ".,;:!?"
+#: Bytes of text a file.
+FILE_BYTES = 16 << 20
 #: Tokens in an Arrow batch that a task hands back.
 BATCH_TOKENS = 1_000_000
 #: Bytes of text encoded at once.
@@ -55,7 +59,8 @@ class Encoder:
 
     A unit is a word with the single space or line feed before it. The tokenizer's pattern always ends a piece
     before a lone space between two characters that aren't white space, and before and after such a line
-    feed, and merges stay within pieces, so units are encoded alike alone and in place.
+    feed, and merges stay within pieces, so units are encoded alike alone and in place. Texts that hold the string of
+    a special token are encoded as they are, since the library cuts there first.
     """
 
     def __init__(self, path: str):
@@ -63,8 +68,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.nul,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        (space,) = self.tokenizer.encode(" ", add_special_tokens=False).tokens
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -72,24 +80,34 @@ class Encoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask_units(self, units: list[str]) -> list[bytes]:
-        """Many units in one text, with a NUL after each: it is in no merge, so its id marks the ends."""
-        ids = self.tokenizer.encode_batch_fast(["\0".join(units) + "\0"], add_special_tokens=False)[0].ids
-        flat = np.array(ids, np.int32)
-        ends = np.flatnonzero(flat == self.nul)
-        raw, out, at = flat.tobytes(), [], 0
-        for end in (ends * 4).tolist():
-            out.append(raw[at:end])
-            at = end + 4
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        plain, odd = [], []
+    def _ask_units(self, units: list[str], mark: str) -> list[bytes]:
+        """Many units in one text. With a NUL after each, which is in no merge, its id marks the ends; units that
+        begin with their only space are cut before the tokens that begin with one."""
+        flat = np.array(self.tokenizer.encode_batch_fast([mark.join(units) + mark], add_special_tokens=False)[0].ids, np.int32)
+        if mark:
+            ends = np.flatnonzero(flat == self.nul)
+            begins = np.concatenate([[0], ends[:-1] + 1])
+        else:
+            begins = np.flatnonzero(self.leads[flat])
+            ends = np.append(begins[1:], len(flat))
+        raw = flat.tobytes()
+        return [raw[i:j] for i, j in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+    def _learn(self, new: list[str], whole: bool) -> None:
+        spaced, lined, odd = [], [], []
         for w in new:  # what ends in white space isn't cut alike before a NUL
-            (odd if "\0" in w or w[-1:].isspace() else plain).append(w)
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            self.cache.update(zip(some, self._ask_units([w if w[:1] == "\n" else " " + w for w in some]), strict=True))
+            if "\0" in w or w[-1:].isspace():
+                odd.append(w)
+            elif w[:1] == "\n":
+                lined.append(w)
+            elif whole or len(w.split()) == 1:
+                spaced.append(w)
+            else:
+                odd.append(w)
+        for some in (spaced[i : i + 1024] for i in range(0, len(spaced), 1024)):
+            self.cache.update(zip(some, self._ask_units([" " + w for w in some], ""), strict=True))
+        for some in (lined[i : i + 1024] for i in range(0, len(lined), 1024)):
+            self.cache.update(zip(some, self._ask_units(some, "\0"), strict=True))
         if odd:
             self.cache.update(zip(odd, self._ask([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
 
@@ -118,7 +136,7 @@ class Encoder:
                     self.cache[core] = known
                 else:
                     new.append(core)
-        self._learn([*dict.fromkeys(new)])
+        self._learn([*dict.fromkeys(new)], whole)
         for w, core in tailed:
             tail = w[len(core) :]
             if tail not in self.tails:
@@ -127,6 +145,11 @@ class Encoder:
         return bad
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if any(t in text for t in self.special)]
+        if whole:
+            found = dict(zip(whole, self._ask([texts[i] for i in whole]), strict=True))
+            rest = iter(self.encode_many([t for i, t in enumerate(texts) if i not in found]))
+            return [np.frombuffer(found[i], np.int32) if i in found else next(rest) for i in range(len(texts))]
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {}
         split = [text.replace("\n", " \n").split(" ") for text in texts]
@@ -135,7 +158,7 @@ class Encoder:
             if bad and not bad.isdisjoint(split[i][1:]) or split[i][0].split() != split[i][:1]:
                 split[i] = LONE_SPACE.split(text)
                 self._add(set(split[i][1:]).difference(self.cache), False)
-        heads = self._ask([parts[0] for parts in split])
+        heads = self._ask([parts[0] for parts in split]) if split else []
         return [np.frombuffer(head + b"".join(map(self.cache.__getitem__, parts[1:])), np.int32) for head, parts in zip(heads, split, strict=True)]
 
 
@@ -150,6 +173,7 @@ def encoder(path: str) -> Encoder:
 
 def _encode(name: str, end_id: int):
     def run(batches):
+        gc.disable()  # no cycles are made here, and a full collection walks the whole cache
         own, part, start = encoder(public_tokenizers.path(name)), TaskContext.get().partitionId(), 0
         rows: list[tuple[int | None, np.ndarray]] = []
 
@@ -177,14 +201,18 @@ def _encode(name: str, end_id: int):
                     held = 0
         if rows:
             yield flush()
+        gc.enable()
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
-    """Encodes (doc_id, text) into a token folder. Texts move once, before they are encoded."""
+    """Encodes (doc_id, text) into a token folder, a file for each ``FILE_BYTES`` of text or, if that is fewer, one for
+    each core. Texts move once, before they are encoded."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.asc_nulls_first("doc_id"), "h")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(int(files), F.asc_nulls_first("doc_id"), "h")
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text").select("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)

@@ -163,7 +163,6 @@ def test_token_files(spark, dirty, nothing):
     path = scratch_path(spark, "t")
     token_files.write_tokens(dirty, path)
     own = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    own.encode_special_tokens = True
     want = Counter((r["doc_id"], tuple(own.encode(r["text"] or "", add_special_tokens=False).ids) + (0,)) for r in dirty.collect())
     rows = token_files.read_tokens(spark, path)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows.collect()) == want
@@ -179,6 +178,17 @@ def test_token_files(spark, dirty, nothing):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    own, encoder = Tokenizer.from_file(path), token_files.encoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z\n<|endoftext|> q", " lead  two", "nb sp\u00a0x \u00a0y", "a\0b c\0 d", "\n\nx\ny \n z", "tab\tx y\r\nz", "don't we'll I'm, 'tis 'll", "Ġx y Ġ", "日本 語", " ", "", "x "]
+    got = encoder.encode_many(texts)
+    assert [g.tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[0].tolist()
+
+
 def test_sentencepiece(dirty, nothing):
     import sentencepiece
 
