@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class CoChangeConfig:
@@ -20,3 +23,21 @@ class CoChangeConfig:
     per_source_limit: int = 10
     history_limit: int = 20
     author_window_days: int = 7
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names. Without it a folder of our own, if driver and executors are one process;
+    on a cluster an error, for its machines would each write to their own disk."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="codestrata-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

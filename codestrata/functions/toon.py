@@ -70,7 +70,10 @@ def _list(head: str, rows: list, pad: str) -> list[str]:
 def _object(v: dict, pad: str) -> list[str]:
     out = []
     for k, x in v.items():
-        if isinstance(x, dict):
+        if isinstance(x, dict) and len(x) > 1 and (names := _table([*x.values()])):
+            out.append(f"{pad}{key(k)}[{len(x)}:]{{{','.join(map(key, names))}}}:")
+            out += [f"{pad}  {key(n)}: " + ",".join(scalar(r[c]) for c in names) for n, r in x.items()]
+        elif isinstance(x, dict):
             out += [f"{pad}{key(k)}:", *_object(x, pad + "  ")]
         elif isinstance(x, list):
             out += _list(key(k), x, pad)

@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PREFILTER = 32
+BROADCAST_NAMES = 200_000
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
 
-def lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ln, line): lines from 0; a carriage return before a line feed goes, a last empty line too."""
+def lines(files: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, ln, line) and more columns of the files: lines from 0; a carriage return before a line feed goes, a last
+    empty line too."""
     parts = F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n")
     parts = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
-    return files.select(F.col(key).alias("key"), F.posexplode(parts).alias("ln", "line"))
+    return files.select(F.col(key).alias("key"), *more, F.posexplode(parts).alias("ln", "line"))
 
 
-def tokens(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ln, name): the identifiers of each line."""
-    return lines(files, key, text).select("key", "ln", F.explode(F.regexp_extract_all("line", F.lit(f"({IDENTIFIER})"), F.lit(1))).alias("name"))
+def tokens(files: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, ln, name) and more columns of the files: the identifiers of each line."""
+    return lines(files, key, text, *more).select("key", *more, "ln", F.explode(F.regexp_extract_all("line", F.lit(f"({IDENTIFIER})"), F.lit(1))).alias("name"))
 
 
 def search(files: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """(key, ln, name, hits) for the names asked for. Files without any of them are left out before they are
-    cut into tokens; the list of names is the caller's and is broadcast."""
-    some = F.lit(False)
-    for n in names:
-        some = some | F.contains(F.col(text), F.lit(n))
-    found = tokens(files.where(some), key, text).where(F.col("name").isin(names))
+    """(key, ln, name, hits) for the names asked for. Texts are cut once and joined with the names, which may be many;
+    a list short enough for it also leaves files without any of them out before they are cut."""
+    if len(names) <= PREFILTER:
+        some = F.lit(False)
+        for n in names:
+            some = some | F.contains(F.col(text), F.lit(n))
+        files = files.where(some)
+    wanted = files.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    found = tokens(files, key, text).join(F.broadcast(wanted) if len(names) <= BROADCAST_NAMES else wanted, "name", "left_semi")
     return found.groupBy("key", "ln", "name").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -35,9 +41,9 @@ def lint(files: DataFrame, key: str, text: str, lang: str, rules: DataFrame) ->
 
     ``rules`` (id, language, severity, pattern) come from a rule file and are broadcast.
     """
-    t = tokens(files, key, text).join(files.select(F.col(key).alias("key"), F.col(lang).alias("lang")), "key")
-    r = F.broadcast(rules.select(F.col("id").alias("rule_id"), "language", "severity", "pattern"))
-    return t.join(r, (F.col("lang") == F.col("language")) & F.contains("name", F.col("pattern"))).select("rule_id", "severity", "key", "ln", "name")
+    t = tokens(files, key, text, lang)
+    r = F.broadcast(rules.select(F.col("id").alias("rule_id"), "language", "severity", "pattern"))  # written by hand, a rule a row
+    return t.join(r, (F.col(lang) == F.col("language")) & F.contains("name", F.col("pattern"))).select("rule_id", "severity", "key", "ln", "name")
 
 
 def route(rank: dict[str, int], kind: Column) -> Column:

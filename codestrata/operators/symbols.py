@@ -126,8 +126,9 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "text").mapInPandas(run, SYMBOLS)
 
 
-def calls(files: DataFrame) -> DataFrame:
-    """Call edges of Python files: the enclosing function (or <module>), what it calls, where."""
+def calls(files: DataFrame, top: bool = False) -> DataFrame:
+    """Call edges of Python files: the enclosing function, what it calls, where. Calls outside functions are left out
+    unless ``top`` asks for them, as those of <module>."""
 
     def one(path: str, text: str) -> list[tuple]:
         try:
@@ -142,7 +143,7 @@ def calls(files: DataFrame) -> DataFrame:
                 if isinstance(child, ast.Call):
                     f = child.func
                     name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                    if name:
+                    if name and (top or caller != "<module>"):
                         out.append((path, caller, name, child.lineno - 1, child.col_offset))
                 stack.append((child, inner))
         return out
@@ -155,6 +156,11 @@ def calls(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "text").mapInPandas(run, CALLS)
 
 
+def callees(files: DataFrame) -> DataFrame:
+    """(path, callee): all that a file calls, at its top too."""
+    return calls(files, top=True).select("path", "callee").distinct()
+
+
 IMPORT_PATTERNS = [
     ("python", "import", r"^\s*import\s+([\w.]+)"),
     ("python", "import", r"^\s*from\s+([\w.]+)\s+import\b"),
@@ -179,7 +185,7 @@ def imports(files: DataFrame) -> DataFrame:
     family = F.col("lang")
     for name, like in ALIKE.items():
         family = F.when(F.col("lang") == name, like).otherwise(family)
-    rows = lines(files, "path", "text").join(files.select(F.col("path").alias("key"), family.alias("family")), "key")
+    rows = lines(files.withColumn("family", family), "path", "text", "family")
     src, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for lang, k, pattern in reversed(IMPORT_PATTERNS):
         hit = F.regexp_extract("line", pattern, 1)

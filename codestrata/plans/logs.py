@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ensure_checkpoints
 from ..operators import graph as G
 from ..operators import usage as U
+from ..sources import inputs as N
+from ..streaming import requests as Q
 from .history import read
 from .registry import query
 
@@ -18,15 +21,16 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("usage_metrics", "SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS projects, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM events GROUP BY event_type")
 def usage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calls(spark, sf_dir).groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("project").alias("projects"))
-    total = c.agg(F.sum("calls").alias("all"))
-    return c.crossJoin(F.broadcast(total)).select("tool", "calls", "projects", F.round(F.col("calls") * 100.0 / F.col("all"), 1).alias("pct"))  # one row
+    return U.with_share(c, []).select("tool", "calls", "projects", "pct")
 
 
-@query("usage_grouping_sets", "SELECT tool, coalesce(project, '*') AS project, count(*) AS calls FROM (SELECT event_type AS tool, CAST(user_id AS VARCHAR) AS project FROM events) GROUP BY GROUPING SETS ((tool), (tool, project))")
+@query("usage_grouping_sets", """
+    SELECT source, project, tool, count(*) AS calls, CAST(grouping(source, project, tool) AS BIGINT) AS level
+    FROM (SELECT event_type AS source, user_id AS project, hour(ts) AS tool FROM events) GROUP BY GROUPING SETS ((source), (source, tool), (source, project, tool))
+""")
 def usage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir).withColumn("project", F.col("project").cast("string"))
-    sets = c.groupingSets([["tool"], ["tool", "project"]], "tool", "project").agg(F.count(F.lit(1)).alias("calls"))
-    return sets.withColumn("project", F.coalesce("project", F.lit("*")))
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("project"), F.hour("ts").cast("long").alias("tool"))
+    return U.grouping_sets(rows, "source", "project", "tool").withColumn("level", F.col("level").cast("long"))
 
 
 @query("usage_daily", """
@@ -84,25 +88,38 @@ def sequence_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of every part in the tree that halving its number makes."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    ensure_checkpoints(spark)
     edges = read(spark, sf_dir, "part").where("p_partkey >= 2").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
     return G.closure(edges)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="codestrata-")
-
-
 @query("json_requests", """
-    SELECT event_type AS verb, count(*) AS requests, count(*) FILTER (json_valid(props)) AS parsed, count(*) FILTER (NOT json_valid(props)) AS malformed FROM events GROUP BY event_type
+    SELECT CASE WHEN event_type = 'purchase' THEN 'refs' WHEN event_type = 'click' THEN 'symbols' ELSE NULL END AS verb,
+           CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'click' THEN 'missing_field' WHEN json_valid(props) AND props LIKE '{%' THEN 'unknown_command' ELSE 'invalid_json' END AS error, count(*) AS requests
+    FROM events WHERE event_type IN ('purchase', 'click') OR trim(props) <> '' GROUP BY 1, 2
 """)
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.try_parse_json("props").isNotNull()
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("verb")).agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(ok, 1)).alias("parsed"), F.count(F.when(~ok & F.col("props").isNotNull(), 1)).alias("malformed"))
+    """Purchases ask for references, clicks forget the path, the others send what they carry."""
+    line = F.when(F.col("event_type") == "purchase", F.to_json(F.struct(F.lit("refs").alias("command"), F.col("user_id").cast("string").alias("name")))).when(F.col("event_type") == "click", F.lit('{"command": "symbols"}')).otherwise(F.col("props"))
+    rows = Q.parse(read(spark, sf_dir, "events").select(line.alias("value")))
+    return rows.groupBy(F.col("request.command").alias("verb"), "error").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("log_turns", """
+    SELECT conv_id AS session, CAST(turn AS BIGINT) AS ord, role AS kind, CASE WHEN role = 'user' THEN text END AS prompt, '2025-01-01' AS day FROM conversations WHERE role IN ('user', 'assistant')
+""")
+def log_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of a log and back."""
+    value = F.to_json(F.struct(F.col("role").alias("type"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("message")))
+    raw = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("ord"), value.alias("value"))
+    return N.log_rows(raw, "agent", F.lit("p")).select("session", "ord", "kind", "prompt", "day")
+
+
+@query("log_totals", "SELECT 'agent' AS source, count(DISTINCT conv_id) AS files, count(DISTINCT conv_id) FILTER (role = 'user') AS sessions, CAST(0 AS BIGINT) AS calls, count(*) AS records FROM conversations WHERE role IN ('user', 'assistant')")
+def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    raw = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("ord"), value.alias("value"))
+    return N.log_totals(N.log_rows(raw, "agent", F.lit("p")))
 
 
 @query("content_key", "SELECT doc_id, sha256(text) AS content_key FROM documents")
@@ -110,7 +127,7 @@ def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("content_key"))
 
 
-@query("cache_misses", "SELECT sha256(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents d WHERE doc_id >= 0 AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text)) GROUP BY 1")
+@query("cache_misses", "SELECT sha256(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text)) GROUP BY 1")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content is not among the cached results (the benchmark's texts), once a content."""
     cached = read(spark, sf_dir, "benchmark").select(F.sha2(F.col("text"), 256).alias("content_key"))

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import history, logs, review  # noqa: E402, F401  (they register themselves)
+from . import code, history, logs, review  # noqa: E402, F401  (they register themselves)

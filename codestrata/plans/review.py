@@ -212,55 +212,3 @@ def line_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").where("text is not null")
     at = R.search(docs, "doc_id", "text", ["the"]).groupBy("key").agg(F.min("ln").alias("at"))
     return I.snippet(R.lines(docs, "doc_id", "text").withColumnRenamed("line", "text"), at).withColumnRenamed("at", "pos")
-
-
-@query("attribute_refs", """
-    WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|class)="([^"]*)"', 1)) AS value FROM pages)
-    SELECT value, count(*) AS refs, count(DISTINCT page_id) AS pages FROM m WHERE value <> '' GROUP BY value
-""")
-def attribute_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:href|class)="([^"]*)"'), F.lit(1))).alias("value"))
-    return found.where("value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("page_id").alias("pages"))
-
-
-@query("caller_route", """
-    SELECT user_id, date_trunc('hour', ts) AS hour, CAST(min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS INTEGER) AS rank FROM events GROUP BY user_id, date_trunc('hour', ts)
-""")
-def caller_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return R.first_route(rows, ["user_id", "hour"], R.route({"purchase": 1, "click": 2}, F.col("event_type")))
-
-
-@query("bucket_precedence", """
-    WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS r FROM events GROUP BY 1, 2)
-    SELECT day, count(*) FILTER (r = 1) AS normal, count(*) FILTER (r = 2) AS low, count(*) FILTER (r = 3) AS informational FROM b GROUP BY day
-""")
-def bucket_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    ranked = R.first_route(rows, ["user_id", "day"], R.route({"purchase": 1, "click": 2}, F.col("event_type")))
-    n = lambda r, name: F.count(F.when(F.col("rank") == r, 1)).alias(name)
-    return ranked.groupBy("day").agg(n(1, "normal"), n(2, "low"), n(3, "informational"))
-
-
-@query("unresolved_anti", "SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND CAST(p.ts AS DATE) = CAST(e.ts AS DATE))")
-def unresolved_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of users without a purchase that day."""
-    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    return e.join(e.where("event_type = 'purchase'").select("user_id", "day").distinct(), ["user_id", "day"], "left_anti").select("event_id", "user_id", "event_type")
-
-
-@query("impact_groups", "SELECT CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type)) AS kinds, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct sorted symbols per file."""
-    return read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("kinds"), F.countDistinct("user_id").alias("users"))
-
-
-@query("signature_change", """
-    WITH o AS (SELECT o_custkey AS name, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS old_line, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'O') AS new_line FROM orders GROUP BY o_custkey)
-    SELECT name, old_line, new_line FROM o WHERE old_line IS NOT NULL AND new_line IS NOT NULL AND old_line <> new_line
-""")
-def signature_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First removed against first added line of a symbol."""
-    o = read(spark, sf_dir, "orders")
-    first = lambda s: F.min_by("o_orderpriority", F.when(F.col("o_orderstatus") == s, F.struct("o_orderdate", "o_orderkey")))
-    return o.groupBy(F.col("o_custkey").alias("name")).agg(first("F").alias("old_line"), first("O").alias("new_line")).where("old_line <> new_line")

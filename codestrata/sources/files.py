@@ -34,8 +34,13 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None, excluded_
 
 
 def merged(scan: DataFrame, extra: DataFrame) -> DataFrame:
-    """A scan and explicit files, each path once."""
-    return scan.unionByName(extra).dropDuplicates(["path"])
+    """A scan and explicit files, each path once, however it is written; what the scan gave stands before the others."""
+    from ..operators.lexing import resolved
+
+    both = scan.withColumn("later", F.lit(False)).unionByName(extra.withColumn("later", F.lit(True))).withColumn("canonical", F.coalesce(resolved(F.col("path")), F.col("path")))
+    names = [c for c in scan.columns if c != "path"]
+    best = both.groupBy("canonical").agg(F.min_by(F.struct("path", *names), F.struct("later", "path")).alias("row"))
+    return best.select(*[F.col(f"row.{c}").alias(c) for c in scan.columns])
 
 
 def names(spark: SparkSession, name: str | None = None, many: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 REVISION = re.compile(r"^[A-Za-z0-9_][A-Za-z0-9_./~^@{}-]*$")
@@ -21,6 +22,10 @@ def checked(revision: str) -> str:
     return revision
 
 
+def is_working_copy(root: str) -> bool:
+    return subprocess.run(["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True, text=True, check=False).stdout.strip() == "true"
+
+
 def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True, errors="replace").stdout
 
@@ -46,16 +51,27 @@ def commits(spark: SparkSession, root: str, base: str = "HEAD") -> tuple[DataFra
     )
 
 
-def blame(spark: SparkSession, root: str, paths: list[str], base: str = "HEAD") -> DataFrame:
-    """(path, ln, sha): 0-based lines."""
-    rows = []
-    for p in paths:
-        ln = 0
-        for line in git(root, "blame", "--line-porcelain", checked(base), "--", p).split("\n"):
-            if m := re.match(r"^([0-9a-f]{40}) \d+ (\d+)", line):
-                ln = int(m[2]) - 1
-                rows.append((p, ln, m[1]))
-    return spark.createDataFrame(rows, "path string, ln int, sha string")
+def blame(spark: SparkSession, root: str, paths: list[str], base: str = "HEAD", moved: bool = False, copied: bool = False, tasks: int = 8) -> DataFrame:
+    """(path, ln, sha, author_mail, author_time): 0-based lines. Files are blamed in parallel by tasks; the working copy
+    must lie where they can read it."""
+    options, rev = [*(["-M"] if moved else []), *(["-C"] if copied else [])], checked(base)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                sha = ln = mail = None
+                for line in git(root, "blame", "--line-porcelain", *options, rev, "--", p).split("\n"):
+                    if m := re.match(r"^([0-9a-f]{40}) \d+ (\d+)", line):
+                        sha, ln = m[1], int(m[2]) - 1
+                    elif line.startswith("author-mail "):
+                        mail = line[12:].strip("<>")
+                    elif line.startswith("author-time "):
+                        rows.append((p, ln, sha, mail, int(line[12:])))
+            yield pd.DataFrame(rows, columns=["path", "ln", "sha", "author_mail", "author_time"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(tasks, len(paths))))
+    return listed.mapInPandas(run, "path string, ln int, sha string, author_mail string, author_time long")
 
 
 def blob(spark: SparkSession, root: str, revision: str, path: str) -> DataFrame:
