@@ -1,18 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 The forest's planes come from a bounded sample (``SAMPLE`` vectors that hash lowest); every row is indexed
-with it, once a tree. A query searches all trees through one priority queue, ordered by the smallest margin on
-the way, and takes leaves until they cover ``COVER`` of the sample; then all rows of those leaves are reranked
-by the exact cosine in double precision. ``COVER`` is a share, so recall does not fall as the data grows; 0.55
-is set for data without any clusters, where neighbours are hardly nearer than the rest (recall 0.94 measured),
+with it, its leaf in each tree. A query searches all trees through one priority queue, ordered by the smallest margin on
+the way, and takes leaves until they cover ``COVER`` of the sample; then all rows that lie in one of those leaves are
+reranked by the exact cosine in double precision. ``COVER`` is a share, so recall does not fall as the data grows; 0.6
+is set for data without any clusters, where neighbours are hardly nearer than the rest (see the README for the curve);
 clustered data needs far less.
 
-A leaf holding more than ``BLOCK_ROWS`` rows, such as that of a very common vector, is cut into blocks by id,
-and each leaf block returns its own k best, so no task gathers a leaf of unbounded size.
+Vectors move once. A row goes with its leaves, a query with one bit for each leaf of the forest, so a row that several
+trees lead to is reranked once. Rows are dealt to blocks and queries to chunks of bounded bytes, whatever their leaves, and
+a task has one of each; a very common vector fills no task of its own. Each returns its own k best.
 
 Dirty input. See ``vectors.valid`` for rows that take no part; zero vectors take none either. A vec_id on
 several rows counts once with its best score and never as a partner of itself. Ties go to the smaller
-vec_id. Tables of up to ``LEAST`` vectors are searched whole. Other columns are not looked at.
+vec_id. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,20 +23,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .text import mix
 from .vectors import best, matrix, sample, top_rows, unit, valid
 
 K = 5
 EVERY = 50
-TREES = 8
+TREES = 16
 SAMPLE = 16384
-LEAF = 24
-COVER = 0.55
-LEAST = 512
-BLOCK_ROWS = 32768
+LEAF = 12
+COVER = 0.6
+#: Bytes of the vectors of a block of rows, and of a chunk of queries.
+BLOCK_BYTES = 32 << 20
 CELLS = 2 << 20
 
 
@@ -107,59 +110,65 @@ def search(forest: list[Tree], q: np.ndarray, most: int, n: int) -> list[tuple[i
 
 
 def _index(forest: list[Tree]):
+    """Adds each row's leaves and an even number by which rows are dealt, equal rows too."""
+
     def run(batches):
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             if b.num_rows:
                 u = unit_rows(matrix(b.column("v")))
                 leaves = np.stack([t.leaf_of(u) for t in forest], 1).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, len(forest), dtype=np.int32)), pa.array(leaves.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), rows], names=["vec_id", "v", "leaves"])
+                deal = mix(np.arange(at, at + b.num_rows).astype(np.uint64)) >> np.uint64(1)
+                at += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), rows, pa.array(deal.astype(np.int64))], names=["vec_id", "v", "leaves", "deal"])
 
     return run
 
 
 def _probe(forest: list[Tree], n: int, most: int):
+    """(query_id, q, leaves): a bit for every leaf of the forest, tree after tree."""
+    first = np.cumsum([0, *(len(t.leaves) for t in forest)])
+
     def run(batches):
         for b in batches:
             if b.num_rows:
-                found = [search(forest, q, most, n) for q in unit_rows(matrix(b.column("v")))]
-                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                pairs = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["query_id", "q", "tree", "leaf"]
-                )
+                bits = np.zeros((b.num_rows, first[-1]), bool)
+                for i, q in enumerate(unit_rows(matrix(b.column("v")))):
+                    found = np.array(search(forest, q, most, n)).reshape(-1, 2)
+                    bits[i, first[found[:, 0]] + found[:, 1]] = True
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["query_id", "q", "leaves"])
 
     return run
 
 
-def _rerank(k: int):
+def _rerank(k: int, sizes: list[int]):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    first = np.cumsum([0, *sizes])
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if data.num_rows and queries.num_rows:
-            key = lambda t: (t.column("tree").to_numpy().astype(np.int64) << 48) | (t.column("leaf").to_numpy().astype(np.int64) << 24) | t.column("block").to_numpy()
-            dk, qk = key(data), key(queries)
-            ids, x = data.column("vec_id").to_numpy(), matrix(data.column("v"))
+            ids, x, leaves = data.column("vec_id").to_numpy(), matrix(data.column("v")), matrix(data.column("leaves"), np.int32) + first[:-1]
             qids, q = queries.column("query_id").to_numpy(), matrix(queries.column("q"))
-            xn, qn = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-            dorder, qorder = np.argsort(dk, kind="stable"), np.argsort(qk, kind="stable")
-            units = np.intersect1d(dk, qk)
-            ends = lambda keys, order: (np.searchsorted(keys[order], units), np.searchsorted(keys[order], units, side="right"))
-            for da, db, qa, qb in zip(*ends(dk, dorder), *ends(qk, qorder), strict=True):
-                at, qat = dorder[da:db], qorder[qa:qb]
-                step = max(1, CELLS // len(at))
-                for i in range(0, len(qat), step):
-                    part = qat[i : i + step]
-                    s = (q[part] @ x[at].T) / (qn[part][:, None] * xn[at][None, :])
-                    s[qids[part][:, None] == ids[at][None, :]] = -np.inf
-                    for j, row in zip(part, s, strict=True):
-                        top = top_rows(ids[at], row, k)
-                        if len(np.unique(ids[at[top]])) < len(top):  # repeated rows of an id count once
-                            order = np.lexsort((ids[at], -row))
-                            order = order[row[order] > -np.inf]
-                            top = order[np.sort(np.unique(ids[at[order]], return_index=True)[1])[:k]]
-                        out.append((np.full(len(top), qids[j]), ids[at[top]], row[top]))
+            packed = np.stack([np.frombuffer(r, np.uint8) for r in queries.column("leaves").to_pylist()])
+            xn, qn, repeats = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1)), len(np.unique(ids)) < len(ids)
+            step = max(1, CELLS // len(ids))
+            for i in range(0, len(qids), step):
+                part = slice(i, i + step)
+                bits = np.unpackbits(packed[part], axis=1, count=first[-1]).astype(bool)
+                met = np.zeros((len(bits), len(ids)), bool)
+                for tree in leaves.T:
+                    met |= bits[:, tree]
+                s = (q[part] @ x.T) / (qn[part][:, None] * xn[None, :])
+                s[~met | (qids[part][:, None] == ids[None, :])] = -np.inf
+                for query, row in zip(qids[part], s, strict=True):
+                    top = top_rows(ids, row, k)
+                    if repeats and len(np.unique(ids[top])) < len(top):  # repeated rows of an id count once
+                        order = np.lexsort((ids, -row))
+                        order = order[row[order] > -np.inf]
+                        top = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+                    out.append((np.full(len(top), query), ids[top], row[top]))
         if not out:
             return schema.empty_table()
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
@@ -168,28 +177,24 @@ def _rerank(k: int):
     return run
 
 
-def forest_search(rows: DataFrame, query_rows: DataFrame, k: int = K, n_trees: int = TREES, n_sample: int = SAMPLE, leaf: int = LEAF, cover: float = COVER, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def forest_search(rows: DataFrame, query_rows: DataFrame, k: int = K, n_trees: int = TREES, n_sample: int = SAMPLE, leaf: int = LEAF, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) over (vec_id, v) rows."""
     spark = rows.sparkSession
     ids, points = sample(rows, n_sample)
     if not len(ids):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = build(unit_rows(points), n_trees, leaf)
-    most = max(math.ceil(cover * len(ids)), min(len(ids), LEAST))
-    index = materialize(rows.mapInArrow(_index(forest), "vec_id long, v array<double>, leaves array<int>"), "forest")
-    entries = index.select("vec_id", "v", F.posexplode("leaves").alias("tree", "leaf"))
-    sizes = entries.groupBy("tree", "leaf").count().where(F.col("count") > block_rows).collect()  # a row a leaf at most
-    blocks = {(s["tree"], s["leaf"]): math.ceil(s["count"] / block_rows) for s in sizes}
-    n_blocks = F.lit(1)
-    if blocks:
-        pairs = [F.lit(x) for (t, f), n in blocks.items() for x in (f"{t}/{f}", n)]
-        n_blocks = F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("/", "tree", "leaf")), F.lit(1))
-    total = index.count() * n_trees
-    buckets = max(8, math.ceil(total / block_rows) * 2)
-    data = entries.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("bucket", unit("tree", "leaf", "block", buckets=buckets))
-    probes = query_rows.select("vec_id", "v").mapInArrow(_probe(forest, len(ids), most), "query_id long, q array<double>, tree int, leaf int")
-    sent = probes.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("bucket", unit("tree", "leaf", "block", buckets=buckets))
-    found = data.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+    most = math.ceil(cover * len(ids))
+    index = materialize(rows.mapInArrow(_index(forest), "vec_id long, v array<double>, leaves array<int>, deal long"), "forest")
+    total, cores = index.count(), spark.sparkContext.defaultParallelism
+    own = block_bytes // (8 * points.shape[1])  # rows a block
+    blocks = max(min(cores, math.ceil(total / 4096)), math.ceil(total / own))
+    probes = materialize(query_rows.select("vec_id", "v").repartition(cores).mapInArrow(_probe(forest, len(ids), most), "query_id long, q array<double>, leaves binary"), "probes")
+    chunks = max(1, math.ceil(probes.count() / own))
+    data = index.withColumn("block", F.pmod("deal", F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sent = probes.withColumn("chunk", unit("query_id", "q", buckets=chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pair = ["block", "chunk"]
+    found = data.groupBy(*pair).cogroup(sent.groupBy(*pair)).applyInArrow(_rerank(k, [len(t.leaves) for t in forest]), "query_id long, vec_id long, score double")
     return best(found, k)
 
 

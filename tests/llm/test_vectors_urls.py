@@ -49,11 +49,11 @@ def test_products_of_large_numbers():
     assert exact_topk.products(q, x).tolist() == [[2**52 + 15, 2**63 - 1]]
 
 
-def test_forest(table):
+def test_forest(spark, table):
     rows = vectors.valid(table, nonzero=True)
     cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
     want = brute(table, 5, True, cosine)
-    for options in ({}, {"block_rows": 16}):  # small tables are searched whole
+    for options in ({"cover": 1.0}, {"cover": 1.0, "block_bytes": 1 << 12}):  # all leaves, in one block and in many
         got = ann.forest_search(rows, rows.where("vec_id % 50 = 0"), **options).collect()
         found = {}
         for r in sorted(got, key=lambda r: r["rank"]):
@@ -63,6 +63,23 @@ def test_forest(table):
             assert [round(r["score"], 9) for r in found[q]] == [round(-s, 9) for s, _ in best]
 
 
+def test_forest_recall(spark):
+    """At the production setting, on vectors without clusters (the hardest) and with some."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(3000, 32))
+    centres = rng.normal(size=(60, 32)) * 3
+    for x in (plain, centres[rng.integers(0, 60, 3000)] + plain):
+        df = vectors.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), nonzero=True)
+        got = ann.forest_search(df, df.where("vec_id % 50 = 0")).collect()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hits = 0
+        for q in range(0, 3000, 50):
+            s = u @ u[q]
+            s[q] = -9
+            hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist()))
+        assert hits / 300 >= 0.9
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<float>")
     rows = vectors.valid(df, nonzero=True)
