@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:

@@ -23,7 +23,7 @@ texts last; it is an order whatever the counts, so counting by sample windows co
    classes are marked in a bit table likewise.
 5. ``_solve``: a block's sets, made once more from the texts, meet once. An R-tree over them, then verification,
    nearest first, skipping pairs that are connected already. A block beyond ``TILE`` sets is solved in tiles, then among one set of each tile
-   group, then what is still apart is checked against every tile, so that no task holds a hot block.
+   group, ``PART`` of them at a time, then each ``PART`` of what is still apart is checked against every tile, so that no task holds a hot block.
 
 Rows that move: a quarter of all shingles at 16 bytes in step 2, the points of texts that share a rare
 shingle, and the sets of texts in blocks. Hashing a text again costs less than moving its set. No pair is emitted before it is verified, and of a hot group not all pairs are.
@@ -54,6 +54,7 @@ CLASS_BITS = 1 << 26
 SLAB = np.uint64((1 << 40) - 1)
 BLOCK_BITS = 1 << 20
 TILE = 96
+PART = 16 * TILE
 LEAF = 8
 
 
@@ -424,6 +425,11 @@ def solved(rows: DataFrame, t: int, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(_solve(t), "a long, b long")
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """(block, parts): into how many parts of some ``PART`` sets those of each block go."""
+    return rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+
+
 def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD, id_col: str = "doc_id", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, row, n, class) of every row, links (a, b) between classes that connect all that is linked)."""
     spark = docs.sparkSession
@@ -465,7 +471,9 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
         return marks.where("kind = 0").drop("kind"), first
     label = components(first)
     named = tiled.join(label, tiled["class"] == label["node"], "left").select(*tiled.columns, F.coalesce("label", "class").alias("known"))
-    leaders = named.where("known = class").select("block", F.lit(0).alias("tile"), "class", "body", "known", F.lit(True).alias("probe"))
+    leaders = named.where("known = class").drop("known", "tile", "tiles")
+    leaders = leaders.join(parted(leaders), "block").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    leaders = leaders.select("block", "tile", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe"))
     second = materialize(first.unionByName(solved(leaders, t, buckets)), "links")
 
     label = components(second)
@@ -473,9 +481,14 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     per = named.groupBy("block", "known").agg(F.count(F.lit(1)).alias("n"))
     largest = per.groupBy("block").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
     named = materialize(named.join(largest, "block").withColumn("probe", F.col("known") != F.col("main")).drop("main"), "named")
-    apart = named.where("probe").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*shape)
-    rest = named.where("not probe").select(*shape).unionByName(apart)
-    third = solved(rest.join(apart.select("block").distinct(), "block", "left_semi"), t, buckets)
+    apart = named.where("probe")
+    apart = apart.join(parted(apart), "block").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    place = (F.col("tile") * F.col("parts") + F.col("part")).alias("tile")  # a tile's sets and a part of what is apart
+    asked = apart.drop("tile").withColumn("tile", F.explode(every("tiles")))
+    met = named.join(apart.select("block", "parts").distinct(), "block").withColumn("part", F.explode(every("parts"))).withColumn("probe", F.lit(False))
+    shape_ = ["block", place, "class", "body", "known", "probe"]
+    third = solved(asked.select(*shape_).unionByName(met.select(*shape_)), t, buckets)
     return marks.where("kind = 0").drop("kind"), materialize(second.unionByName(third), "links")
 
 

@@ -89,6 +89,7 @@ def test_ngram_join_other_thresholds(dirty, t):
 def test_ngram_join_large_block(spark, monkeypatch):
     """A block of many tiles, a chain of sets that link only with their neighbours, and strays."""
     monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "PART", 5)
     w = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(40)]
     rows += [(100 + i, " ".join(w[:90] + [f"x{i}"])) for i in range(30)]
