@@ -328,6 +328,13 @@ def test_every_id_sees_a_window_back(monkeypatch):
 def test_copying_counts_earlier_words():
     of, hashes = np.array([0, 0, 0, 1, 1, 0]), np.array([5, 6, 5, 5, 5, 5], np.uint64)
     assert attention_lm.earlier(of, hashes).tolist() == [0, 0, 1, 0, 1, 2]
+    rng = np.random.default_rng(0)
+    of, hashes = np.sort(rng.integers(0, 9, 4000)), rng.integers(0, 50, 4000).astype(np.uint64)
+    seen = Counter()
+    for o, h, n in zip(of.tolist(), hashes.tolist(), attention_lm.earlier(of, hashes).tolist(), strict=True):
+        assert n == seen[o, h]
+        seen[o, h] += 1
+    assert attention_lm.earlier(of[:0], hashes[:0]).tolist() == []
 
 
 def test_subword_counts_survive_the_last_flush(monkeypatch):
