@@ -50,6 +50,7 @@ class Tree:
         self.root = self._grow(x, np.arange(len(x)), leaf, rng)
         self.planes = np.array(self.planes).reshape(len(self.planes), x.shape[1])
         self.offsets, self.children = np.array(self.offsets), np.array(self.children, int).reshape(-1, 2)
+        self.ways = self.children.tolist()
 
     def _grow(self, x: np.ndarray, at: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         if len(at) > leaf:
@@ -92,20 +93,20 @@ def search(forest: list[Tree], q: np.ndarray, most: int, n: int) -> list[tuple[i
     """(tree, leaf) of one query: leaves in the order of the shared queue until they cover ``most`` of the n
     sampled points."""
     heap = [(0.0, t, tree.root) for t, tree in enumerate(forest)]
-    margins = [tree.planes @ q - tree.offsets if len(tree.planes) else None for tree in forest]
+    margins = [(tree.planes @ q - tree.offsets).tolist() if len(tree.planes) else [] for tree in forest]
     seen, covered, out = np.zeros(n, bool), 0, []
     while heap and covered < most:
         worst, t, node = heapq.heappop(heap)
-        if node < 0:
-            out.append((t, -1 - node))
-            at = forest[t].leaves[-1 - node]
-            covered += int((~seen[at]).sum())
-            seen[at] = True
-            continue
-        m = margins[t][node]
-        left, right = forest[t].children[node]
-        heapq.heappush(heap, (max(worst, m), t, int(left)))
-        heapq.heappush(heap, (max(worst, -m), t, int(right)))
+        while node >= 0:  # down to the nearest leaf; the way not taken waits in the queue
+            m = margins[t][node]
+            left, right = forest[t].ways[node]
+            near, far = (left, right) if m <= 0 else (right, left)
+            heapq.heappush(heap, (max(worst, abs(m)), t, far))
+            node = near
+        out.append((t, -1 - node))
+        at = forest[t].leaves[-1 - node]
+        covered += len(at) - int(np.count_nonzero(seen[at]))
+        seen[at] = True
     return out
 
 
