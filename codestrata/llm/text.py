@@ -43,10 +43,11 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words of each text)."""
-    return _words(texts)[:2]
+    return hashed_words(texts)[:2]
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, words of each text, where words begin and end in the texts joined by spaces)."""
     buf = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
     space = _space[buf]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
@@ -56,7 +57,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     limits = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(begin, limits), prepend=0)
-    return hashes, counts, end - begin
+    return hashes, counts, begin, end
 
 
 def _ranked(h: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -74,11 +75,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     The upper 6 bits of a shingle are smaller the longer its words are together, so sorting by hash puts long
     shingles, which chance repeats least, first; the other 58 bits are the hash.
     """
-    words, counts, lengths = _words(texts)
-    n = len(words)
+    hashes, counts, begin, end = hashed_words(texts)
+    n, lengths = len(hashes), end - begin
     runs = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
-        runs += words[k : k + len(runs)] * _places[k]
+        runs += hashes[k : k + len(runs)] * _places[k]
     total = np.concatenate([[0], np.cumsum(lengths)])
     runs = _ranked(runs, total[SHINGLE:] - total[:-SHINGLE] if n >= SHINGLE else total[:0])
     out, at = [], 0
@@ -86,7 +87,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         if c >= SHINGLE:
             out.append(np.unique(runs[at : at + c - SHINGLE + 1]))
         elif c:
-            out.append(_ranked((words[at : at + c] * _places[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c), lengths[at : at + c].sum(keepdims=True)))
+            out.append(_ranked((hashes[at : at + c] * _places[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c), lengths[at : at + c].sum(keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += c
