@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import shared_folder
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,12 +22,25 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is planned and run inside when that ends, not when the driver happens
+    to collect garbage. Until then they outlive lost tasks as ever; whoever runs the same plan again makes them anew."""
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Cuts lineage with a written table: every later reader sees the same rows, and a lost executor
     costs a reread rather than a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.options(**options).parquet(path)
+    with shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,15 +62,6 @@ def commonest(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where((F.col(count) > 0) & (bucket >= least))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more. It does so when the driver collects
-    garbage, which a large heap may put off until the disks are full."""
-    for _ in range(2):  # what the first round frees lets the second free its shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def lowest(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
     """The ``n`` rows with the lowest ``key``, an even long such as a hash, of about ``total``. Rows too high to
     be among them go first, so that the driver is sent about n rows, not n from every partition."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commonest, materialize, release, table
+from .common import commonest, materialize, shuffles_freed, table
 from .components import components
 from .text import chunked, groups, mix, shingle_sets
 
@@ -322,7 +322,8 @@ def _bitmap(t: pa.Table) -> pa.Table:
 
 def bit_table(positions: DataFrame, n: int):
     """A broadcast table of n bits, whatever the number of positions."""
-    maps = positions.groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
+    with shuffles_freed(positions.sparkSession):
+        maps = positions.groupBy("block").applyInArrow(_bitmap, "block int, bits binary").toArrow()
     bits = np.zeros(n // 8, np.uint8)
     for block, raw in zip(maps.column("block").to_pylist(), maps.column("bits"), strict=True):
         bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
@@ -432,8 +433,7 @@ def parted(rows: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD, id_col: str = "doc_id", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, row, n, class) of every row, links (a, b) between classes that connect all that is linked)."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(None).cast("long") if row is None else row).alias("row"), F.col(text_col).cast("binary").alias("bytes"))
     marks = materialize(texts.mapInArrow(_marks, "kind int, doc_id long, row long, n long, class long"), "marks")
     common = marks.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n"))
@@ -442,14 +442,10 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
 
     slabs = texts.select("bytes").mapInArrow(_slabs(frequent, t), "h long, class long, nh int").repartition("h")
     marked = bit_table(slabs.mapInArrow(_shared(FILTER_BITS, t), "block int, bit int"), FILTER_BITS)
-    del slabs
-    release(spark)
     entries = texts.select("bytes").mapInArrow(_entries(frequent, marked, t), "h long, class long, body binary")
     united = materialize(entries.repartition("h").mapInArrow(_trees(t), "a long, b long"), "groups")
-    del entries
     frequent.unpersist()
     marked.unpersist()
-    release(spark)
     blocks = components(united).withColumnsRenamed({"node": "class", "label": "block"})
 
     size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
@@ -460,7 +456,6 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
         sets.join(placed, "class").select("block", "tile", "tiles", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe")), "blocks"
     )
     wanted.unpersist()
-    release(spark)
     count = size.agg(F.coalesce(F.sum("tiles"), F.lit(0))).collect()[0][0]
     buckets = max(8, int(count) // 64)
     shape = ["block", "tile", "class", "body", "known", "probe"]

@@ -352,7 +352,8 @@ def test_subwords_equal_library_word_by_word():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
     texts = ["a\u00a0b c", "\u00a0 \u00a0", "Don't STOP\tnow", "", "x\u2003", "日本 é <|endoftext|>", "\u00a0x y"]
-    got = attention_lm.subwords().encode([t.encode() for t in texts])
+    got, distinct, which, n = attention_lm.subwords().encode([t.encode() for t in texts])
+    assert n.tolist() == [len(t.encode().split()) for t in texts] and (distinct[which] == attention_lm.word_hashes([t.encode() for t in texts])[0]).all()
     for t, raw in zip(texts, got, strict=True):
         ids = np.frombuffer(raw, np.uint16)
         own = [w.decode() for w in t.encode().translate(attention_lm.LOWER).split()]
@@ -360,6 +361,18 @@ def test_subwords_equal_library_word_by_word():
         assert attention_lm.subwords().starts[ids].sum() == len(own) + 1
 
 
+def test_forgotten_subwords_are_learned_again(monkeypatch):
+    texts = [[b" ".join(b"w%d" % (i * i % m) for i in range(k, k + 40)), b"", b"Every text has these words"] for k in range(0, 400, 20) for m in (7, 331)]
+    fresh = [attention_lm.Subwords(public_tokenizers.path(attention_lm.TOKENIZER)).encode(t)[0] for t in texts[:4]]
+    for most in (4, 60, 1000):
+        monkeypatch.setattr(attention_lm, "CACHE", most)
+        own = attention_lm.Subwords(public_tokenizers.path(attention_lm.TOKENIZER))
+        got = [own.encode(t)[0] for t in texts + texts[:4]]
+        assert got[-4:] == got[:4] == fresh
+        assert (np.diff(own.keys.astype(object)) > 0).all() and len(own.keys) == len(own.entry) <= len(own.begin) - 1
+        assert len(own.begin) == len(own.length) == len(own.met)
+
+
 def test_language_model_trains_on_long_texts(spark):
     """The only training text is one long text."""
     docs = spark.createDataFrame([(None, "red green blue " * 12000), (1, "red green blue red green blue")], "doc_id long, text string")
