@@ -9,8 +9,8 @@ begins, so the model gives a probability to whole words: their ids, and that the
 
 Training. Each round sends the weights to the executors; every task trains on its own training texts, whole ones of
 any length, by Adagrad steps over batches of ``TRAIN_WINDOWS`` windows, and sends back how far each row of weights moved
-and how often it was met; the mean by those numbers makes the next weights. Of every ``EVERY`` batches that follow each
-other a round takes one, so what is learned from grows with the input and every part of it has the same share.
+and how often it was met; the mean by those numbers makes the next weights. Every window of every training text trains,
+once: a text's checksum says in which of the rounds.
 
 A text is scored whole, in windows of ``SPAN`` ids of which the last ``STRIDE`` are scored, so windows overlap and
 every id is scored once. Windows of many texts make one batch; a mask hides what follows an id and other texts.
@@ -52,9 +52,10 @@ WIDTH = 16
 STRIDE = 16
 SPAN = 32
 ROUNDS = 2
-EVERY = 8
 TRAIN_WINDOWS = 128
 SCORE_WINDOWS = 192
+#: Nodes of the tree, the heaviest ones, whose decisions come from one product for all of them.
+TOP = 64
 RATE = 0.2
 DISCOUNT = 0.75
 MEMORY = 0.25
@@ -187,7 +188,7 @@ class Tree:
     """A binary tree over ids by their counts (Huffman), its root between ids that begin a word and all others.
 
     ``nodes`` and ``signs`` hold, id after id, the inner nodes on the way from the root and the turns taken there, 1
-    for the second child; ``bias`` the log odds of that turn by the counts."""
+    for the second child; ``bias`` the log odds of that turn by the counts. The heavier a node, the lower its number."""
 
     def __init__(self, counts: np.ndarray, starts: np.ndarray):
         n = len(counts)
@@ -215,6 +216,8 @@ class Tree:
                 merged.append(merge(*pair))
             halves.append(merged[-1] if merged else leaves[0])
         root = merge(*halves)
+        number = np.zeros(2 * n - 1, np.int64)
+        number[n + np.argsort(-weight[n:], kind="stable")] = np.arange(n - 1)
         depth = np.zeros(2 * n - 1, np.int64)
         for k in range(root - 1, -1, -1):
             depth[k] = depth[up[k]] + 1
@@ -223,13 +226,13 @@ class Tree:
         self.nodes, self.signs = np.zeros(self.length.sum(), np.int32), np.zeros(self.length.sum(), np.float32)
         at, place, live = np.arange(n), self.start + self.length - 1, np.arange(n)
         while len(live):
-            self.nodes[place[live]] = root - up[at[live]]
+            self.nodes[place[live]] = number[up[at[live]]]
             self.signs[place[live]] = 2 * turn[at[live]] - 1
             at[live] = up[at[live]]
             place[live] -= 1
             live = live[at[live] != root]
         sides = np.zeros((n - 1, 2))
-        sides[root - up[:-1], turn[:-1]] = weight[:-1]
+        sides[number[up[:-1]], turn[:-1]] = weight[:-1]
         self.bias = np.log(sides[:, 1] / sides[:, 0]).astype(np.float32)
 
     def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,6 +245,11 @@ class Tree:
         return self.nodes.take(at), self.signs.take(at), np.repeat(np.arange(len(ids), dtype=np.int32), n), first
 
 
+def blocks(m: np.ndarray) -> np.ndarray:
+    """Rows as (blocks, rows of one, width), small enough that no library starts threads for a product of one."""
+    return m.reshape(-1, STRIDE if len(m) % 128 else 128, m.shape[1])
+
+
 def slots(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts of ids laid out in windows of ``STRIDE``: (id before each slot, with one window before the first; windows
     that begin a text; id of each slot; slots that are no filling)."""
@@ -316,14 +324,24 @@ class Model:
         h += t[STRIDE:, 3 * d :]
         return h
 
-    def decisions(self, h: np.ndarray, ids: np.ndarray):
-        """(node, place in ids, first of each id, node rows, h rows, signed scores, signs) of the decisions for ids."""
+    def decisions(self, h: np.ndarray, keep: np.ndarray, ids: np.ndarray):
+        """Of the decisions for ids, which follow h[keep]: nodes, rows of h, first of each id, (those of the top nodes,
+        their places in an array of top nodes a row of h), (the others, their node rows, their h rows), signed scores,
+        signs."""
         nodes, signs, rows, first = self.tree.ways(ids)
-        u, hr = self.w["u"].take(nodes, 0), h.take(rows, 0)
-        z = np.einsum("ij,ij->i", u, hr)
+        if len(keep) < len(h):
+            rows = keep.take(rows).astype(np.int32)
+        top = self.w["u"][:TOP]
+        upper = nodes < len(top)
+        high, low = np.flatnonzero(upper), np.flatnonzero(~upper)
+        place = rows.take(high) * np.int32(len(top)) + nodes.take(high)
+        z = np.empty(len(nodes), np.result_type(h, top))
+        z[high] = np.matmul(blocks(h), top.T).ravel().take(place)
+        u, hr = self.w["u"].take(nodes.take(low), 0), h.take(rows.take(low), 0)
+        z[low] = np.einsum("ij,ij->i", u, hr)
         z += self.w["b"].take(nodes)
         z *= signs
-        return nodes, first, u, hr, np.clip(z, -30, 30, out=z), signs
+        return nodes, rows, first, (high, place), (low, u, hr), np.clip(z, -30, 30, out=z), signs
 
     def score(self, texts: list[np.ndarray], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log p of each id, and of its first decision), for all ids of all texts."""
@@ -333,7 +351,7 @@ class Model:
         for i in range(0, len(y), step):
             keep = real[np.searchsorted(real, i) : np.searchsorted(real, i + step)] - i
             h = self.states(table, x[i : i + step + STRIDE], fresh[i // STRIDE : (i + step) // STRIDE])
-            _, first, _, _, z, _ = self.decisions(h if len(keep) == len(h) else h[keep], y[i : i + step][keep])
+            _, _, first, _, _, z, _ = self.decisions(h, keep, y[i : i + step][keep])
             np.negative(z, out=z)
             np.exp(z, out=z)
             z += 1
@@ -347,20 +365,30 @@ class Model:
         """(loss, {weights: (rows met, their gradients)}) of the ids y[keep]."""
         w, d = self.w, self.width
         a, q, k, v, p, h = self.forward(x, fresh)
-        nodes, first, u, hr, z, signs = self.decisions(h[keep], y[keep])
+        nodes, rows, first, (high, place), (low, u, hr), z, signs = self.decisions(h, keep, y[keep])
         em = np.exp(-z)
         loss = float(np.log(em + 1).sum())
         g = -signs * em / (em + 1)
-        u *= g[:, None]
-        dh = np.zeros_like(h)
-        dh[keep] = np.add.reduceat(u, first, axis=0)
-        out = {}
-        order = np.argsort(nodes.astype(np.uint16), kind="stable")
-        cut = runs(nodes.take(order))
-        hr *= g[:, None]
-        at = nodes.take(order.take(cut))
-        out["u"] = at, np.add.reduceat(hr.take(order, 0), cut, axis=0)
-        out["b"] = at, np.add.reduceat(g.take(order), cut)
+        top = w["u"][:TOP]
+        by_top = np.zeros((len(h), len(top)), g.dtype)  # gradients of scores
+        by_top.ravel()[place] = g.take(high)
+        dh = np.matmul(blocks(by_top), top).reshape(-1, d)
+        du = [np.matmul(blocks(by_top).transpose(0, 2, 1), blocks(h)).sum(0)]
+        db = [by_top.sum(0)]
+        met = [np.flatnonzero(np.bincount(nodes.take(high), minlength=len(top)))]
+        du[0], db[0] = du[0][met[0]], db[0][met[0]]
+        if len(low):
+            at, gl, row = nodes.take(low), g.take(low), rows.take(low)
+            u *= gl[:, None]
+            hr *= gl[:, None]
+            cut = runs(row)
+            dh[row.take(cut)] += np.add.reduceat(u, cut, axis=0)
+            order = np.argsort(at.astype(np.uint16), kind="stable")
+            cut = runs(at.take(order))
+            met.append(at.take(order.take(cut)))
+            du.append(np.add.reduceat(hr.take(order, 0), cut, axis=0))
+            db.append(np.add.reduceat(gl.take(order), cut))
+        out = {"u": (np.concatenate(met), np.concatenate(du)), "b": (np.concatenate(met), np.concatenate(db))}
         dh3 = dh.reshape(-1, STRIDE, d)
         dp, dv = np.matmul(dh3, v.transpose(0, 2, 1)), np.matmul(p.transpose(0, 2, 1), dh3)
         dp -= np.einsum("bij,bij->bi", dp, p)[:, :, None]
@@ -405,15 +433,13 @@ class Trainer:
             self.model.w[name][at] -= g * (rate[:, None] if g.ndim == 2 else rate)
             met[at] += 1
 
-    def batches(self, texts: list[np.ndarray], first: int, every: int, at: int) -> int:
-        """Steps over every ``every``-th batch, the first one included if it is that; returns how many there were."""
+    def batches(self, texts: list[np.ndarray]) -> None:
+        """Steps over all windows of all texts."""
         x, fresh, y, real = slots(texts)
         step = TRAIN_WINDOWS * STRIDE
-        for n, i in enumerate(range(0, len(y), step)):
-            if (at + n) % every == first:
-                keep = real[np.searchsorted(real, i) : np.searchsorted(real, i + step)] - i
-                self.step(x[i : i + step + STRIDE], fresh[i // STRIDE : (i + step) // STRIDE], y[i : i + step], keep)
-        return -(-len(y) // step)
+        for i in range(0, len(y), step):
+            keep = real[np.searchsorted(real, i) : np.searchsorted(real, i + step)] - i
+            self.step(x[i : i + step + STRIDE], fresh[i // STRIDE : (i + step) // STRIDE], y[i : i + step], keep)
 
 
 class Lookup:
@@ -496,19 +522,19 @@ def _prepared(tokenizer: str):
 MOVE = "name string, block int, met binary, moved binary"
 
 
-def _trained(model, first: int, rate: float):
+def _trained(model, rate: float):
     """(name, block, met, moved) of a task: how its training texts move each block of rows, weighted by how often
     each row was met."""
 
     def run(batches):
-        trainer, start, n = None, model.value, 0
+        trainer, start = None, model.value
         for b in batches:
             for rows in chunked(((x,) for x in b.column("ids").to_pylist()), CHUNK_BYTES):
                 if trainer is None:
                     own = Model.__new__(Model)
                     own.__dict__ |= start.__dict__ | {"w": {k: v.copy() for k, v in start.w.items()}}
                     trainer = Trainer(own, rate)
-                n += trainer.batches([np.frombuffer(r[0], np.uint16) for r in rows], first, EVERY, n)
+                trainer.batches([np.frombuffer(r[0], np.uint16) for r in rows])
         if trainer is None:
             return
         for name, now in trainer.model.w.items():
@@ -536,10 +562,11 @@ def _summed(batches):
 
 
 def train(texts: DataFrame, model: Model) -> None:
-    """Moves the model's weights by rounds over (ids) of all training texts. What the driver gets is one row a block."""
+    """Moves the model's weights by rounds over (ids) of all training texts, each of them in the round that its checksum
+    gives. What the driver gets is one row a block."""
     for r in range(ROUNDS):
         sent = texts.sparkSession.sparkContext.broadcast(model)
-        moves = texts.mapInArrow(_trained(sent, r, RATE / (1 + r)), MOVE).repartition("name", "block").mapInArrow(_summed, MOVE).toArrow()
+        moves = texts.where(F.crc32("ids") % ROUNDS == r).mapInArrow(_trained(sent, RATE / (1 + r)), MOVE).repartition("name", "block").mapInArrow(_summed, MOVE).toArrow()
         sent.unpersist()
         for name, block, moved in zip(*(moves.column(c).to_pylist() for c in ("name", "block", "moved")), strict=True):
             rows = model.w[name][block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS]

@@ -391,6 +391,16 @@ def test_training_lowers_the_loss(spark):
     assert model.score(texts)[0].mean() > before + 0.5
 
 
+def test_every_window_trains(spark):
+    """Each window's id, in texts of many windows and of one, stands nowhere else."""
+    windows = np.arange(40, 2600)
+    texts = [np.append(np.repeat(w, attention_lm.STRIDE), attention_lm.END).astype(np.uint16) for w in [*np.split(windows[:1536], 3), *windows[1536:, None]]]
+    model = attention_lm.Model(attention_lm.Tree(np.bincount(np.concatenate(texts), minlength=attention_lm.VOCABULARY), attention_lm.subwords().starts))
+    attention_lm.train(spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(2), model)
+    last = model.tree.nodes[(model.tree.start + model.tree.length - 1)[windows]]  # decisions that no other text's windows but a sibling's make
+    assert model.w["u"].any(1)[last].all()  # all rows begin as 0
+
+
 def test_attention_gradients(monkeypatch):
     monkeypatch.setattr(attention_lm, "END", 29)
     rng = np.random.default_rng(1)
@@ -410,6 +420,26 @@ def test_attention_gradients(monkeypatch):
         assert g[(k, *at[1:])] == pytest.approx((up - down) / 2e-4, rel=0.02, abs=1e-3), name
 
 
+def test_top_nodes_change_nothing(monkeypatch):
+    """The root's decisions, those of some nodes or all by one product: the same scores and gradients."""
+    monkeypatch.setattr(attention_lm, "END", 29)
+    rng = np.random.default_rng(4)
+    model, _ = small_model(rng)
+    texts = [rng.integers(0, 30, n) for n in (5, 40, 33)]
+    found = []
+    for top in (1, 6, 64):
+        monkeypatch.setattr(attention_lm, "TOP", top)
+        loss, grads = model.gradients(*attention_lm.slots(texts))
+        whole = {k: np.zeros_like(w) for k, w in model.w.items()}
+        for name, (at, g) in grads.items():
+            assert len(np.unique(at)) == len(at)
+            whole[name][at] = g
+        found.append([np.float64(loss), *model.score(texts), *whole.values()])
+    for other in found[1:]:
+        for x, y in zip(found[0], other, strict=True):
+            np.testing.assert_allclose(y, x, rtol=1e-3, atol=1e-4)
+
+
 def held_out_figures(spark, sf: str):
     rows = attention_lm.op7_attention_lm(spark, f"/root/testdata/{sf}").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
     return rows["sum(score)"] / rows["sum(n_tokens)"], rows["sum(base_score)"] / rows["sum(n_tokens)"]
