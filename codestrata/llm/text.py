@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
+def powers_to(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         _powers[:] = []
         for base in (_MULTIPLIER, _INVERSE):
@@ -52,7 +52,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     space = _space[buf]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     begin, end = edge[::2], edge[1::2]
-    up, down = _powers_to(len(buf) + 1)
+    up, down = powers_to(len(buf) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_bytes[buf] * up[: len(buf)])])
     hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     limits = np.cumsum([len(t) + 1 for t in texts])

@@ -9,7 +9,7 @@ stream is its ``local_start`` plus the tokens of all earlier parts, a sum over a
 files.
 
 Encoding asks the tokenizers library for every distinct word once a worker (see ``Encoder``) and keeps a
-bounded cache of the answers.
+bounded cache of the answers, found by 64-bit hashes of the words.
 
 Dirty input. Null text counts as empty: one end id. A text that holds a special token's string gets that token, as the
 library does by default. Null ids come first; equal ids are ordered by a hash of
@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .attention_lm import ranges, runs
 from .common import scratch_path, table
+from .text import mix, powers_to
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -41,6 +43,12 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
 CACHE = 500_000
+#: Units known by their hashes, some 50 bytes each, before those not met lately are forgotten.
+KNOWN = 1_000_000
+#: Bytes of a unit found by its hash; what strings collide in it by their making is far longer.
+LONGEST = 255
+#: Stands before a text, since no UTF-8 holds it.
+HEAD = b"\xff"
 MARKS = ".,;:!?"
 #: Bytes of text a file.
 FILE_BYTES = 16 << 20
@@ -48,6 +56,9 @@ FILE_BYTES = 16 << 20
 BATCH_TOKENS = 1_000_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 1 << 20
+_cuts = np.zeros(256, bool)
+_cuts[[10, 32, HEAD[0]]] = True
+_bytes = np.random.default_rng(20240302).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -61,6 +72,11 @@ class Encoder:
     before a lone space between two characters that aren't white space, and before and after such a line
     feed, and merges stay within pieces, so units are encoded alike alone and in place. Texts that hold the string of
     a special token are encoded as they are, since the library cuts there first.
+
+    Most texts have no white space but lone spaces and line feeds. Their units, the first word among them, are
+    found all at once: ``keys`` are sorted hashes, ``entry`` leads to where a unit's ids begin in ``flat`` and how many
+    they are; ``odd`` marks units with other white space. Texts with such units, other texts and those with
+    units of more than ``LONGEST`` bytes go word by word.
     """
 
     def __init__(self, path: str):
@@ -76,12 +92,129 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.entry, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.met, self.odd = np.zeros(0, bool), np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        """Keeps the units met again since the last time; all go if those are more than half of what is held."""
+        kept = self.met[self.entry]
+        if 2 * kept.sum() > KNOWN:
+            return self._forget()
+        old = self.entry[kept]
+        self.keys, self.entry = self.keys[kept], np.arange(len(old), dtype=np.int32)
+        self.flat = self.flat.take(ranges(self.begin[old], self.length[old]))
+        self.length, self.odd = self.length[old], self.odd[old]
+        self.begin = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.met = np.zeros(len(old), bool)
+
+    def _learn_units(self, units: list[bytes]) -> np.ndarray:
+        """Entries for new units, which begin with what stands before them."""
+        places, sizes, begins, flats = [], [], [], []
+        base, single, odd = len(self.flat), [], []
+
+        def add(at: list[int], flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+            nonlocal base
+            places.append(np.array(at, np.int64))
+            begins.append(begin + base)
+            sizes.append(size)
+            flats.append(flat)
+            base += len(flat)
+
+        for lead, mark in ((" ", ""), ("\n", "\0")):
+            own = [i for i, u in enumerate(units) if u[0] == ord(lead)]
+            for some in (own[i : i + 1024] for i in range(0, len(own), 1024)):
+                text = b"".join([units[i] for i in some]).decode()
+                if "\0" in text or text.split() != text[1:].split(lead):
+                    plain = []
+                    for i in some:
+                        w = units[i][1:].decode()
+                        (odd if w.split() != [w] else single if "\0" in w else plain).append(i)
+                    some = plain
+                if some:
+                    add(some, *self._flat_units([units[i].decode() for i in some], mark))
+        for i, u in enumerate(units):
+            if u[:1] == HEAD:
+                w = u[1:].decode()
+                (odd if w and w.split() != [w] else single).append(i)
+        for at, ids in ((single, self._ask([units[i].removeprefix(HEAD).decode() for i in single])), (odd, [b""] * len(odd))):
+            size = np.array([len(x) // 4 for x in ids], np.int64)
+            add(at, np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size, size)
+        out, first = np.empty(len(units), np.int32), len(self.begin)
+        out[np.concatenate(places)] = np.arange(first, first + len(units))
+        self.begin = np.concatenate([self.begin, *begins]).astype(np.int32)
+        self.length = np.concatenate([self.length, *sizes]).astype(np.int32)
+        self.flat = np.concatenate([self.flat, *flats])
+        self.met = np.append(self.met, np.zeros(len(units), bool))
+        self.odd = np.append(self.odd, np.arange(len(units)) >= len(units) - len(odd))
+        return out
+
+    def _places(self, hashes: np.ndarray, unit) -> np.ndarray:
+        """Entries of sorted distinct hashes; ``unit`` gives the bytes of those in some places."""
+        if len(self.keys) > KNOWN:
+            self._shrink()
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != hashes[inside]
+        fresh, out = np.flatnonzero(new), np.empty(len(hashes), np.int32)
+        out[~new] = self.entry[at[~new]]
+        self.met[out[~new]] = True
+        if len(fresh):
+            out[fresh] = self._learn_units(unit(fresh))
+            self.keys = np.insert(self.keys, at[fresh], hashes[fresh])
+            self.entry = np.insert(self.entry, at[fresh], out[fresh])
+        return out
+
+    def _by_units(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of the texts that have units alone, None for the others."""
+        joined = HEAD + HEAD.join([t.encode() for t in texts])
+        buf = np.frombuffer(joined, np.uint8)
+        begin = np.flatnonzero(_cuts[buf])
+        size = np.diff(begin, append=len(buf))
+        end, n = begin + size, np.diff(np.flatnonzero(buf[begin] == HEAD[0]), append=len(begin))
+        of = np.repeat(np.arange(len(texts)), n)
+        other = np.zeros(len(texts), bool)
+        other[of[(size == 1) & (n[of] > 1) | (size > LONGEST)]] = True
+        for t in self.special:
+            if t.encode() in joined:
+                other |= np.array([t in x for x in texts])
+        up, down = powers_to(len(buf) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_bytes[buf] * up[: len(buf)])])
+        kept = np.flatnonzero(~other[of])
+        a, b = begin[kept], end[kept]
+        hashes = mix((total[b] - total[a]) * down[a] + size[kept].astype(np.uint64))
+        order = hashes.argsort()
+        own = hashes[order]
+        cut = runs(own) if len(own) else order
+        place = kept[order[cut]]
+        entry = self._places(own[cut], lambda new: [joined[i:j] for i, j in zip(begin[place[new]].tolist(), end[place[new]].tolist(), strict=True)])
+        entries = np.empty(len(own), np.int32)
+        entries[order] = np.repeat(entry, np.diff(np.append(cut, len(own))))
+        length = np.zeros(len(of), np.int64)
+        length[kept] = self.length.take(entries)
+        other[of[kept[self.odd.take(entries)]]] = True
+        flat = self.flat.take(ranges(self.begin.take(entries), self.length.take(entries)))
+        limits = [0, *np.cumsum(length)[np.cumsum(n) - 1].tolist()]
+        return [None if x else flat[i:j] for x, i, j in zip(other.tolist(), limits, limits[1:])]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        found = self._by_units(texts)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self._by_words([texts[i] for i in rest]), strict=True):
+            found[i] = x
+        return found
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask_units(self, units: list[str], mark: str) -> list[bytes]:
-        """Many units in one text. With a NUL after each, which is in no merge, its id marks the ends; units that
+    def _flat_units(self, units: list[str], mark: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each unit's begin, how many they are) of many units in one text. With a NUL after each, which is in no merge, its id marks the ends; units that
         begin with their only space are cut before the tokens that begin with one."""
         flat = np.array(self.tokenizer.encode_batch_fast([mark.join(units) + mark], add_special_tokens=False)[0].ids, np.int32)
         if mark:
@@ -90,8 +223,12 @@ class Encoder:
         else:
             begins = np.flatnonzero(self.leads[flat])
             ends = np.append(begins[1:], len(flat))
+        return flat, begins, ends - begins
+
+    def _ask_units(self, units: list[str], mark: str) -> list[bytes]:
+        flat, begins, size = self._flat_units(units, mark)
         raw = flat.tobytes()
-        return [raw[i:j] for i, j in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)]
+        return [raw[i:j] for i, j in zip((begins * 4).tolist(), ((begins + size) * 4).tolist(), strict=True)]
 
     def _learn(self, new: list[str], whole: bool) -> None:
         spaced, lined, odd = [], [], []
@@ -144,11 +281,11 @@ class Encoder:
             self.cache[w] = self.cache[core] + self.tails[tail]
         return bad
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, text in enumerate(texts) if any(t in text for t in self.special)]
         if whole:
             found = dict(zip(whole, self._ask([texts[i] for i in whole]), strict=True))
-            rest = iter(self.encode_many([t for i, t in enumerate(texts) if i not in found]))
+            rest = iter(self._by_words([t for i, t in enumerate(texts) if i not in found]))
             return [np.frombuffer(found[i], np.int32) if i in found else next(rest) for i in range(len(texts))]
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {}

@@ -190,6 +190,22 @@ def test_token_encoder_equals_library():
     assert 50256 in got[0].tolist()
 
 
+def test_token_units_known_by_hash(monkeypatch):
+    """Plain texts go by units alone; forgotten, odd, long and repeated units give the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    own, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    monkeypatch.setattr(token_files, "KNOWN", 12)
+    plain = [["one two, two\nthree one", "One TWO é", "", "don't one\n日本 <x>"], ["ab" * 100, "", "a\0b c\0 d\0\n\0e"], [], ["two, one", *(f"w{i} one\nx{i}" for i in range(40))], ["one", "one two, 7"]]
+    mixed = ["a\n\nb", " a", "a ", "\n", "a\u3000b c", "one \u00a0two", "x " + "ab" * 200, "a <|endoftext|> b", "one two", "\u2028", "a\u0085", "ab\x1cc"]
+    for texts in plain:
+        assert [g.tolist() for g in encoder.encode_many(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.cache and len(encoder.keys) < 100
+    for _ in range(2):
+        assert [g.tolist() for g in encoder.encode_many(mixed)] == [own.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
 def test_sentencepiece(dirty, nothing):
     import sentencepiece
 
