@@ -9,7 +9,8 @@ The acceptor is what makes this right for BPE models, where the library's result
 any piece weights: it lets (u, v) pass only if merging the characters of u and v together gives u and v again.
 A sequence whose neighbours all pass is the result of the merges, and there is one, so every arc may weigh 1.
 It is built lazily, pair by pair. For unigram models it accepts all pairs and arcs weigh minus the piece's
-score. Inputs are composed unit by unit (white space with the characters up to the next), since no piece has
+score. As there is one accepted path to each position, the sweep of a BPE unit may go depth first, longest arcs first,
+and stop at the end: what it leaves out can't lead there. Inputs are composed unit by unit (white space with the characters up to the next), since no piece has
 white space after another character; units' paths are kept in a bounded cache.
 
 Dirty input. Null text encodes as null and decodes as null; empty text as no ids. Characters outside the
@@ -95,6 +96,13 @@ class Transducer:
         #: The lexicon's states: every beginning of a piece, with the piece's id where one ends.
         self.states = {p[:n]: None for p in self.ids for n in range(1, len(p) + 1)}
         self.states = {p: self.ids.get(p, -1) for p in self.states}
+        #: The same states as nested dictionaries by character; a piece's own text is under "".
+        self.trie: dict = {}
+        for p in self.ids:
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = p
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # what no piece holds ends one
         self.by_units = not any(SPACE in p.lstrip(SPACE) for p in self.ids) and self.escape
         self.unknown_cost = 10 - min(self.score, default=0.0)
@@ -145,10 +153,51 @@ class Transducer:
             return True
         return self.merged((u or "") + v) == ([u, v] if u else [v])
 
+    def deepest(self, unit: str) -> list[int] | None:
+        """``shortest`` for BPE and characters of the lexicon, depth first; None if no path is found."""
+        trie, ids, passes, n = self.trie, self.ids, self.passes, len(unit)
+        i, u, left = 0, None, []  # left: (position, last piece, arcs not tried yet) of each state on the path
+        while i < n:
+            node, arcs = trie, []
+            for ch in unit[i:] if i else unit:
+                node = node.get(ch)
+                if node is None:
+                    break
+                if "" in node:
+                    arcs.append(node[""])
+            while True:
+                after = passes.get(u)
+                if after is None:
+                    after = passes[u] = {}
+                v = None
+                while arcs:
+                    v = arcs.pop()
+                    ok = after.get(v)
+                    if ok is None:
+                        ok = after[v] = self.accepts(u, v)
+                        self.n_passes += 1
+                    if ok:
+                        break
+                    v = None
+                if v is not None:
+                    break
+                if not left:
+                    return None
+                i, u, arcs = left.pop()
+            left.append((i, u, arcs))
+            i, u = i + len(v), v
+        return [*(ids[p] for _, p, _ in left[1:]), ids[u]] if left else []
+
     def shortest(self, unit: str) -> list[int]:
         """Ids on the shortest path through the lattice of a normalised unit."""
         if self.n_passes > PAIRS:
             self.passes, self.n_passes = {}, 0
+        if self.kind == BPE and all(map(self.ids.__contains__, unit)) and (found := self.deepest(unit)) is not None:
+            return found
+        return self.swept(unit)
+
+    def swept(self, unit: str) -> list[int]:
+        """``shortest`` position by position."""
         states, n, bpe = self.states, len(unit), self.kind == BPE
         cost, last, back = [math.inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0

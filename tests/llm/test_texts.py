@@ -221,6 +221,18 @@ def test_sentencepiece(dirty, nothing):
     assert sentencepiece_fst.encode(nothing, out="pieces").count() == 0
 
 
+def test_sentencepiece_depth_first_equals_sweep(spark):
+    own, rng = sentencepiece_fst.transducer(), np.random.default_rng(8)
+    letters = [p for p in own.ids if len(p) == 1]
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(200).collect()
+    units = {u for r in rows for u in sentencepiece_fst.UNIT.findall(own.normalise(r["text"] or ""))}
+    units |= {"".join(rng.choice(letters[:60], int(k))) for k in rng.integers(1, 30, 2000)} | {"a" * 300, "ab" * 200, sentencepiece_fst.SPACE * 9}
+    known = [u for u in sorted(units) if all(ch in own.ids for ch in u)]
+    assert len(known) > 2000
+    for u in known:
+        assert own.deepest(u) == own.swept(u)
+
+
 def test_sentencepiece_unigram_is_the_cheapest_path():
     import itertools
     import struct
