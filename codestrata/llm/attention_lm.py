@@ -165,8 +165,8 @@ class Subwords:
 
 def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ..., n of them, for each pair, n at least 1."""
-    at = np.repeat(begin - (np.cumsum(n, dtype=np.int32) - n), n)
-    at += np.arange(len(at), dtype=np.int32)
+    at = np.repeat(begin - (np.cumsum(n, dtype=begin.dtype) - n), n)
+    at += np.arange(len(at), dtype=begin.dtype)
     return at
 
 
@@ -234,15 +234,19 @@ class Tree:
         sides = np.zeros((n - 1, 2))
         sides[number[up[:-1]], turn[:-1]] = weight[:-1]
         self.bias = np.log(sides[:, 1] / sides[:, 0]).astype(np.float32)
+        self.split: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(node, sign, place in ids) of all decisions for ids, and where each id's begin."""
-        n = self.length.take(ids)
-        total = np.cumsum(n, dtype=np.int32)
-        first = total - n
-        at = np.repeat(self.start.take(ids) - first, n)
-        at += np.arange(len(at), dtype=np.int32)
-        return self.nodes.take(at), self.signs.take(at), np.repeat(np.arange(len(ids), dtype=np.int32), n), first
+    def ways(self, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """On the way to each id, of the nodes below ``top``, which come first, and of the others: how many they are and
+        where they begin (four numbers an id); their codes, twice the node, plus 1 if the second turn is taken there."""
+        if top not in self.split:
+            upper = self.nodes < top
+            high = np.add.reduceat(upper, self.start, dtype=np.int32)
+            low = self.length - high
+            code = 2 * self.nodes + (self.signs > 0)
+            where = np.stack([high, np.cumsum(high) - high, low, np.cumsum(low) - low], 1).astype(np.int32)
+            self.split[top] = where, code[upper].astype(np.uint8 if top <= 128 else np.int32), code[~upper].astype(np.int32)
+        return self.split[top]
 
 
 def blocks(m: np.ndarray) -> np.ndarray:
@@ -250,6 +254,46 @@ def blocks(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, STRIDE if len(m) % 128 else 128, m.shape[1])
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values below 2**16, place of each value in them)."""
+    if len(values) > 1 << 15:
+        seen, place = np.zeros(1 << 16, bool), np.empty(1 << 16, np.int64)
+        seen[values] = True
+        found = np.flatnonzero(seen)
+        place[found] = np.arange(len(found))
+        return found, place.take(values)
+    order = values.astype(np.uint16).argsort(kind="stable")
+    own = values.take(order)
+    new = np.empty(len(own), bool)
+    new[:1] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    place = np.empty(len(own), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[new], place
+
+
+def surprise(z: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """-ln p of the right turns by scores, which are written over."""
+    z *= 1 - 2 * turn
+    np.exp(z, out=z)
+    z += 1
+    return np.log(z, out=z)
+
+
+def summed_rows(parts: list[np.ndarray], place: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of each part, rows that go to the last places given, its sums at n places. Numbers go two and two, as complex
+    ones, if they can."""
+    width = parts[0].shape[1]
+    pair = np.result_type(parts[0], np.complex64) if width % 2 == 0 else parts[0].dtype
+    wide = width * parts[0].itemsize // pair.itemsize
+    cells = np.arange(n * wide).reshape(n, wide).take(place, 0).reshape(-1)
+    out = []
+    for m in parts:
+        out.append(np.zeros((n, width), m.dtype))
+        np.add.at(out[-1].reshape(-1).view(pair), cells[-len(m) * wide :], m.reshape(-1).view(pair))
+    return out
+
+
 def slots(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts of ids laid out in windows of ``STRIDE``: (id before each slot, with one window before the first; windows
     that begin a text; id of each slot; slots that are no filling)."""
@@ -282,156 +326,170 @@ class Model:
         """Rows as (windows, SPAN, width), overlapping, without a copy."""
         return np.lib.stride_tricks.as_strided(m, (len(m) // STRIDE - 1, SPAN, m.shape[1]), (STRIDE * m.strides[0], *m.strides))
 
-    def attend(self, q: np.ndarray, k: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(attention before it is divided by its sums, sums) of scaled queries over keys."""
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, fresh: np.ndarray):
+        """(queries, keys, values, attention before it is divided by its sums, 1 / sums, mean values) of the slots after
+        the first window, by the rows of all slots before positions are added; queries are scaled."""
+        w, d, n = self.w, self.width, len(fresh)
+        q = q[STRIDE:].reshape(n, STRIDE * d) + (w["qp"] * np.float32(d**-0.5)).reshape(-1)
+        q = q.reshape(n, STRIDE, d)
+        by, kp = k.reshape(n + 1, STRIDE * d), w["kp"].reshape(2, STRIDE * d)
+        k = np.empty((n, 2, STRIDE * d), by.dtype)
+        np.add(by[:-1], kp[0], out=k[:, 0])
+        np.add(by[1:], kp[1], out=k[:, 1])
+        k, v = k.reshape(n, SPAN, d), self.spans(v)
         p = np.matmul(q, k.transpose(0, 2, 1))
         np.exp(np.clip(p, -30, 30, out=p), out=p)
-        p *= self.mask
+        flat = p.reshape(n, STRIDE * SPAN)
+        flat *= self.mask.reshape(-1)
         p[fresh, :, : SPAN - STRIDE] = 0
-        return p, p.sum(2, keepdims=True)
+        share = np.reciprocal(p.reshape(-1, SPAN) @ np.ones(SPAN, p.dtype))
+        mean = np.matmul(p, v).reshape(-1, d)
+        mean *= share[:, None]
+        return q, k, v, p, share, mean
 
-    def forward(self, x: np.ndarray, fresh: np.ndarray):
-        """(input, queries, keys, values, attention, h) for the slots after the first window of x."""
-        w, d = self.w, self.width
-        e = w["e"].take(x, 0)
-        a = np.ascontiguousarray(e[:, :d])
-        by = a.reshape(-1, STRIDE, d)  # products of small matrices, for which no library starts threads
-        q = np.matmul(by[1:], w["q"])
-        q += w["qp"]
-        q *= np.float32(d**-0.5)
-        k, v = (self.spans(np.matmul(by, w[m]).reshape(-1, d)) for m in "kv")
-        k = k + w["kp"]
-        p, total = self.attend(q, k, fresh)
-        p /= total
-        h = np.matmul(p, v).reshape(-1, d)
-        h += e[STRIDE:, d:]
-        return a, q, k, v, p, h
-
-    def table(self) -> np.ndarray:
-        """Rows of ids: query, key, value and the direct term, for scores."""
-        a, d = self.w["e"][:, : self.width], self.width
-        return np.concatenate([a @ self.w["q"] * np.float32(d**-0.5), a @ self.w["k"], a @ self.w["v"], self.w["e"][:, d:]], 1)
-
-    def states(self, table: np.ndarray, x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """h of ``forward`` by a table of ids."""
-        d = self.width
-        t = table.take(x, 0)
-        q = t[STRIDE:, :d].reshape(-1, STRIDE, d) + self.w["qp"] * np.float32(d**-0.5)
-        p, total = self.attend(q, self.spans(t[:, d : 2 * d]) + self.w["kp"], fresh)
-        h = np.matmul(p, self.spans(t[:, 2 * d : 3 * d]))
-        h /= total
-        h = h.reshape(-1, d)
-        h += t[STRIDE:, 3 * d :]
-        return h
+    def table(self) -> list[np.ndarray]:
+        """Of all ids queries, keys, values and direct terms, for scores."""
+        a, d = np.ascontiguousarray(self.w["e"][:, : self.width]), self.width
+        return [a @ self.w["q"] * np.float32(d**-0.5), a @ self.w["k"], a @ self.w["v"], np.ascontiguousarray(self.w["e"][:, d:])]
 
     def decisions(self, h: np.ndarray, keep: np.ndarray, ids: np.ndarray):
-        """Of the decisions for ids, which follow h[keep]: nodes, rows of h, first of each id, (those of the top nodes,
-        their places in an array of top nodes a row of h), (the others, their node rows, their h rows), signed scores,
-        signs."""
-        nodes, signs, rows, first = self.tree.ways(ids)
-        if len(keep) < len(h):
-            rows = keep.take(rows).astype(np.int32)
-        top = self.w["u"][:TOP]
-        upper = nodes < len(top)
-        high, low = np.flatnonzero(upper), np.flatnonzero(~upper)
-        place = rows.take(high) * np.int32(len(top)) + nodes.take(high)
-        z = np.empty(len(nodes), np.result_type(h, top))
-        z[high] = np.matmul(blocks(h), top.T).ravel().take(place)
-        u, hr = self.w["u"].take(nodes.take(low), 0), h.take(rows.take(low), 0)
-        z[low] = np.einsum("ij,ij->i", u, hr)
-        z += self.w["b"].take(nodes)
-        z *= signs
-        return nodes, rows, first, (high, place), (low, u, hr), np.clip(z, -30, 30, out=z), signs
-
-    def score(self, texts: list[np.ndarray], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the decisions for ids, which follow h[keep], those of the top nodes, then all others: (how many an id,
+        scores, 1 where the second turn is right). Besides, of the top ones their places in an array of top nodes a row
+        of h, and which nodes they are; of the others rows of h, distinct nodes, the place of each in them, weights of
+        nodes, states."""
+        w, top = self.w, min(TOP, len(self.w["u"]))
+        where, *codes = self.tree.ways(top)
+        n, begin, more, more_begin = where.take(ids, 0).T.astype(np.int64)
+        place = np.repeat(keep * top, n)
+        code = codes[0].take(ranges(begin, n))
+        place += code >> 1
+        z = np.matmul(blocks(h), w["u"][:top].T).reshape(-1, top)
+        z += w["b"][:top]
+        z = z.reshape(-1).take(place)
+        upper = n, np.clip(z, -30, 30, out=z), (code & 1).astype(z.dtype), place, code >> 1
+        row = np.repeat(keep, more)
+        code = codes[1].take(ranges(more_begin, more))
+        node, at = distinct(code >> 1)
+        u, hr = w["u"].take(node, 0).take(at, 0), h.take(row, 0)
+        z = np.einsum("ij,ij->i", u, hr)
+        z += w["b"].take(node).take(at)
+        return upper, (more, np.clip(z, -30, 30, out=z), (code & 1).astype(z.dtype), row, node, at, u, hr)
+
+    def score(self, texts: list[np.ndarray], table: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log p of each id, and of its first decision), for all ids of all texts."""
         table = self.table() if table is None else table
         x, fresh, y, real = slots(texts)
+        ids, x = distinct(x)
+        table = [t.take(ids, 0) for t in table]
         p, root, step, at = np.empty(len(real), np.float32), np.empty(len(real), np.float32), SCORE_WINDOWS * STRIDE, 0
         for i in range(0, len(y), step):
             keep = real[np.searchsorted(real, i) : np.searchsorted(real, i + step)] - i
-            h = self.states(table, x[i : i + step + STRIDE], fresh[i // STRIDE : (i + step) // STRIDE])
-            _, _, first, _, _, z, _ = self.decisions(h, keep, y[i : i + step][keep])
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += 1
-            np.log(z, out=z)
-            p[at : at + len(keep)] = -np.add.reduceat(z, first)
-            root[at : at + len(keep)] = -z[first]
+            q, k, v, direct = (t.take(x[i : i + step + STRIDE], 0) for t in table)
+            h = self.attend(q, k, v, fresh[i // STRIDE : (i + step) // STRIDE])[-1]
+            h += direct[STRIDE:]
+            upper, lower = self.decisions(h, keep, y[i : i + step][keep])
+            own = p[at : at + len(keep)]
+            (n, z), (low, more) = (x[:1] + (surprise(*x[1:3]),) for x in (upper, lower))
+            first = np.cumsum(n) - n  # every way begins at the root, a top node
+            np.negative(np.add.reduceat(z, first), out=own)
+            np.negative(z.take(first), out=root[at : at + len(keep)])
+            if len(more):
+                some = np.flatnonzero(low)
+                low = low.take(some)
+                own[some] -= np.add.reduceat(more, np.cumsum(low) - low)
             at += len(keep)
         return p, root
 
-    def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, keep: np.ndarray):
-        """(loss, {weights: (rows met, their gradients)}) of the ids y[keep]."""
+    def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, keep: np.ndarray, with_loss: bool = True):
+        """(loss, if it is wanted, {weights: (rows met, their gradients)}) of the ids y[keep]."""
         w, d = self.w, self.width
-        a, q, k, v, p, h = self.forward(x, fresh)
-        nodes, rows, first, (high, place), (low, u, hr), z, signs = self.decisions(h, keep, y[keep])
-        em = np.exp(-z)
-        loss = float(np.log(em + 1).sum())
-        g = -signs * em / (em + 1)
-        top = w["u"][:TOP]
-        by_top = np.zeros((len(h), len(top)), g.dtype)  # gradients of scores
-        by_top.ravel()[place] = g.take(high)
+        ids, place = distinct(x)
+        e = w["e"].take(ids, 0)
+        a, direct = np.ascontiguousarray(e[:, :d]), e[:, d:]
+        scale = np.float32(d**-0.5)
+        project = np.concatenate([w["q"] * scale, w["k"], w["v"]], 1)
+        by = a @ project
+        q, k, v, p, share, mean = self.attend(*(by[:, i : i + d].take(place, 0) for i in range(0, 3 * d, d)), fresh)
+        h = direct.take(place[STRIDE:], 0)
+        h += mean
+        upper, lower = self.decisions(h, keep, y[keep])
+        loss = sum(float(surprise(z.copy(), turn).sum()) for _, z, turn, *_ in (upper, lower)) if with_loss else 0.0
+        for _, z, turn, *_ in (upper, lower):  # gradients of scores
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            z -= turn
+        top, (_, g, _, cells, nodes) = w["u"][:TOP], upper
+        by_top = np.zeros((len(h), len(top)), h.dtype)
+        by_top.reshape(-1)[cells] = g
         dh = np.matmul(blocks(by_top), top).reshape(-1, d)
-        du = [np.matmul(blocks(by_top).transpose(0, 2, 1), blocks(h)).sum(0)]
-        db = [by_top.sum(0)]
-        met = [np.flatnonzero(np.bincount(nodes.take(high), minlength=len(top)))]
-        du[0], db[0] = du[0][met[0]], db[0][met[0]]
-        if len(low):
-            at, gl, row = nodes.take(low), g.take(low), rows.take(low)
-            u *= gl[:, None]
-            hr *= gl[:, None]
-            cut = runs(row)
-            dh[row.take(cut)] += np.add.reduceat(u, cut, axis=0)
-            order = np.argsort(at.astype(np.uint16), kind="stable")
-            cut = runs(at.take(order))
-            met.append(at.take(order.take(cut)))
-            du.append(np.add.reduceat(hr.take(order, 0), cut, axis=0))
-            db.append(np.add.reduceat(gl.take(order), cut))
-        out = {"u": (np.concatenate(met), np.concatenate(du)), "b": (np.concatenate(met), np.concatenate(db))}
-        dh3 = dh.reshape(-1, STRIDE, d)
-        dp, dv = np.matmul(dh3, v.transpose(0, 2, 1)), np.matmul(p.transpose(0, 2, 1), dh3)
-        dp -= np.einsum("bij,bij->bi", dp, p)[:, :, None]
+        met = np.flatnonzero(np.bincount(nodes, minlength=len(top)))
+        du = np.matmul(blocks(by_top).transpose(0, 2, 1), blocks(h)).sum(0)[met]
+        db = (np.ones(len(h), h.dtype) @ by_top)[met]
+        _, g, _, row, node, at, u, hr = lower
+        if len(node):
+            u *= g[:, None]
+            hr *= g[:, None]
+            dh += summed_rows([u], row, len(dh))[0]
+            met, du = np.concatenate([met, node]), np.concatenate([du, *summed_rows([hr], at, len(node))])
+            db = np.concatenate([db, np.bincount(at, g, len(node)).astype(db.dtype)])
+        out = {"u": (met, du), "b": (met, db)}
+        by = dh * share[:, None]
+        by3 = by.reshape(-1, STRIDE, d)
+        dp, dv = np.matmul(by3, v.transpose(0, 2, 1)), np.matmul(p.transpose(0, 2, 1), by3)
+        dp -= np.einsum("ij,ij->i", by, mean).reshape(-1, STRIDE, 1)
         dp *= p
-        dq, dk = np.matmul(dp, k), np.matmul(dp.transpose(0, 2, 1), q)
-        dq = dq.reshape(-1, d) * np.float32(d**-0.5)
-        gk, gv = np.zeros_like(a), np.zeros_like(a)
-        for total, part in ((gk, dk), (gv, dv)):
-            total[STRIDE:] += part[:, STRIDE:].reshape(-1, d)
-            total[:-STRIDE] += part[:, :STRIDE].reshape(-1, d)
-        de = np.zeros((len(x), 2 * d), np.float32)
-        part = np.matmul(gk.reshape(-1, STRIDE, d), w["k"].T)
-        part += np.matmul(gv.reshape(-1, STRIDE, d), w["v"].T)
-        part[1:] += np.matmul(dq.reshape(-1, STRIDE, d), w["q"].T)
-        de[:, :d] = part.reshape(-1, d)
-        de[STRIDE:, d:] = dh
-        order = np.argsort(x.astype(np.uint16), kind="stable")
-        cut = runs(x.take(order))
-        out["e"] = x.take(order.take(cut)), np.add.reduceat(de.take(order, 0), cut, axis=0)
-        by = a.reshape(-1, STRIDE, d).transpose(0, 2, 1)
-        summed = lambda m, g: np.matmul(m, g.reshape(-1, STRIDE, d)).sum(0)
-        whole = {"q": summed(by[1:], dq), "k": summed(by, gk), "v": summed(by, gv), "qp": dq.reshape(-1, STRIDE, d).sum(0), "kp": dk.sum(0)}
+        dq, dk = np.matmul(dp, k).reshape(-1, d), np.matmul(dp.transpose(0, 2, 1), q)
+        both = []
+        for halves in (dk.reshape(-1, 2, STRIDE * d), dv.reshape(-1, 2, STRIDE * d)):
+            m = np.empty((len(fresh) + 1, STRIDE * d), h.dtype)
+            m[0], m[1:] = 0, halves[:, 1]
+            m[:-1] += halves[:, 0]
+            both.append(m.reshape(-1, d))
+        *dqkv, direct = summed_rows([dq, *both, dh], place, len(ids))
+        dqkv = np.concatenate(dqkv, 1)
+        out["e"] = ids, np.concatenate([dqkv @ project.T, direct], 1)
+        dw = a.T @ dqkv
+        whole = {"q": dw[:, :d] * scale, "k": dw[:, d : 2 * d], "v": dw[:, 2 * d :], "qp": dq.reshape(-1, STRIDE * d).sum(0).reshape(-1, d) * scale, "kp": dk.reshape(-1, SPAN * d).sum(0).reshape(-1, d)}
         return loss, out | {name: (np.arange(len(m)), m) for name, m in whole.items()}
 
 
 class Trainer:
     """Adagrad with one rate a row; counts how many batches met each row."""
 
+    WHOLE = "q", "k", "v", "qp", "kp"  # met in every batch, so one array
+
     def __init__(self, model: Model, rate: float):
         self.model, self.rate = model, rate
-        self.squares = {k: np.full(len(m), 1e-2, np.float32) for k, m in model.w.items()}
         self.met = {k: np.zeros(len(m), np.float32) for k, m in model.w.items()}
-        self.loss, self.ids = 0.0, 0
+        self.met["b"] = self.met["u"]
+        self.whole = np.concatenate([model.w[k] for k in self.WHOLE])
+        for k, m in zip(self.WHOLE, np.split(self.whole, np.cumsum([len(model.w[k]) for k in self.WHOLE])[:-1]), strict=True):
+            model.w[k] = m
+        self.squares = {k: np.full(len(m), 1e-2, np.float32) for k, m in [*model.w.items(), ("whole", self.whole)]}
 
     def step(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, keep: np.ndarray) -> None:
-        loss, grads = self.model.gradients(x, fresh, y, keep)
-        self.loss, self.ids = self.loss + loss, self.ids + len(keep)
-        for name, (at, g) in grads.items():
-            square, met = self.squares[name], self.met[name]
-            square[at] += (g * g).mean(1) if g.ndim == 2 else g * g
-            rate = np.float32(self.rate * (1 if name in "eub" else 0.3)) / np.sqrt(square[at])
-            self.model.w[name][at] -= g * (rate[:, None] if g.ndim == 2 else rate)
-            met[at] += 1
+        grads = self.model.gradients(x, fresh, y, keep, with_loss=False)[1]
+        for name in ("e", "u", "b"):
+            at, g = grads[name]
+            square = self.squares[name].take(at)
+            square += np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim == 2 else g * g
+            self.squares[name][at] = square
+            rate = np.float32(self.rate) / np.sqrt(square)
+            w = self.model.w[name]
+            rows = w.take(at, 0)
+            g *= rate[:, None] if g.ndim == 2 else rate
+            rows -= g
+            w[at] = rows
+        self.met["e"][grads["e"][0]] += 1
+        self.met["u"][grads["u"][0]] += 1
+        g = np.concatenate([grads[k][1] for k in self.WHOLE])
+        square = self.squares["whole"]
+        square += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.whole -= g * (np.float32(0.3 * self.rate) / np.sqrt(square))[:, None]
+        for k in self.WHOLE:
+            self.met[k] += 1
 
     def batches(self, texts: list[np.ndarray]) -> None:
         """Steps over all windows of all texts."""
@@ -614,7 +672,7 @@ def earlier(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_scores(model: Model, table: np.ndarray, starts: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+def word_scores(model: Model, table: list[np.ndarray], starts: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """log p by the attention model of each word and end of all texts: its ids, and that then a word begins."""
     p, root = model.score(texts, table)
     ids = np.concatenate(texts)

@@ -505,3 +505,35 @@ def test_mixing(spark, dirty, nothing):
     assert mixing.mixed(spark, nothing, "").count() == 0
     with pytest.raises(ValueError):
         mixing.drawn(docs.withColumn("block", F.lit(1)), mixing.plan(narrow))
+
+
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+@pytest.mark.parametrize("width", [3, 16])
+def test_sums_of_rows(dtype, width):
+    """Rows of equal places summed at once, of parts that go to the last places, as one after another gives."""
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1 << 16, 40)[rng.integers(0, 40, 300)]
+    found, place = attention_lm.distinct(values)
+    assert found.tolist() == sorted(set(values.tolist())) and (found[place] == values).all()
+    many, at = attention_lm.distinct(np.tile(values, 200))
+    assert many.tolist() == found.tolist() and (at == np.tile(place, 200)).all()
+    parts = [rng.normal(0, 1, (n, width)).astype(dtype) for n in (300, 284)]
+    for part, got in zip(parts, attention_lm.summed_rows(parts, place, len(found)), strict=True):
+        want = np.zeros((len(found), width), dtype)
+        np.add.at(want, place[-len(part) :], part)
+        assert got.dtype == dtype
+        np.testing.assert_allclose(got, want, rtol=1e-4, atol=1e-5)
+
+
+def test_ways_of_a_tree():
+    """Top nodes, then all others, are the way to every id, however many are top nodes."""
+    rng = np.random.default_rng(10)
+    tree = attention_lm.Tree(rng.integers(0, 9000, 300), np.arange(300) % 3 == 0)
+    for top in (1, 64, 200, 299):
+        where, *codes = tree.ways(top)
+        for i in range(300):
+            way = slice(tree.start[i], tree.start[i] + tree.length[i])
+            want = (2 * tree.nodes[way] + (tree.signs[way] > 0)).tolist()
+            high, begin, low, low_begin = where[i].tolist()
+            assert codes[0][begin : begin + high].tolist() + codes[1][low_begin : low_begin + low].tolist() == want
+            assert all(c < 2 * top for c in want[:high]) and all(c >= 2 * top for c in want[high:])
