@@ -11,11 +11,14 @@ from .attention_lm import op7_attention_lm
 from .exact_topk import op10_exact_topk
 from .mixing import OP4_SQL, op4_temperature_mix
 from .ngram_join import op6_count_vector_rtree
+from .periodic_runs import op13_harmonic_runs
 from .quality import op9_compression_quality
 from .sentencepiece_fst import op2_sentencepiece_fst
 from .sharding import op3_virtual_slots
 from .token_files import op8_token_parquet
+from .toxicity import op11_compression_toxicity
 from .url_filter import OP5_SQL, op5_temporal_url_filter
+from .whitening import op12_two_pass_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_parquet": op8_token_parquet,
     "op9_compression_quality": op9_compression_quality,
     "op10_exact_topk": op10_exact_topk,
+    "op11_compression_toxicity": op11_compression_toxicity,
+    "op12_two_pass_whitening": op12_two_pass_whitening,
+    "op13_harmonic_runs": op13_harmonic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
