@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import containers
+
 
 def innermost(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Each inner range (path, id, lo, hi) with the smallest outer range that contains it, null if none.
 
-    Fewest lines first, then the smaller id. A range does not contain itself (the same id).
+    Fewest lines first, then the smaller id. A range does not contain itself (the same id). One sorted pass over
+    the ranges of a path, however deep they nest.
     """
-    o = outer.select(F.col("path").alias("op"), F.col("id").alias("container"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    on = (inner["path"] == o["op"]) & (o["olo"] <= inner["lo"]) & (o["ohi"] >= inner["hi"]) & (o["container"] != inner["id"])
-    joined = inner.join(o, on, "left")
-    best = F.min(F.when(F.col("container").isNotNull(), F.struct((F.col("ohi") - F.col("olo")).alias("height"), F.col("container").alias("container"))))
-    return joined.groupBy("path", "id", "lo", "hi").agg(best.alias("best")).select("path", "id", "lo", "hi", F.col("best.container").alias("container"), F.col("best.height").alias("container_height"))
+    a = inner.select("path", "id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    o = outer.select("path", "id", F.col("lo").alias("start"), F.col("hi").alias("stop"), (F.col("hi") - F.col("lo")).alias("container_height"))
+    kind = {c: inner.schema[c].dataType for c in ("lo", "hi")}
+    found = containers(a, o, ["path"], ["container_height"])
+    return found.select("path", "id", F.col("start").cast(kind["lo"]).alias("lo"), F.col("stop").cast(kind["hi"]).alias("hi"), "container", F.col("container_height").cast(kind["hi"]).alias("container_height"))
 
 
 def hunk_overlaps(sl: Column, el: Column, start: Column, count: Column) -> Column:

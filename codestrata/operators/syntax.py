@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoints
+from .sweep import LINE, containers, spot
 
 NODES = "path string, id int, parent int, depth int, kind string, name string, field string, sl int, sc int, el int, ec int, preview string, error string"
 PREVIEW = 256
@@ -64,16 +65,20 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "text").mapInPandas(run, NODES)
 
 
-def _covers(ln: Column, col: Column) -> Column:
-    return ((F.col("sl") < ln) | (F.col("sl") == ln) & (F.col("sc") <= col)) & ((F.col("el") > ln) | (F.col("el") == ln) & (F.col("ec") >= col))
+def _ranges(nodes_: DataFrame, *more: Column) -> DataFrame:
+    """(path, id, start, stop, up, late): nodes as ranges of places; the deepest, then the last one, ranks lowest."""
+    return nodes_.select("path", "id", spot("sl", "sc").alias("start"), spot("el", "ec").alias("stop"), (-F.col("depth")).alias("up"), (-F.col("id")).alias("late"), *more)
 
 
 def at_point(nodes_: DataFrame, points: DataFrame) -> DataFrame:
-    """For each (path, ln, col) the deepest node that holds it."""
-    p = points.select(F.col("path").alias("pp"), F.col("ln").alias("pl"), F.col("col").alias("pc"))
-    hit = nodes_.join(p, (F.col("path") == F.col("pp")) & _covers(F.col("pl"), F.col("pc")))
-    best = F.max_by(F.struct("id", "kind", "name", "sl", "sc", "el", "ec"), F.struct("depth", "id"))
-    return hit.groupBy(F.col("pp").alias("path"), F.col("pl").alias("ln"), F.col("pc").alias("col")).agg(best.alias("n")).select("path", "ln", "col", "n.*")
+    """For each (path, ln, col) the deepest node that holds it. One sorted pass a path."""
+    at = spot("ln", "col")
+    p = points.select("path", F.lit(None).cast(nodes_.schema["id"].dataType).alias("id"), at.alias("start"), at.alias("stop"))
+    hit = containers(p, _ranges(nodes_), ["path"], ["up", "late"]).where("container is not null")
+    hit = hit.select("path", F.shiftright("start", 32).alias("ln"), (F.col("start") % LINE).alias("col"), F.col("container").alias("id"))
+    kinds = {c: points.schema[c].dataType for c in ("ln", "col")}
+    hit = hit.select("path", F.col("ln").cast(kinds["ln"]).alias("ln"), F.col("col").cast(kinds["col"]).alias("col"), "id")
+    return hit.join(nodes_.select("path", "id", "kind", "name", "sl", "sc", "el", "ec"), ["path", "id"]).select("path", "ln", "col", "id", "kind", "name", "sl", "sc", "el", "ec")
 
 
 def in_range(nodes_: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -104,8 +109,8 @@ def query(nodes_: DataFrame, kind: str, name: str | None = None, within: str | N
     re.compile(name or "")
     hit = nodes_.where((F.col("kind") == kind) & (F.lit(True) if name is None else F.coalesce(F.col("name").rlike(name), F.lit(False))))
     if within is not None:
-        o = nodes_.where(F.col("kind") == within).select(F.col("path").alias("op"), F.col("id").alias("oi"), F.struct("sl", "sc").alias("ob"), F.struct("el", "ec").alias("oe"))
-        hit = hit.join(o, (F.col("path") == F.col("op")) & (F.col("id") != F.col("oi")) & (F.struct("sl", "sc") >= F.col("ob")) & (F.struct("el", "ec") <= F.col("oe")), "left_semi")
+        homes = containers(_ranges(hit), _ranges(nodes_.where(F.col("kind") == within)), ["path"], ["up", "late"])
+        hit = hit.join(homes.where("container is not null").select("path", "id"), ["path", "id"], "left_semi")
     return hit.select("path", "id", "kind", "name", "sl", "sc", "el", "ec", "preview")
 
 
@@ -117,28 +122,29 @@ def fallback_symbols(nodes_: DataFrame) -> DataFrame:
 
 def complexity(nodes_: DataFrame) -> DataFrame:
     """(path, id, name, complexity) of functions: 1 and the branches whose innermost function or class it is."""
-    owners = nodes_.where(F.col("kind").isin(*BOUNDARIES)).select("path", "id", F.col("name").alias("owner"), F.struct("sl", "sc").alias("ob"), F.struct("el", "ec").alias("oe"), F.col("depth").alias("od"))
-    b = nodes_.where(F.col("kind").isin(*BRANCHES)).select(F.col("path").alias("bp"), F.col("id").alias("bi"), F.struct("sl", "sc").alias("bb"), F.struct("el", "ec").alias("be"), F.col("depth").alias("bd"))
-    inside = b.join(owners, (F.col("bp") == F.col("path")) & (F.col("ob") <= F.col("bb")) & (F.col("oe") >= F.col("be")) & (F.col("od") < F.col("bd")))
-    own = inside.groupBy("bp", "bi").agg(F.max_by("id", "od").alias("owner_id"))
-    n = own.groupBy(F.col("bp").alias("path"), F.col("owner_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    own = containers(_ranges(nodes_.where(F.col("kind").isin(*BRANCHES))), _ranges(nodes_.where(F.col("kind").isin(*BOUNDARIES))), ["path"], ["up", "late"])
+    n = own.where("container is not null").groupBy("path", F.col("container").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return nodes_.where(F.col("kind").isin(*FUNCTIONS)).join(n, ["path", "id"], "left").select("path", "id", "name", (F.coalesce("n", F.lit(0)) + 1).alias("complexity"))
 
 
 def qualified_container(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(path, id, container): the smallest outer range (path, id, sl, sc, el, ec) by lines, then columns, that holds an
     inner one; equal ranges hold nothing."""
-    o = outer.select(F.col("path").alias("op"), F.col("id").alias("container"), F.struct("sl", "sc").alias("ob"), F.struct("el", "ec").alias("oe"), (F.col("el") - F.col("sl")).alias("dl"), (F.col("ec") - F.col("sc")).alias("dc"))
-    b, e = F.struct("sl", "sc"), F.struct("el", "ec")
-    joined = inner.join(o, (F.col("path") == F.col("op")) & (F.col("ob") <= b) & (F.col("oe") >= e) & ~((F.col("ob") == b) & (F.col("oe") == e)), "left")
-    return joined.groupBy("path", "id").agg(F.min_by("container", F.struct("dl", "dc", "container")).alias("container"))
+    lines, columns = F.col("el") - F.col("sl"), F.col("ec") - F.col("sc")
+    ranged = lambda df: df.select("path", "id", spot("sl", "sc").alias("start"), spot("el", "ec").alias("stop"), lines.alias("lines"), columns.alias("columns"))
+    # Equal ranges hold nothing, so outer ones of one range are one, under its least id, which an inner one of that range takes too.
+    first = ranged(outer).groupBy("path", "start", "stop", "lines", "columns").agg(F.min("id").alias("id"))
+    asked = ranged(inner)
+    places = asked.select("path", "start", "stop").distinct().join(first.select("path", "start", "stop", "id"), ["path", "start", "stop"], "left")
+    found = containers(places, first, ["path"], ["lines", "columns"]).select("path", "start", "stop", "container")
+    return asked.join(found, ["path", "start", "stop"], "left").select("path", "id", "container")
 
 
 def test_context(nodes_: DataFrame) -> DataFrame:
     """(path, id) of nodes inside a test function or a test class."""
     marked = nodes_.where((F.col("kind").isin(*FUNCTIONS)) & F.col("name").rlike("^test_") | (F.col("kind") == "ClassDef") & F.col("name").rlike("^Test|Tests?$|TestCase$"))
-    m = marked.select(F.col("path").alias("mp"), F.struct("sl", "sc").alias("mb"), F.struct("el", "ec").alias("me"))
-    return nodes_.join(m, (F.col("path") == F.col("mp")) & (F.struct("sl", "sc") >= F.col("mb")) & (F.struct("el", "ec") <= F.col("me")), "left_semi").select("path", "id")
+    homes = containers(_ranges(nodes_), _ranges(marked), ["path"], ["up", "late"]).where("container is not null")
+    return homes.select("path", "id").unionByName(marked.select("path", "id")).distinct()
 
 
 def bases(nodes_: DataFrame) -> DataFrame:
@@ -164,7 +170,9 @@ def descendants(inherits: DataFrame, roots: DataFrame, key: str = "path", most_r
 
 def scope_of(uses: DataFrame, scopes: DataFrame) -> DataFrame:
     """(path, use, scope): the innermost scope (path, scope, name, lo, hi) that binds a use's (path, use, name, at)
-    name; null where no scope does."""
-    s = scopes.select(F.col("path").alias("sp"), F.col("name").alias("sn"), "scope", "lo", "hi")
-    joined = uses.join(s, (F.col("path") == F.col("sp")) & (F.col("name") == F.col("sn")) & (F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi")), "left")
-    return joined.groupBy("path", "use").agg(F.min_by("scope", F.struct(F.col("hi") - F.col("lo"), F.col("scope"))).alias("scope"))
+    name; null where no scope does. One sorted pass over the uses and scopes of a path's name."""
+    kind = scopes.schema["scope"].dataType
+    s = scopes.select("path", "name", F.col("scope").alias("id"), F.col("lo").alias("start"), F.col("hi").alias("stop"), (F.col("hi") - F.col("lo")).alias("size"))
+    places = uses.select("path", "name", F.lit(None).cast(kind).alias("id"), F.col("at").alias("start"), F.col("at").alias("stop"))
+    found = containers(places, s, ["path", "name"], ["size"]).select("path", "name", F.col("start").alias("at"), F.col("container").alias("scope"))
+    return uses.withColumn("at", F.col("at").cast("long")).join(found, ["path", "name", "at"], "left").select("path", "use", "scope")
