@@ -70,6 +70,11 @@ def lexer(family: str) -> re.Pattern:
     return _lexers[family]
 
 
+def is_comment(skipped: str, family: str) -> bool:
+    """Whether what a lexer passes over is a comment, not a string."""
+    return skipped.startswith(("//", "/*", "#", "=begin")) or family == "xojo" and not skipped.startswith('"')
+
+
 def masked(text: str, lang: str) -> str:
     """The text with comments and strings blanked, line feeds kept."""
     return lexer(FAMILY_OF[lang]).sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m["skip"] is not None else m[0], text) if lang in FAMILY_OF else text
