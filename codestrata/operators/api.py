@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import ensure_checkpoints
 from ..functions.paths import EXTENSIONS
 from . import signatures as S
+from .graph import closure
 
 
 def index(names: DataFrame, refs: DataFrame, added: DataFrame | None = None) -> DataFrame:
@@ -106,26 +107,71 @@ def with_same_file(callers: DataFrame, edges: DataFrame, affected: DataFrame) ->
     return callers.select("path", "line", "symbol", "caller").unionByName(inner.select("path", F.col("ln").alias("line"), F.col("callee").alias("symbol"), "caller")).distinct().orderBy("path", "line", "symbol", "caller")
 
 
-def visible_modules(modules: DataFrame, reexports: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
+def visible_modules(modules: DataFrame, reexports: DataFrame, roots: DataFrame) -> DataFrame:
     """(module) reachable from (module) roots through public children (parent, module, public) and re-exports (module,
     target); what is found is carried as one table and cut by a checkpoint."""
     steps = modules.where("public").select(F.col("parent").alias("src"), F.col("module").alias("dst")).unionByName(reexports.select(F.col("module").alias("src"), F.col("target").alias("dst"))).distinct()
     ensure_checkpoints(roots.sparkSession)
     found = new = roots.select("module").distinct().checkpoint()
-    for _ in range(most_rounds):
+    while True:
         new = steps.join(new.withColumnRenamed("module", "src"), "src", "left_semi").select(F.col("dst").alias("module")).distinct().join(found, "module", "left_anti").checkpoint()
         if not new.limit(1).count():
             return found
         found = found.unionByName(new).checkpoint()
-    raise RuntimeError(f"no fix point after {most_rounds} rounds")
+
+
+def _walk(calls: DataFrame, steps: DataFrame, targets: DataFrame, declared: DataFrame) -> DataFrame:
+    """(class, method, node, open, hit) of all that calls (class, method) come by over steps (node, trait).
+    ``hit`` is a node that is a target, ``open`` one that is neither target nor has a method of its own. Frontier by frontier to
+    the end, however deep; a node met before is not walked again."""
+    ensure_checkpoints(calls.sparkSession)
+    stops = targets.select(F.col("type").alias("node"), "method", F.lit(True).alias("hit")).unionByName(declared.select(F.col("class").alias("node"), "method", F.lit(False).alias("hit"))).groupBy("node", "method").agg(F.max("hit").alias("hit"))
+    told = lambda df: df.join(stops, ["node", "method"], "left").select("class", "method", "node", F.col("hit").isNull().alias("open"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    met = new = told(calls.select("class", "method").distinct().withColumn("node", F.col("class"))).checkpoint()
+    while not new.isEmpty():
+        onward = new.where("open").join(steps, "node").select("class", "method", F.col("trait").alias("node")).distinct().join(met.select("class", "method", "node"), ["class", "method", "node"], "left_anti")
+        new = told(onward).checkpoint()
+        met = met.unionByName(new).checkpoint()
+    return met
 
 
 def trait_targets(uses: DataFrame, methods: DataFrame) -> DataFrame:
-    """(class, method, trait): methods (trait, method) that a class has through traits it uses (class, trait), directly
-    or through the traits of those, two levels deep being what dispatch looks at."""
-    direct = uses.select("class", "trait")
-    through = direct.join(uses.select(F.col("class").alias("trait"), F.col("trait").alias("inner")), "trait").select("class", F.col("inner").alias("trait"))
-    return direct.unionByName(through).distinct().join(methods, "trait").select("class", "method", "trait").distinct()
+    """(class, method, trait): methods (trait, method) of all traits (class, trait) that a class uses, at any depth; which of them
+    a call reaches is for ``trait_dispatch``."""
+    reach = closure(uses.select(F.col("class").alias("src"), F.col("trait").alias("dst")))
+    return reach.select(F.col("src").alias("class"), F.col("dst").alias("trait")).join(methods, "trait").select("class", "method", "trait").distinct()
+
+
+def trait_dispatch(calls: DataFrame, targets: DataFrame, uses: DataFrame, declared: DataFrame, unclear: DataFrame) -> DataFrame:
+    """(class, method, state, target): what a call (class, method) reaches among the ``targets`` (type, method).
+
+    A target answers for itself. Else a class with a method of its own (``declared``: class, method) answers with that, which is no
+    target: nothing is found behind it. Else its traits (``uses``: class, trait) are asked, at any depth. One target is
+    ``resolved``; several, or one behind a composition with adaptations (``unclear``: class) or a cycle, are
+    ``ambiguous``; none is ``none``, whatever is unclear. Null names are nobody's.
+    """
+    steps = uses.where("class is not null and trait is not null").select(F.col("class").alias("node"), "trait").distinct()
+    asked = calls.where("class is not null and method is not null").select("class", "method").distinct()
+    met = _walk(asked, steps, targets, declared)
+    # A node is settled when all that it may ask is settled; what never is lies on a cycle or before one.
+    composed = steps.select("node").distinct()
+    walked = met.where("open").join(composed, "node", "left_semi").select("method", "node").distinct().checkpoint()
+    asks = walked.join(steps, "node").join(walked.select("method", F.col("node").alias("trait")), ["method", "trait"]).select("method", "node", "trait").checkpoint()
+    left = walked
+    while True:
+        waiting = asks.join(left.withColumnRenamed("node", "trait"), ["method", "trait"], "left_semi").select("method", "node").distinct()
+        rest = left.join(waiting, ["method", "node"], "left_semi").checkpoint()
+        before, now = left.count(), rest.count()
+        left = rest
+        if now in (0, before):
+            break
+    cyclic = left.withColumn("cyclic", F.lit(True))
+    adapted = unclear.select(F.col("class").alias("node")).distinct().join(composed, "node", "left_semi").withColumn("adapted", F.lit(True))
+    seen = met.join(adapted, "node", "left").join(cyclic, ["node", "method"], "left")
+    doubtful = F.coalesce(F.col("open") & F.col("adapted"), F.lit(False)) | F.coalesce(F.col("open") & F.col("cyclic"), F.lit(False))
+    out = seen.groupBy("class", "method").agg(F.min(F.when(F.col("hit"), F.col("node"))).alias("target"), F.countDistinct(F.when(F.col("hit"), F.col("node"))).alias("n"), F.max(doubtful).alias("doubtful"))
+    state = F.when(F.col("n") == 0, "none").when((F.col("n") > 1) | F.col("doubtful"), "ambiguous").otherwise("resolved")
+    return out.select("class", "method", state.alias("state"), F.when(state == "resolved", F.col("target")).alias("target"))
 
 
 # What a change of one signature means. Objects are read from text as name -> value maps.

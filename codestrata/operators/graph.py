@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ensure_checkpoints
 
-def closure(edges: DataFrame, roots: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
+
+def closure(edges: DataFrame, roots: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
     """(src, dst, depth): all reachable pairs of (src, dst) edges, or those from ``roots`` (node), each at its
-    smallest depth. Frontier by frontier; a pair met before is not walked again, so cycles end. Each round's
-    result is checkpointed."""
+    smallest depth. Frontier by frontier; a pair met before is not walked again, so cycles end, and so does the walk, however
+    deep, unless ``most_rounds`` bounds it. Each round's frontier and all that is found are checkpointed: a round reads one table."""
+    ensure_checkpoints(edges.sparkSession)
     e = edges.select("src", "dst").distinct()
     frontier = e.select("src", "dst", F.lit(1).alias("depth"))
     if roots is not None:
         frontier = frontier.join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     seen = frontier = frontier.checkpoint()
-    for depth in range(2, most_rounds + 1):
+    depth = 1
+    while True:
+        depth += 1
+        if most_rounds is not None and depth > most_rounds:
+            raise RuntimeError(f"no fix point after {most_rounds} rounds")
         step = frontier.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         frontier = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"no fix point after {most_rounds} rounds")
+        seen = seen.unionByName(frontier).checkpoint()
 
 
-def live(named: DataFrame, wildcard: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
+def live(named: DataFrame, wildcard: DataFrame, roots: DataFrame) -> DataFrame:
     """(module, name) that roots make visible: a root (module, name) is live; a named edge (module, name, to, as)
     passes one name on, a wildcard edge (module, to) all names of the module."""
+    ensure_checkpoints(roots.sparkSession)
     seen = frontier = roots.select("module", "name").distinct().checkpoint()
-    for _ in range(most_rounds):
+    while True:
         a = frontier.join(named, ["module", "name"]).select(F.col("to").alias("module"), F.col("as").alias("name"))
         b = frontier.join(wildcard, "module").select(F.col("to").alias("module"), "name")
         frontier = a.unionByName(b).distinct().join(seen, ["module", "name"], "left_anti").checkpoint()
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"no fix point after {most_rounds} rounds")
+        seen = seen.unionByName(frontier).checkpoint()
 
 
 def participants(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import ensure_checkpoints
 from .sweep import LINE, containers, spot
 
-NODES = "path string, id int, parent int, depth int, kind string, name string, field string, sl int, sc int, el int, ec int, preview string, error string"
+NODES = "path string, id int, last int, parent int, depth int, kind string, name string, field string, sl int, sc int, el int, ec int, preview string, error string"
 PREVIEW = 256
 # Nodes that make a branch.
 BRANCHES = ["If", "For", "AsyncFor", "While", "ExceptHandler", "With", "AsyncWith", "Assert", "IfExp", "comprehension", "BoolOp", "match_case"]
@@ -53,12 +53,21 @@ def tree(path: str, text: str):
         stack += [(c, at, depth, f) for c, f in reversed(children)]
 
 
+def numbered(rows: list[tuple]) -> list[tuple]:
+    """Nodes (path, id, parent, ...) with the last id below each as third column: what is below n are ids n + 1 to last."""
+    last = [r[1] for r in rows]
+    for r in reversed(rows):
+        if r[2] is not None:
+            last[r[2]] = max(last[r[2]], last[r[1]])
+    return [(*r[:2], n, *r[2:]) for r, n in zip(rows, last, strict=True)]
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """``NODES`` of Python (path, lang, text) files, in order of the text; a file that doesn't parse has one ERROR."""
 
     def run(batches):
         for b in batches:
-            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if g == "python" and t is not None for r in tree(p, t)]
+            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if g == "python" and t is not None for r in numbered([*tree(p, t)])]
             out = pd.DataFrame(found, columns=[c.split()[0] for c in NODES.split(", ")])
             yield out.astype({"parent": "Int32"})
 
@@ -154,18 +163,17 @@ def bases(nodes_: DataFrame) -> DataFrame:
     return c.join(b, (F.col("cp") == F.col("path")) & (F.col("ci") == F.col("parent"))).select("path", F.col("cn").alias("name"), "base")
 
 
-def descendants(inherits: DataFrame, roots: DataFrame, key: str = "path", most_rounds: int = 64) -> DataFrame:
+def descendants(inherits: DataFrame, roots: DataFrame, key: str = "path") -> DataFrame:
     """(path, name) of classes that descend from (base) roots within their file, by (path, name, base) rows; each round
     adds the children of the last one's, and a table of all found is carried and cut by a checkpoint."""
     ensure_checkpoints(inherits.sparkSession)
     new = inherits.join(roots.select("base").distinct(), "base", "left_semi").select(key, "name").distinct().checkpoint()
     found = new
-    for _ in range(most_rounds):
+    while True:
         new = inherits.join(new.withColumnRenamed("name", "base"), [key, "base"], "left_semi").select(key, "name").distinct().join(found, [key, "name"], "left_anti").checkpoint()
         if not new.limit(1).count():
             return found
         found = found.unionByName(new).checkpoint()
-    raise RuntimeError(f"no fix point after {most_rounds} rounds")
 
 
 def scope_of(uses: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @ask("trait_targets", """
-    WITH u AS (SELECT DISTINCT l_suppkey AS class, l_partkey AS trait FROM lineitem), d AS (SELECT * FROM u UNION SELECT a.class, b.trait FROM u a JOIN u b ON a.trait = b.class)
+    WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey AS class, l_partkey AS trait FROM lineitem), d(class, trait) AS (SELECT * FROM u UNION SELECT d.class, u.trait FROM d JOIN u ON d.trait = u.class)
     SELECT class, count(*) AS targets FROM (SELECT DISTINCT class, p_type, d.trait FROM d JOIN part ON p_partkey = d.trait WHERE p_size > 40) GROUP BY class
 """)
 def trait_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
