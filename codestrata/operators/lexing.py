@@ -20,6 +20,8 @@ TOKENS = "path string, lang string, ln int, col int, name string, context string
 MOST_LINE = 200
 #: A broadcast list of names has at most this many rows; longer ones are joined by a shuffle.
 BROADCAST_NAMES = 200_000
+#: As many names are pushed down to a scan as a list.
+PUSHED_NAMES = 500
 
 # How comments and strings look, by family of languages.
 C_COMMENT, HASH_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)", r"\#[^\n]*"
@@ -86,10 +88,10 @@ def synthetic(m: str, family: str) -> list[tuple[int, str]]:
     if family == "shell":
         return []
     if family == "php":
-        if m[:1] in "'\"" and re.fullmatch(r"[A-Za-z_]\w*(?:::[A-Za-z_]\w*)?", m[1:-1]):
+        if m[:1] in "'\"" and len(m) > 2 and m[-1] == m[0] and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)?", m[1:-1]):
             at = m.rfind(":") + 1 or 1
             return [(at, m[at:-1])]
-        return [(x.start(1), x[1]) for x in re.finditer(r"@(?:dataProvider|depends|covers)\s+(?:[\w\\]+::)?([A-Za-z_]\w*)", m)]
+        return [(x.start(1), x[1]) for x in re.finditer(r"@(?:dataProvider|depends|covers)\s+(?:[\w\\]+::)?([A-Za-z_][A-Za-z0-9_]*)", m)]
     return []
 
 
@@ -102,52 +104,75 @@ def lex(path: str, lang: str, text: str) -> Iterator[tuple]:
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
     plain = text.isascii()
-    column = (lambda ln, at: at - starts[ln]) if plain else (lambda ln, at: len(text[starts[ln] : at].encode()))
     defining = frozenset(w.lower() if lang == "xojo" else w for w in DEFINING[family])
     ln, held, before, two_before = 0, None, "", ""
+    # Columns and shown lines are kept running: a long line costs its length once, not once a token.
+    seen, col, shown_of, shown = 0, 0, -1, ""
+    typed = php_typed(text) if lang == "php" else frozenset()
 
-    def row(name: str, at: int, line: int, context: str, role: str, confidence: str, prior: str) -> tuple:
-        return path, lang, line, column(line, at), name, context, role, confidence, prior, lines[line].strip()[:MOST_LINE]
+    def column(at: int, line: int) -> int:
+        return at - starts[line] if plain else col if at == seen else len(text[starts[line] : at].encode())
+
+    def row(name: str, at: int, line: int, where: int, context: str, role: str, confidence: str, prior: str) -> tuple:
+        nonlocal shown_of, shown
+        if shown_of != line:
+            shown_of, shown = line, lines[line].strip()[:MOST_LINE]
+        return path, lang, line, where, name, context, role, confidence, prior, shown
+
+    def just_before(at: int, line: int, most: int = 400) -> str:
+        return text[max(starts[line], at - most) : at]
 
     for m in lexer(family).finditer(text):
         kind = m.lastgroup if m.lastgroup != "h" else "skip"
+        at = m.start()
+        if not plain:
+            col = len(text[max(seen, starts[ln]) : at].encode()) + (col if seen >= starts[ln] else 0)
+            seen = at
         if m["skip"] is not None:
-            for at, name in synthetic(m[0], family):
-                line = ln + m[0].count("\n", 0, at)
-                yield row(name, m.start() + at, line, "reference", "string", "exact", "")
+            for off, name in synthetic(m[0], family):
+                line = ln + m[0].count("\n", 0, off)
+                yield row(name, at + off, line, column(at + off, line), "reference", "string", "exact", "")
             if family == "shell" and before == "trap":
-                for x in re.finditer(r"[A-Za-z_][\w-]*", m[0]):
-                    yield row(x[0], m.start() + x.start(), ln, "reference", "callee", "exact", "trap")
-            if family == "rust" and re.search(r"#\[[^\]\n]*(?:with|default|serialize_with|deserialize_with)\s*=\s*$", text[starts[ln] : m.start()]):
-                for x in re.finditer(r"[A-Za-z_]\w*", m[0]):
-                    yield row(x[0], m.start() + x.start(), ln, "reference", "string", "exact", "")
+                for x in re.finditer(r"[A-Za-z_][A-Za-z0-9_-]*", m[0]):
+                    yield row(x[0], at + x.start(), ln, column(at + x.start(), ln), "reference", "callee", "exact", "trap")
+            if family == "rust" and re.search(r"#\[[^\]\n]*(?:with|default|serialize_with|deserialize_with)\s*=\s*$", just_before(at, ln)):
+                for x in re.finditer(r"[A-Za-z_][A-Za-z0-9_]*", m[0]):
+                    yield row(x[0], at + x.start(), ln, column(at + x.start(), ln), "reference", "string", "exact", "")
             ln += m[0].count("\n")
             continue
         if kind == "nl":
             ln += 1
             continue
         if held is not None:  # what follows an identifier tells whether it is called
-            name, at, line, prior, prior2 = held
+            name, begin, line, where, prior, prior2 = held
             called = m[0] == "("
             word = prior.lower() if lang == "xojo" else prior
-            receiver = family == "go" and prior == ")" and re.match(r"^func\s*\([^)]*\)\s*$", lines[line][: at - starts[line]])
-            defined = word in defining or bool(receiver) or family == "python" and m[0] == "=" and text[m.end() : m.end() + 1] != "=" and at == starts[line] or family == "shell" and called and text[m.end() : m.end() + 1] == ")"
-            if family == "c" and called and not defined and re.search(r"[\w>*&\]]\s+[*&]*$", lines[line][: at - starts[line]]) and not re.search(r"\b(return|new|else|throw|case|await|in)\s+$|[=(,]\s*$", lines[line][: at - starts[line]]):
-                defined = True  # a type stands before it
+            receiver = family == "go" and prior == ")" and lines[line].startswith("func") and re.match(r"^func\s*\([^)]*\)\s*$", lines[line][: begin - starts[line]])
+            defined = word in defining or bool(receiver) or family == "python" and m[0] == "=" and text[m.end() : m.end() + 1] != "=" and begin == starts[line] or family == "shell" and called and text[m.end() : m.end() + 1] == ")"
+            if family == "c" and called and not defined:
+                left = just_before(begin, line)
+                if re.search(r"[\w>*&\]]\s+[*&]*$", left) and not re.search(r"\b(return|new|else|throw|case|await|in)\s+$|[=(,]\s*$", left):
+                    defined = True  # a type stands before it
             ignored = family == "c" and prior in ("struct", "class", "enum", "union") and m[0] == ";"
             role = "callee" if called and not defined else "member" if prior in (".", "->", "::") else "value" if prior in ("(", ",", "[") and m[0] in (",", ")", "]") else "other"
             confidence = "exact"
             if lang == "php" and prior == "->":
-                confidence = "inferred" if prior2 == "$this" or re.search(rf"(?:@var\s+\S+\s+|[A-Z]\w*\s+){re.escape(prior2)}\b|{re.escape(prior2)}\s*=\s*new\b", text) else "bare"
+                confidence = "inferred" if prior2 == "$this" or prior2 in typed else "bare"
             if not ignored:
-                yield row(name, at, line, "definition" if defined else "reference", role, confidence, prior)
+                yield row(name, begin, line, where, "definition" if defined else "reference", role, confidence, prior)
             held = None
         if kind == "id":
-            held = (m[0], m.start(), ln, before, two_before)
+            held = (m[0], at, ln, column(at, ln), before, two_before)
         two_before, before = before, m[0]
     if held is not None:
-        name, at, line, prior, _ = held
-        yield row(name, at, line, "definition" if prior in defining else "reference", "other", "exact", prior)
+        name, begin, line, where, prior, _ = held
+        yield row(name, begin, line, where, "definition" if prior in defining else "reference", "other", "exact", prior)
+
+
+def php_typed(text: str) -> frozenset[str]:
+    """Variables that a file gives a type: after a type's name, in a @var comment, or by ``new``."""
+    hinted = re.findall(r"(?:@var\s+\S+\s+|[A-Z]\w*\s+)(?=(\$[A-Za-z0-9_$]+))", text)
+    return frozenset(hinted) | frozenset(re.findall(r"(\$[A-Za-z0-9_$]+)\s*=\s*new\b", text))
 
 
 def tokens(files: DataFrame) -> DataFrame:
@@ -167,11 +192,39 @@ def key(name: Column, lang: Column) -> Column:
     return F.when(lang.isin(*ANY_CASE), F.lower(name)).otherwise(name)
 
 
-def having(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Files that hold one of (name) as a word, told by a semi-join of their distinct words, in any case. A superset
-    of the files with references; names may be many, for no expression grows with them."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z_$][a-z0-9_$]*[?!]?)"), F.lit(1)))
-    held = files.select("path", F.explode(words).alias("w")).join(sized(names.select(F.lower("name").alias("w")).distinct()), "w", "left_semi")
+def words(files: DataFrame) -> DataFrame:
+    """(path, word): the token index, every word of a file once, in lower case. What the lexer may give as a name is among them, in
+    every family: numbers are taken out as it takes them, and names are cut as each family cuts them, with the names inside
+    comments and strings, and those that a shell trap spells with dashes."""
+    low = F.lower("text")
+    cut = lambda text, name: F.filter(F.regexp_extract_all(text, F.lit(rf"[0-9][a-z0-9_]*|({name})"), F.lit(1)), lambda w: w != "")
+    # Ruby's block comment ends in the middle of what looks like a word.
+    freed = F.regexp_replace(low, "=end", "=end ")
+    plain = cut(low, "[a-z_][a-z0-9_]*")
+    family = F.when(F.col("lang").isin("javascript", "typescript", "tsx", "php"), cut(low, "[a-z_$][a-z0-9_$]*")).when(F.col("lang") == "ruby", F.concat(cut(low, "[a-z_][a-z0-9_]*[?!]?"), cut(freed, "[a-z_][a-z0-9_]*[?!]?"))).when(
+        F.col("lang") == "bash", cut(low, "[a-z_][a-z0-9_-]*")
+    )
+    inner = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_$-]*"), F.lit(0)), lambda w: F.array(F.lower(w))))
+    trap = F.when(F.col("lang") == "bash", F.transform(inner, lambda w: F.regexp_replace(w, "^[^a-z_]+", "")))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(plain, F.coalesce(family, none), F.coalesce(trap, none)))
+    return files.where(F.col("text").isNotNull()).select("path", F.explode(every).alias("word")).where("word <> ''")
+
+
+def save_words(files: DataFrame, folder: str) -> None:
+    """Writes the token index once: sorted by word over all files, with bloom filters, so that a question reads the row groups that
+    may hold its names and no text at all."""
+    words(files).repartitionByRange("word").sortWithinPartitions("word", "path").write.option("parquet.bloom.filter.enabled#word", "true").mode("overwrite").parquet(folder)
+
+
+def having(files: DataFrame, names: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Files that hold one of (name) as a word, in any case, by a semi-join with the token index: that of the files, or one that
+    ``save_words`` wrote. A superset of the files with references; up to ``PUSHED_NAMES`` names reach the index's scan as a list,
+    more are joined."""
+    wanted = names.select(F.lower("name").alias("word")).where("word is not null").distinct()
+    first = [r["word"] for r in wanted.limit(PUSHED_NAMES + 1).collect()]
+    held = words(files) if index is None else index.select("path", "word")
+    held = held.where(F.col("word").isin(*first)) if len(first) <= PUSHED_NAMES else held.join(sized(wanted), "word", "left_semi")
     return files.join(held.select("path").distinct(), "path", "left_semi")
 
 
@@ -180,11 +233,11 @@ def sized(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
 
 
-def references(files: DataFrame, names: DataFrame) -> DataFrame:
+def references(files: DataFrame, names: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """All places of (name) in (path, lang, text) files: the columns of ``TOKENS``, ``symbol`` the name asked for,
     and ``is_import``. Files without any of the names never reach the lexer."""
     wanted = names.select(F.col("name").alias("symbol")).distinct()
-    t = tokens(having(files, names)).withColumn("is_import", is_import_line(F.col("line")))
+    t = tokens(having(files, names, index)).withColumn("is_import", is_import_line(F.col("line")))
     exact = t.where(~F.col("lang").isin(*ANY_CASE)).join(sized(wanted), F.col("name") == F.col("symbol"))
     folded = t.where(F.col("lang").isin(*ANY_CASE)).join(sized(wanted), F.lower("name") == F.lower("symbol"))
     return exact.unionByName(folded)

@@ -284,15 +284,34 @@ def asset_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "prod", "test", "status")
 
 
-@ask("refs_lexed", r"""
-    WITH m AS (SELECT doc_id, regexp_replace(text, '//[^\n]*|"(?:\\[\s\S]|[^"\\\n])*"?|''(?:\\[\s\S]|[^''\\\n])*''?', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
-    k AS (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9][A-Za-z0-9_]*|[A-Za-z_][A-Za-z0-9_]*')) AS name FROM m)
-    SELECT doc_id AS path, name, count(*) AS refs FROM k WHERE name IN ('the', 'ing', 'und', 'que', 'BENCHMARK', 'License') GROUP BY 1, 2
+# What the lexer passes over in each family, and its names, as DuckDB writes them.
+_C, _Q, _S = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)", r'"(?:\\[\s\S]|[^"\\\n])*"?', r"''(?:\\[\s\S]|[^''\\\n])*''?"
+_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+LEXED = {
+    "zig": (rf"//[^\n]*|{_Q}|{_S}", _NAME),
+    "java": (f"{_C}|{_Q}|{_S}", _NAME),
+    "javascript": (rf"{_C}|{_Q}|{_S}|`(?:\\[\s\S]|[^`\\])*`?", "[A-Za-z_$][A-Za-z0-9_$]*"),
+    "go": (f"{_C}|{_Q}|{_S}|`[^`]*`?", _NAME),
+    "python": (rf'#[^\n]*|"{{3}}[\s\S]*?(?:"{{3}}|\z)|' + rf"''{{3}}[\s\S]*?(?:''{{3}}|\z)|{_Q}|{_S}", _NAME),
+    "xojo": (r"//[^\n]*|''[^\n]*|\b[rR][eE][mM]\b[^\n]*|" + r'"(?:""|[^"\n])*"?', _NAME),
+}
+LEXED_NAMES = ["the", "ing", "und", "que", "BENCHMARK", "License"]
+_LEXED_SQL = ",\n".join(
+    f"k{i} AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{skip}', ' ', 'g'), '[0-9][A-Za-z0-9_]*|{name}')) AS name FROM documents WHERE text IS NOT NULL AND doc_id % {len(LEXED)} = {i})"
+    for i, (skip, name) in enumerate(LEXED.values())
+)
+
+
+@ask("refs_lexed", f"""
+    WITH {_LEXED_SQL},
+    n AS (SELECT unnest({LEXED_NAMES}) AS wanted), k AS ({" UNION ALL ".join(f"SELECT *, {lang == 'xojo'} AS folded FROM k{i}" for i, lang in enumerate(LEXED))})
+    SELECT doc_id AS path, wanted AS name, count(*) AS refs FROM k JOIN n ON CASE WHEN folded THEN lower(name) = lower(wanted) ELSE name = wanted END GROUP BY 1, 2
 """)
 def refs_lexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References outside comments and strings; documents are read as one of the lexed languages."""
-    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("zig").alias("lang"), "text")
-    names = spark.createDataFrame([(n,) for n in ("the", "ing", "und", "que", "BENCHMARK", "License")], "name string")
+    """References outside comments and strings; documents are read as the lexed languages, dealt by number."""
+    langs = F.array(*map(F.lit, LEXED))
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.element_at(langs, (F.col("doc_id") % len(LEXED) + 1).cast("int")).alias("lang"), "text")
+    names = spark.createDataFrame([(n,) for n in LEXED_NAMES], "name string")
     return X.references(files, names).groupBy(F.col("path").cast("long").alias("path"), F.col("symbol").alias("name")).agg(F.count(F.lit(1)).alias("refs"))
 
 
