@@ -76,18 +76,15 @@ def containers(inner: DataFrame, outer: DataFrame, keys: list[str], ranks: list[
     usable = F.col("start") <= F.col("stop")
     for k in keys:
         usable = usable & F.col(k).isNotNull()
-    a = inner.select(*keys, "id", F.col("start").cast("long"), F.col("stop").cast("long")).distinct()
-    alone = a.where(~F.coalesce(usable, F.lit(False)))
-    asked = a.where(usable).select("*", F.lit(1).alias("side"), *[null.alias(r) for r in ranks])
+    asked = inner.select(*keys, "id", F.col("start").cast("long"), F.col("stop").cast("long"), F.lit(1).alias("side"), *[null.alias(r) for r in ranks])
     held = outer.select(*keys, "id", F.col("start").cast("long"), F.col("stop").cast("long"), F.lit(0).alias("side"), *[F.col(r).cast("long").alias(r) for r in ranks]).where(usable)
-    rows = held.unionByName(asked)
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "start", "side")
+    rows = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "start", "side", "stop", "id")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (*keys, "id")}
     names = [*keys, "id", "start", "stop", "container", *ranks]
     fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"id {kinds['id']}, start long, stop long, container {kinds['id']}", *(f"`{r}` long" for r in ranks)])
 
     def run(batches):
-        key, stairs = None, Stairs()
+        key, stairs, last = None, Stairs(), None
         for b in batches:
             lists = [b.column(c).to_pylist() for c in keys]
             ids, starts, stops, sides = (b.column(c).to_pylist() for c in ("id", "start", "stop", "side"))
@@ -95,18 +92,23 @@ def containers(inner: DataFrame, outer: DataFrame, keys: list[str], ranks: list[
             places, found = [], []
             for i, now in enumerate(zip(*lists, strict=True)):
                 if now != key:
-                    key, stairs = now, Stairs()
-                stairs.forget(starts[i])
-                if sides[i]:
+                    key, stairs, last = now, Stairs(), None
+                start, stop, own = starts[i], stops[i], ids[i]
+                if not sides[i]:
+                    stairs.forget(start)
+                    stairs.add(stop, (*weights[i], own))
+                elif last != (start, stop, own):
+                    last = start, stop, own
                     places.append(i)
-                    found.append(stairs.find(stops[i], ids[i]))
-                else:
-                    stairs.add(stops[i], (*weights[i], ids[i]))
+                    if start is None or stop is None or start > stop or None in now:
+                        found.append(None)
+                    else:
+                        stairs.forget(start)
+                        found.append(stairs.find(stop, own))
             if places:
                 at = pa.array(places)
                 kept = [b.column(c).take(at) for c in (*keys, "id", "start", "stop")]
                 home = pa.array([f and f[-1] for f in found], b.schema.field("id").type)
                 yield pa.RecordBatch.from_arrays([*kept, home, *[pa.array([f and f[k] for f in found], pa.int64()) for k in range(len(ranks))]], names=names)
 
-    swept = rows.mapInArrow(run, fields)
-    return swept.unionByName(alone.select("*", F.lit(None).cast(kinds["id"]).alias("container"), *[null.alias(r) for r in ranks]))
+    return rows.mapInArrow(run, fields)
