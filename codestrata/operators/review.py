@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..config import ensure_checkpoints
 from ..functions.paths import is_test_path
 from ..sources import diffs as D
+from ..sources import inputs as R
 from . import api as A
+from . import blocks as B
 from . import impact as M
 from . import intervals as I
 from . import lexing as X
 from . import liveness as L
+from . import scopes as P
 from . import signatures as S
 from . import snapshots as N
 from . import symbols as Y
@@ -29,8 +32,17 @@ def symbol_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def affected(symbols: DataFrame, diff_lines: DataFrame) -> DataFrame:
-    """Symbols that the diff touches, with all that ``impact.crosses_files`` reads."""
+def heads(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols with ``head``: the line that they begin on and the two before it, where modifiers and annotations stand."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    near = symbols.select("path", "id", F.explode(F.sequence(F.greatest(F.col("sl") - 2, F.lit(0)), F.col("sl"))).alias("ln"))
+    text = near.join(lines, ["path", "ln"]).groupBy("path", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("head"))
+    return symbols.join(text, ["path", "id"], "left")
+
+
+def affected(symbols: DataFrame, diff_lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Symbols that the diff touches, with all that ``impact.crosses_files`` reads; whether they override something is read from
+    the lines before them, in ``files``."""
     added = D.added_lines(diff_lines).select("path", "line")
     hunks = D.hunks(diff_lines).drop("diff_id")
     hit = I.affected(symbols, hunks)
@@ -42,38 +54,44 @@ def affected(symbols: DataFrame, diff_lines: DataFrame) -> DataFrame:
     changes = D.signature_changes(diff_lines, rows.select("name")).select("path", "name", "old_line", "new_line")
     named = diff_lines.where("tag in ('+', '-')").select(F.col("new_path").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("name")).distinct()
     rows = rows.join(header, ["path", "sl"], "left").join(deleted, ["path", "id"], "left").join(changes, ["path", "name"], "left").join(named.withColumn("named_in_change", F.lit(True)), ["path", "name"], "left")
+    rows = rows.withColumn("head", F.col("signature")) if files is None else heads(rows, files.join(rows.select("path").distinct(), "path", "left_semi"))
     return rows.withColumns({
         "symbol": F.when(F.col("owner").isNotNull(), F.concat_ws(".", "owner", "name")).otherwise(F.col("name")), "signature_changed": F.col("old_line").isNotNull(),
-        "is_override": F.lit(False), "object_literal": F.coalesce(F.col("signature").rlike(r"=\s*\{"), F.lit(False)),
+        "is_override": X.overrides(F.col("head"), F.col("lang")), "object_literal": F.coalesce(F.col("signature").rlike(r"=\s*\{"), F.lit(False)),
     })
 
 
 def facts(refs: DataFrame, files: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
-    """References with the flags that ``impact.route`` reads: whether their file shadows the name, whether they stand in
-    or call a macro, and what evidence of an import there is."""
-    r = A.direct_imports(refs, imports, changed)
-    shadow = r.where("context = 'definition'").select("path", "name", F.lit(True).alias("local_shadow")).distinct()
+    """References with the flags that ``impact.route`` reads: whether they mean something of their own file (JavaScript and
+    TypeScript: by scope, others: by a definition in the file), whether they stand in or call a macro, and what evidence of an
+    import there is."""
+    r = A.direct_imports(refs.where("context = 'reference'"), imports, changed)
+    scoped = F.col("lang").isin(*P.LANGS)
+    shadow = refs.where(~scoped & (F.col("context") == "definition")).select("path", "name", F.lit(True).alias("defined")).distinct()
+    holding = files.join(refs.where(scoped).select("path").distinct(), "path", "left_semi")
+    local = P.resolve(holding).where("kind = 'function'").select("path", "name", "ln", "col", F.lit(True).alias("meant_here"))
     seen = imports.select("path", F.explode(F.regexp_extract_all("ctx", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("name"), F.lit(True).alias("evidence")).distinct()
-    r = r.join(shadow, ["path", "name"], "left").join(seen, ["path", "name"], "left")
+    r = r.join(shadow, ["path", "name"], "left").join(local, ["path", "name", "ln", "col"], "left").join(seen, ["path", "name"], "left")
     macro = F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"!\s*[(\[{]"))
     return r.withColumns({
-        "macro_callee": F.regexp_like("line", macro), "in_macro": F.col("line").rlike(r"\b\w+!\s*[(\[{]"), "has_evidence": F.coalesce("evidence", F.lit(False)), "local_shadow": F.coalesce("local_shadow", F.lit(False)),
+        "macro_callee": F.regexp_like("line", macro), "in_macro": F.col("line").rlike(r"\b\w+!\s*[(\[{]"), "has_evidence": F.coalesce("evidence", F.lit(False)), "local_shadow": F.coalesce("meant_here", "defined", F.lit(False)),
         "function_value": (F.col("lang") == "rust") & (F.col("role") == "value"), "reexport_move": F.lit(False),
-    }).drop("evidence")
+    }).drop("evidence", "defined", "meant_here")
 
 
-def impact(files: DataFrame, diff_lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def impact(files: DataFrame, diff_lines: DataFrame, symbols: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(affected symbols, settled callers (path, line, route, callers, symbols), unresolved (path, symbols))."""
     ensure_checkpoints(files.sparkSession)
-    symbols = symbol_rows(files).checkpoint()
+    symbols = symbol_rows(files).checkpoint() if symbols is None else symbols
     changed = D.changed_paths(diff_lines).select("path")
-    hit = affected(symbols, diff_lines).where("not is_test and not is_local").checkpoint()
+    hit = affected(symbols, diff_lines, files).where("not is_test and not is_local").checkpoint()
     cross = M.crosses_files(hit)
     wanted = cross.select("path", "lang", "symbol", "owner", "change", "name", F.col("old_line"), F.col("new_line"))
     refs = X.references(files, wanted.select("name").unionByName(cross.where("owner is not null").select(F.col("owner").alias("name"))).distinct())
-    refs = refs.where("context = 'reference'").withColumn("is_test", is_test_path(F.col("path"))).checkpoint()
+    every = refs.withColumn("is_test", is_test_path(F.col("path"))).checkpoint()
+    refs = every.where("context = 'reference'")
     imports = Y.imports(files).withColumnRenamed("src", "module")
-    flags = facts(refs, files, imports, changed).select(F.col("path").alias("ref_path"), F.col("lang").alias("ref_lang"), "name", F.col("ln").alias("line_no"), "confidence", "is_import", "is_test", "direct_import", "local_shadow", "macro_callee", "in_macro", "has_evidence", "function_value", "reexport_move")
+    flags = facts(every, files, imports, changed).select(F.col("path").alias("ref_path"), F.col("lang").alias("ref_lang"), "name", F.col("ln").alias("line_no"), "confidence", "is_import", "is_test", "direct_import", "local_shadow", "macro_callee", "in_macro", "has_evidence", "function_value", "reexport_move")
     pairs = M.candidates(flags, wanted, refs.select(F.col("path").alias("ref_path"), "name"))
     sig = wanted.select(F.col("path").alias("source"), "symbol", S.same_arity(F.col("old_line"), F.col("new_line")).alias("same_arity")).distinct()
     routed = pairs.join(sig, ["source", "symbol"], "left").withColumn("route", M.route(X.GENERIC_NAMES))
@@ -87,9 +105,15 @@ def impact(files: DataFrame, diff_lines: DataFrame) -> tuple[DataFrame, DataFram
     return hit, settled, M.unresolved(settled, changed)
 
 
-def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """Symbols declared on added lines that nothing refers to, or tests alone: (path, name, line, status)."""
-    s = symbol_rows(files).where("not is_test and kind in ('function', 'method', 'class', 'constant', 'variable')")
+def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Exported symbols declared on added lines that nothing refers to, or tests alone: (path, name, line, status). What a
+    runtime calls is none: special methods of Python, events and tests of Xojo."""
+    s = (symbol_rows(files) if symbols is None else symbols).where("not is_test and kind in ('function', 'method', 'class', 'constant', 'variable')")
+    s = s.where(F.coalesce("exported", F.lit(False)) & ~F.col("name").rlike("^__.*__$"))
+    xojo = files.where("lang = 'xojo'")
+    if not xojo.isEmpty():
+        entries = B.xojo_symbols(xojo).where("entry").select("path", "name", F.col("ln").alias("sl"))
+        s = s.join(entries, ["path", "name", "sl"], "left_anti")
     added = D.added_lines(diff_lines).select(F.col("path").alias("file"), "line")
     mine = L.touched(s.select(F.col("path").alias("file"), F.col("sl").alias("line"), "name", F.col("name").alias("key"), "lang"), added)
     refs = X.references(files, mine.select("name")).where("context = 'reference' and not is_import")
@@ -99,28 +123,80 @@ def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = Non
     return L.touched(rows, added).where("status in ('dead', 'test-only')").select(F.col("file").alias("path"), "name", "line", "status")
 
 
-def interface(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
-    """(name, file, change, old_signature, new_signature, verdict, to_file): how the exported surface of the changed files moves."""
-    flat = lambda f: A.exported_surface(symbol_rows(f).where("not is_test")).select(F.concat_ws("\0", "path", "name").alias("id"), F.col("path"), "name", "kind", "signature")
-    o, n = flat(old_files).dropDuplicates(["id"]), flat(new_files).dropDuplicates(["id"])
+def uses(files: DataFrame, names: DataFrame) -> DataFrame:
+    """References (path, lang, name, ln, col, is_import, is_definition, before, line) of (name)s, without those that mean a function of their own
+    file or something of an external package."""
+    r = X.references(files, names).withColumn("is_definition", F.col("context") == "definition")
+    holding = files.join(r.where(F.col("lang").isin(*P.LANGS)).select("path").distinct(), "path", "left_semi")
+    own = P.resolve(holding).where("kind = 'function'").select("path", "name", "ln", "col").join(r.where("is_definition").select("path", "name").distinct(), ["path", "name"], "left_semi")
+    r = r.join(own.withColumn("meant_here", F.lit(True)), ["path", "name", "ln", "col"], "left")
+    bound = Y.imports(files).select("path", F.explode(F.regexp_extract_all("ctx", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))).alias("binding"), F.col("src").alias("module"))
+    return A.without_external(r, bound, R.packages(files).select("package").distinct())
+
+
+def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None = None, diff_lines: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """(name, file, change, old_signature, new_signature, verdict, fate, to_file): how the exported surface of the changed files moves.
+
+    In the whole new ``tree`` (the changed files, if none is given) the names are looked up: keys that an object lost and
+    something still names break it; a function whose callers all stand on added lines is closed; a component that is only written as an
+    element may become async; a removed name that nothing uses is dead (``fate``), others are kept. Of several declarations of a
+    name in a file the first one counts.
+    """
+    def flat(s: DataFrame) -> DataFrame:
+        first = N.Window.partitionBy("path", "container", "name").orderBy("sl", "id")
+        rows = A.exported_surface(s.where("not is_test").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))
+        rows = rows.select(F.concat_ws("\0", "path", "name").alias("id"), "path", "name", "kind", "signature")
+        return rows.groupBy("id").agg(F.min(F.struct("signature", "kind", "path", "name")).alias("r")).select("id", "r.path", "r.name", "r.kind", "r.signature")
+
+    tree = new_files if tree is None else tree
+    o, n = flat(symbol_rows(old_files)), flat(symbol_rows(new_files) if symbols is None else symbols)
     d = N.diff(o.select(F.col("id").alias("name"), "signature"), n.select(F.col("id").alias("name"), "signature")).withColumnRenamed("name", "id")
-    kinds = o.select("id", "path", "name", "kind").unionByName(n.select("id", "path", "name", "kind")).groupBy("id").agg(F.first("path").alias("file"), F.first("name").alias("name"), F.first("kind").alias("kind"))
-    langs = old_files.select("path", "lang").unionByName(new_files.select("path", "lang")).groupBy("path").agg(F.first("lang").alias("lang"))
-    rows = d.join(kinds, "id").join(langs, F.col("file") == F.col("path"), "left").drop("path")
-    verdict = A.classify(F.col("kind"), F.col("lang"), F.col("name"), F.col("old_signature"), F.col("new_signature"), F.lit(False), F.array().cast("array<string>"), F.lit(False))
+    sides = o.withColumn("side", F.lit(0)).unionByName(n.withColumn("side", F.lit(1))).groupBy("id").agg(F.min(F.struct("side", F.col("path").alias("file"), "name", "kind")).alias("k")).select("id", "k.file", "k.name", "k.kind")
+    langs = old_files.select("path", "lang").unionByName(new_files.select("path", "lang")).groupBy("path").agg(F.min("lang").alias("lang"))
+    rows = d.join(sides, "id").join(langs, F.col("file") == F.col("path"), "left").drop("path").checkpoint()
+    # What the rest of the tree says about the names.
+    moved_names = rows.where("change in ('removed', 'modified')").select(F.substring_index("name", ".", -1).alias("name"))
+    keys = rows.where(F.col("change") == "modified").select("id", F.explode(F.array_except(F.map_keys(A.members(F.col("old_signature"))), F.map_keys(A.members(F.col("new_signature"))))).alias("raw"))
+    keys = keys.select("id", "raw", F.regexp_replace("raw", r"^['\"]|\??$|['\"]\??$", "").alias("key")).where("key <> ''")
+    refs = uses(tree, moved_names.unionByName(keys.select(F.col("key").alias("name"))).distinct()).checkpoint()
+    read = keys.join(refs.where("not is_definition").select(F.col("name").alias("key")).distinct(), "key", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("raw")).alias("accessed"))
+    added = None if diff_lines is None else D.added_lines(diff_lines).select("path", "line")
+    rows = rows.withColumn("bare", F.substring_index("name", ".", -1))
+    spots = refs if added is None else refs.join(added.select("path", F.col("line").alias("ln"), F.lit(True).alias("on_added")).distinct(), ["path", "ln"], "left")
+    spots = spots.withColumn("on_added", F.coalesce("on_added", F.lit(False)) if added is not None else F.lit(False)).withColumnRenamed("name", "bare")
+    each = rows.select("id", "bare", "file", "kind", "name", F.col("lang").alias("own_lang")).join(spots.drop("lang", "line"), "bare")
+    # In JavaScript and TypeScript another file's function of that name, and what means it, is none of ours.
+    ours = (F.col("path") == F.col("file")) | F.col("meant_here").isNull() | ~((F.col("kind") == "function") & ~F.contains("name", F.lit(".")) & F.col("own_lang").isin(*P.LANGS))
+    here, use = F.col("path") == F.col("file"), ours & ~F.col("is_definition") & ~F.col("is_import")
+    n = lambda c: F.count(F.when(c, 1))
+    told = each.groupBy("id").agg(
+        ((n(F.col("is_definition") & here) == 1) & (n(ours & F.col("is_definition") & ~here) == 0) & (n(use & ~here) > 0) & (n(use & ~here & ~F.col("on_added")) == 0)).alias("closed"),
+        F.bool_and(F.when(use, F.col("before").isin("<", "/"))).alias("only_markup"),
+    )
+    rows = rows.join(read, "id", "left").join(told, "id", "left")
+    accessed = F.coalesce("accessed", F.array().cast("array<string>"))
+    verdict = A.classify(F.col("kind"), F.col("lang"), F.col("name"), F.col("old_signature"), F.col("new_signature"), F.col("closed"), accessed, F.coalesce("only_markup", F.lit(False)))
     gone, come = (rows.where(F.col("change") == c).select("name", "kind", F.col(f"{s}_signature").alias("signature"), "file") for c, s in (("removed", "old"), ("added", "new")))
     key = lambda df: df.withColumn("nth", F.row_number().over(N.Window.partitionBy("name", "kind", "signature").orderBy("file")))
     moved = key(gone).join(key(come).withColumnRenamed("file", "to_file"), ["name", "kind", "signature", "nth"]).select("name", "file", "to_file")
     rows = rows.join(moved, ["name", "file"], "left")
     to = moved.select("name", F.col("to_file").alias("file"), F.lit(True).alias("is_target"))
-    rows = rows.join(to, ["name", "file"], "left").where("is_target is null")
+    rows = rows.join(to, ["name", "file"], "left").where("is_target is null").checkpoint()
+    # A move comes before a removal; what is left of a removed name decides its fate.
+    removed = rows.where("change = 'removed' and to_file is null").select(F.col("bare").alias("name"), "file", F.when(F.contains("name", F.lit(".")), F.substring_index("name", ".", 1)).alias("owner"), "kind")
+    # What means another file's own function is no use of what is gone. Imports of it are: they would fail.
+    look = refs.where("meant_here is null").select("name", "path", "is_definition")
+    none = look.select("name", "path", F.lit(False).alias("proved")).where(F.lit(False))
+    fates = A.removed_dead(removed.select("name", "file", "owner"), look, none, removed.where("kind in ('class', 'struct', 'interface', 'enum', 'trait')").select("name", "file"))
+    fates = fates.groupBy(F.col("name").alias("bare"), "file").agg(F.max("fate").alias("fate"))
+    rows = rows.join(fates, ["bare", "file"], "left")
     change = F.when(F.col("to_file").isNotNull(), "moved").otherwise(F.col("change"))
-    return rows.select("name", "file", change.alias("change"), "old_signature", "new_signature", F.when(F.col("change") == "modified", verdict).alias("verdict"), "to_file")
+    return rows.select("name", "file", change.alias("change"), "old_signature", "new_signature", F.when(F.col("change") == "modified", verdict).alias("verdict"), F.when((F.col("change") == "removed") & F.col("to_file").isNull(), F.col("fate")).alias("fate"), "to_file")
 
 
 def hook(unresolved: DataFrame, dead_: DataFrame, interface_: DataFrame, missing: DataFrame | None = None, strict_values: bool = False) -> DataFrame:
-    """One row (json, blocking): the review with short keys. Impacts, dead code, removed and broken names block; moved and
-    added names, compatible changes and missing partners inform. A symbol whose change is compatible is no cause."""
+    """One row (json, blocking): the review with short keys. Impacts, dead code, removed names that are still used and broken ones
+    block; moved and added names, removed ones that nothing uses, compatible changes and missing partners inform. A symbol whose change is compatible is no cause."""
     quiet = ["wrapper", "unused-members", "optional-tail", "optional-members", "async-component", "python-tail", "optional-argument", "closed", "same"] + ([] if strict_values else ["value"])
     calm = interface_.where(F.col("verdict").isin(*quiet)).select(F.col("name").alias("s")).distinct()
     causes = unresolved.select("path", F.explode("symbols").alias("s")).join(calm, "s", "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("s")).alias("syms"))
@@ -131,7 +207,7 @@ def hook(unresolved: DataFrame, dead_: DataFrame, interface_: DataFrame, missing
         "impacts": listed(causes, F.struct(F.col("path").alias("f"), "syms")),
         "dead": listed(dead_, F.struct(F.col("name").alias("n"), F.col("path").alias("f"), F.col("line").alias("l")), "status = 'dead'"),
         "test_only": listed(dead_, F.struct(F.col("name").alias("n"), F.col("path").alias("f"), F.col("line").alias("l")), "status = 'test-only'"),
-        "rm": listed(interface_, pair, "change = 'removed'"), "mod": listed(interface_, pair, (F.col("change") == "modified") & broken),
+        "rm": listed(interface_, pair, "change = 'removed' and coalesce(fate, 'kept') <> 'dead'"), "rm_dead": listed(interface_, pair, "change = 'removed' and fate = 'dead'"), "mod": listed(interface_, pair, (F.col("change") == "modified") & broken),
         "add": listed(interface_, pair, "change = 'added'"), "mv": listed(interface_, F.struct(F.col("name").alias("n"), F.col("file").alias("from"), F.col("to_file").alias("to")), "change = 'moved'"),
         "mod_compat": listed(interface_, F.struct(F.col("name").alias("n"), F.col("file").alias("f"), F.col("verdict").alias("reason")), F.col("verdict").isin(*quiet)),
     }
@@ -153,7 +229,9 @@ def review(old_files: DataFrame, new_files: DataFrame, diffs: DataFrame, missing
     ensure_checkpoints(diffs.sparkSession)
     lines = D.parse(diffs).checkpoint()
     changed = D.changed_paths(lines).select("path")
-    hit, settled, unresolved = impact(new_files, lines)
-    dead_ = dead(new_files, lines, assets)
-    moves = interface(old_files.join(changed, "path", "left_semi"), new_files.join(changed, "path", "left_semi"))
+    symbols = symbol_rows(new_files).checkpoint()
+    hit, settled, unresolved = impact(new_files, lines, symbols)
+    unresolved = unresolved.checkpoint()
+    dead_ = dead(new_files, lines, assets, symbols).checkpoint()
+    moves = interface(old_files.join(changed, "path", "left_semi"), new_files.join(changed, "path", "left_semi"), new_files, lines, symbols.join(changed, "path", "left_semi")).checkpoint()
     return {"affected": hit, "callers": settled, "impact": unresolved, "dead": dead_, "api": moves, "hook": hook(unresolved, dead_, moves, missing)}

@@ -155,7 +155,10 @@ def resolve(files: DataFrame) -> DataFrame:
     something: the scope that binds it, as the number of the mark that begins it (-1: the file), and whether that is a
     function declared in the file (``function``) or something else (``other``). Both are null for names that nothing in the file binds."""
     ensure_checkpoints(files.sparkSession)
-    m = B.marks(files.where(F.col("lang").isin(*LANGS))).checkpoint()
+    files = files.where(F.col("lang").isin(*LANGS))
+    if files.isEmpty():
+        return files.sparkSession.createDataFrame([], "path string, name string, ln int, col int, scope int, kind string")
+    m = B.marks(files).checkpoint()
     parts = _parts(m).checkpoint()
     found = scopes(parts).checkpoint()
     bound = bindings(found, declarations(parts, found)).checkpoint()

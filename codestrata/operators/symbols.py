@@ -51,7 +51,7 @@ def python_symbols(path: str, text: str) -> Iterator[tuple]:
             if kind:
                 name = n.targets[0].id if isinstance(n, ast.Assign) else n.name
                 scoped = isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
-                public = name in names if names is not None and container is None else not name.startswith("_") or name.startswith("__") and name.endswith("__")
+                public = name in names if names is not None and container is None else not name.startswith("_")
                 first = lines[n.lineno - 1]
                 yield path, "python", ord_, name, kind, n.lineno - 1, n.col_offset, n.end_lineno - 1, n.end_col_offset, container, complexity(n) if kind in ("function", "method") else None, ast.get_docstring(n) if scoped else None, public and not local, first.strip(), True
                 ord_ += 1

@@ -323,6 +323,7 @@ def test_review(spark, tmp_path):
     assert found(r["api"], "name", "change", "verdict") == {("used", "modified", "modified"), ("gone", "removed", None), ("tail", "modified", "python-tail"), ("fresh", "added", None)}
     out = r["hook"].first()
     got = json.loads(out["json"])
-    assert out["blocking"] and got["blocking"] and got["impacts"] == [{"f": "app.py", "syms": ["used"]}] and got["rm"] == [{"n": "gone", "f": "lib.py"}] and got["mod_compat"] == [{"n": "tail", "f": "lib.py", "reason": "python-tail"}]
+    # Nothing uses what is gone: that informs, it doesn't block.
+    assert out["blocking"] and got["blocking"] and got["impacts"] == [{"f": "app.py", "syms": ["used"]}] and "rm" not in got and got["rm_dead"] == [{"n": "gone", "f": "lib.py"}] and got["mod_compat"] == [{"n": "tail", "f": "lib.py", "reason": "python-tail"}]
     nothing = V.review(*trees, spark.createDataFrame([], "diff_id string, text string"))
     assert nothing["hook"].first()["blocking"] is False and nothing["affected"].count() == 0
