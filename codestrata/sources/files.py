@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .ignores import ignore_rules, ignored
 
 MOST_BYTES = 100 << 20
 
 
-def read_tree(spark: SparkSession, root: str, glob: str | None = None, excluded_dirs: list[str] = (), excluded_globs: list[str] = (), exclude_generated: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, glob: str | None = None, excluded_dirs: list[str] = (), excluded_globs: list[str] = (), exclude_generated: bool = True, most_bytes: int = MOST_BYTES, ignores: DataFrame | None = None) -> DataFrame:
     """(path, text, length, lang, is_test) of the files under ``root`` that a scan takes.
 
     Paths are relative to the root. Hidden files, excluded directories and globs, files beyond ``most_bytes``,
     files that aren't UTF-8, of no known language, or generated are left out; path rules are applied to the
-    file listing's columns, before contents are decoded.
+    file listing's columns, before contents are decoded. ``ignores`` are the tree's ignore files (path, text), whose rules hide
+    paths too; Spark's listing shows no hidden files, so they come as rows. Nor does it show names that begin with an underscore.
     """
     base = root.rstrip("/")
     rel = F.substring_index(F.col("path"), base.split(":", 1)[-1].lstrip("/") + "/", -1)
@@ -27,6 +29,9 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None, excluded_
         files = files.where(~P.matches_glob(F.col("rel"), list(excluded_globs)))
     if glob:
         files = files.where(P.matches_glob(F.col("rel"), [glob]))
+    if ignores is not None:
+        hidden = ignored(files.select(F.col("rel").alias("path")), ignore_rules(ignores)).where("ignored").select(F.col("path").alias("rel"))
+        files = files.join(hidden, "rel", "left_anti")
     text = files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("rel").alias("path"), F.col("content").cast("string").alias("text"), "length")
     head = F.substring("text", 1, P.HEAD_BYTES)
     kept = text.where(P.keep_candidate(F.col("path"), head, exclude_generated))
