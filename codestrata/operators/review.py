@@ -23,9 +23,10 @@ from . import signatures as S
 from . import snapshots as N
 from . import symbols as Y
 
-def symbol_rows(files: DataFrame) -> DataFrame:
+
+def symbol_rows(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """Symbols with an id, (path, id, name, kind, sl, el, owner, exported, is_local, is_test, signature)."""
-    s = Y.extract(files)
+    s = Y.extract(files) if extracted is None else extracted
     return s.select(
         "path", "lang", F.concat_ws(":", "path", "ord").alias("id"), "name", "kind", "sl", "el", F.when(F.col("kind") == "method", F.col("container")).alias("owner"), "container",
         "exported", (~F.col("exported") & F.col("container").isNotNull() & (F.col("kind") == "function")).alias("is_local"), is_test_path(F.col("path")).alias("is_test"), "signature",
@@ -123,6 +124,13 @@ def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = Non
     return L.touched(rows, added).where("status in ('dead', 'test-only')").select(F.col("file").alias("path"), "name", "line", "status")
 
 
+def dead_report(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = None, seconds: float = Y.SECONDS) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(``dead`` rows, files that took too long or failed, totals of the scan: files, passed_over, rows, timeouts, failures). Files without
+    symbols for either reason still count as users of others."""
+    found, errors, totals = Y.extract_within(files, seconds)
+    return dead(files, diff_lines, assets, symbol_rows(files, found)), errors, totals
+
+
 def uses(files: DataFrame, names: DataFrame) -> DataFrame:
     """References (path, lang, name, ln, col, is_import, is_definition, before, line) of (name)s, without those that mean a function of their own
     file or something of an external package."""

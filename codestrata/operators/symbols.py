@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .limits import SECONDS, read_within
+
 SYMBOLS = "path string, lang string, ord int, name string, kind string, sl int, sc int, el int, ec int, container string, complexity int, doc string, exported boolean, signature string, exact boolean"
 CALLS = "path string, caller string, callee string, ln int, col int"
 IMPORTS = "path string, src string, ln int, kind string, ctx string"
@@ -86,40 +88,70 @@ KINDS = {
 }
 
 
+def brace_ends(lines: list[str]) -> Callable[[int], int]:
+    """The line where what begins on a line ends: where the braces that open on it, or within four lines and before a semicolon at a
+    line's end, are closed again; else the line itself. All lines are counted once; a question follows falls of the depth."""
+    n = len(lines)
+    depth, opens, stops, lower = [0] * n, [n] * (n + 1), [n] * (n + 1), [n] * n
+    at = 0
+    for j, line in enumerate(lines):
+        at += line.count("{") - line.count("}")
+        depth[j] = at
+    waiting: list[int] = []
+    for j in range(n - 1, -1, -1):
+        opens[j] = j if "{" in lines[j] else opens[j + 1]
+        stops[j] = j if lines[j].rstrip().endswith(";") else stops[j + 1]
+        while waiting and depth[waiting[-1]] >= depth[j]:
+            waiting.pop()
+        lower[j] = waiting[-1] if waiting else n
+        waiting.append(j)
+
+    def end_of(i: int) -> int:
+        j = opens[i]
+        if j == n or min(stops[i], i + 4) < j:
+            return i
+        base = depth[i - 1] if i else 0
+        while j < n and depth[j] > base:
+            j = lower[j]
+        return min(j, n - 1)
+
+    return end_of
+
+
 def pattern_symbols(path: str, lang: str, text: str) -> Iterator[tuple]:
     pattern = re.compile(DECLARATIONS[ALIKE.get(lang, lang)])
     lines = text.split("\n")
+    end_of = brace_ends(lines)
     for ord_, (i, m) in enumerate((i, m) for i, line in enumerate(lines) if (m := pattern.match(line))):
-        depth, end, opened = 0, i, False
-        for j in range(i, len(lines)):
-            depth += lines[j].count("{") - lines[j].count("}")
-            opened = opened or "{" in lines[j]
-            end = j
-            if opened and depth <= 0 or not opened and (lines[j].rstrip().endswith(";") or j > i + 3):
-                break
-        if not opened:
-            end = i
+        end = end_of(i)
         kind = KINDS.get((m["k"] or "function").strip().lower(), "function")
         line = lines[i]
         exported = {"rust": "pub " in line or "pub(" in line, "go": m["n"][:1].isupper(), "javascript": line.lstrip().startswith("export")}.get(ALIKE.get(lang, lang), not re.search(r"\bprivate\b", line))
         yield path, lang, ord_, m["n"], kind, i, m.start("n"), end, len(lines[end]), None, None, None, exported, line.strip(), False
 
 
+def file_symbols(path: str, lang: str, text: str) -> list[tuple]:
+    """Rows of ``SYMBOLS`` of one file; one that doesn't parse has none."""
+    if lang == "python":
+        try:
+            return [*python_symbols(path, text)]
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+    return [*pattern_symbols(path, lang, text)] if ALIKE.get(lang, lang) in DECLARATIONS else []
+
+
+def extract_within(files: DataFrame, seconds: float = SECONDS) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(symbols, errors, totals): like ``extract``, with a time limit a file; see ``limits.read_within``."""
+    return read_within(files, file_symbols, SYMBOLS, seconds)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Symbols of (path, lang, text) files. A file that doesn't parse is read by line patterns; one in no known
     language has no rows."""
 
-    def one(path: str, lang: str, text: str) -> list[tuple]:
-        if lang == "python":
-            try:
-                return [*python_symbols(path, text)]
-            except (SyntaxError, ValueError, RecursionError):
-                return []
-        return [*pattern_symbols(path, lang, text)] if ALIKE.get(lang, lang) in DECLARATIONS else []
-
     def run(batches):
         for b in batches:
-            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in one(p, g, t)]
+            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in file_symbols(p, g, t)]
             out = pd.DataFrame(found, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
             yield out.astype({"complexity": "Int32"})
 

@@ -75,3 +75,14 @@ def test_first_overload_counts_however_files_lie(spark, partitions):
     new = [(files[0][0], files[0][1], files[0][2].replace("a: string", "a: Date")), files[1]]
     got = V.interface(make(files), make(new)).collect()
     assert [(r["name"], r["old_signature"], r["new_signature"]) for r in got] == [("f", "export function f(a: string): void;", "export function f(a: Date): void;")]
+
+
+def test_dead_code_with_totals(spark):
+    from codestrata.sources import diffs as D
+
+    new = {"a.py": "def lonely():\n    return 1\n\n\ndef busy():\n    return 2\n", "b.py": "from a import busy\n\n\nbusy()\n"}
+    files = spark.createDataFrame([(p, "python", t) for p, t in new.items()] + [("c.txt", None, "x")], FILES)
+    lines = D.parse(spark.createDataFrame([("d", unified({}, new))], "diff_id string, text string"))
+    rows, errors, totals = V.dead_report(files, lines)
+    assert [(r["name"], r["status"]) for r in rows.collect()] == [("lonely", "dead")]
+    assert errors.count() == 0 and totals == {"files": 2, "passed_over": 1, "rows": 2, "timeouts": 0, "failures": 0}
