@@ -14,6 +14,7 @@ from ..sources import diffs as D
 from ..sources import inputs as R
 from . import api as A
 from . import blocks as B
+from . import constants as K
 from . import impact as M
 from . import intervals as I
 from . import lexing as X
@@ -146,7 +147,8 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     """(name, file, change, old_signature, new_signature, verdict, fate, to_file): how the exported surface of the changed files moves.
 
     In the whole new ``tree`` (the changed files, if none is given) the names are looked up: keys that an object lost and
-    something still names break it; a function whose callers all stand on added lines is closed; a component that is only written as an
+    something still names break it; a function whose callers all stand on added lines, or
+    pass a constant that got its new entries on added lines, is closed; a component that is only written as an
     element may become async; a removed name that nothing uses is dead (``fate``), others are kept. Of several declarations of a
     name in a file the first one counts.
     """
@@ -167,11 +169,21 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     keys = rows.where(F.col("change") == "modified").select("id", F.explode(F.array_except(F.map_keys(A.members(F.col("old_signature"))), F.map_keys(A.members(F.col("new_signature"))))).alias("raw"))
     keys = keys.select("id", "raw", F.regexp_replace("raw", r"^['\"]|\??$|['\"]\??$", "").alias("key")).where("key <> ''")
     refs = uses(tree, moved_names.unionByName(keys.select(F.col("key").alias("name"))).distinct()).checkpoint()
-    read = keys.join(refs.where("not is_definition").select(F.col("name").alias("key")).distinct(), "key", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("raw")).alias("accessed"))
+    # A key is read behind a dot, in what may be a pattern, or as a text in quotes.
+    spelled = tree.where(F.col("lang").isin(*P.LANGS)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\"'`]([A-Za-z_$][A-Za-z0-9_$]*)[\"'`]"), F.lit(1)))).alias("key"))
+    touched = refs.where("not is_definition and before in ('.', '{', ',')").select(F.col("name").alias("key")).unionByName(spelled).distinct()
+    read = keys.join(touched, "key", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("raw")).alias("accessed"))
     added = None if diff_lines is None else D.added_lines(diff_lines).select("path", "line")
     rows = rows.withColumn("bare", F.substring_index("name", ".", -1))
     spots = refs if added is None else refs.join(added.select("path", F.col("line").alias("ln"), F.lit(True).alias("on_added")).distinct(), ["path", "ln"], "left")
     spots = spots.withColumn("on_added", F.coalesce("on_added", F.lit(False)) if added is not None else F.lit(False)).withColumnRenamed("name", "bare")
+    if added is not None:
+        wanted = rows.where("change = 'modified' and kind = 'function' and lang in ('typescript', 'tsx')").select(F.col("bare").alias("name"), K.added_required(F.col("old_signature"), F.col("new_signature")).alias("r")).where("r is not null")
+        wanted = wanted.select("name", "r.*").checkpoint()
+        if not wanted.isEmpty():
+            calling = tree.join(refs.where("not is_definition").join(wanted.select("name"), "name", "left_semi").select("path").distinct(), "path", "left_semi")
+            along = K.followed(calling, wanted, added).withColumnRenamed("name", "bare").withColumn("along", F.lit(True))
+            spots = spots.join(along, ["path", "bare", "ln", "col"], "left").withColumn("on_added", F.col("on_added") | F.coalesce("along", F.lit(False))).drop("along")
     each = rows.select("id", "bare", "file", "kind", "name", F.col("lang").alias("own_lang")).join(spots.drop("lang", "line"), "bare")
     # In JavaScript and TypeScript another file's function of that name, and what means it, is none of ours.
     ours = (F.col("path") == F.col("file")) | F.col("meant_here").isNull() | ~((F.col("kind") == "function") & ~F.contains("name", F.lit(".")) & F.col("own_lang").isin(*P.LANGS))

@@ -39,12 +39,15 @@ OLD = {
     "send.ts": "export function send(a: string) { return a; }\n", "call.ts": "import { send } from './send';\nsend('x');\n", "own.ts": "function send(b) { return b; }\nexport const q = () => send(3);\nconsole.log(q);\n",
     # A caller that stays as it is.
     "post.ts": "export function post(a: string) { return a; }\n", "stale.ts": "import { post } from './post';\npost('x');\n",
+    # A caller that stays as it is, but passes a constant that gets the new entry.
+    "dep.ts": "export function build(d: { a: number }) { return d; }\n", "made.ts": "import { build } from './dep';\nconst DEPS = {\n  a: 1,\n};\nbuild(DEPS);\n",
     # Something that overrides.
     "K.java": "class K {\n  @Override\n  public String toString() {\n    return \"a\";\n  }\n}\n",
 }
 NEW = OLD | {
     "cfg.ts": "export const cfg = { a: 1 };\n", "opt.ts": "export const opt = { c: 1 };\nconsole.log(opt.c);\n", "lib.py": "X = 1\n", "app.py": "from lib import kept, X\n\n\ndef main():\n    return kept() + X\n",
     "send.ts": "export function send(a: string, b: number) { return a; }\n", "call.ts": "import { send } from './send';\nsend('x', 1);\n", "post.ts": "export function post(a: string, b: number) { return a; }\n",
+    "dep.ts": "export function build(d: { a: number; b: number }) { return d; }\n", "made.ts": "import { build } from './dep';\nconst DEPS = {\n  a: 1,\n  b: 2,\n};\nbuild(DEPS);\n",
     # What only a runtime calls, or is private, is not dead.
     "k.py": "class K:\n    def __init__(self):\n        self.a = 1\n\n    def __len__(self):\n        return self.a\n\n    def _own(self):\n        return 1\n\n    def shown(self):\n        return 2\n\n\nK()\n",
     "t.xojo_code": "Class FooTests\nInherits TestGroup\n\tSub barTest()\n\tEnd Sub\n\tSub helperUtil()\n\tEnd Sub\nEnd Class\nClass User\nInherits FooTests\nEnd Class\nDim u As New User\n",
@@ -54,7 +57,7 @@ NEW = OLD | {
 def test_review_blocks_what_breaks_and_nothing_else(spark):
     r, got, blocking = reviewed(spark, OLD, NEW)
     api = r["api"].collect()
-    assert {x["name"]: x["verdict"] for x in api if x["change"] == "modified"} == {"cfg": "modified", "opt": "unused-members", "send": "closed", "post": "modified"}
+    assert {x["name"]: x["verdict"] for x in api if x["change"] == "modified"} == {"cfg": "modified", "opt": "unused-members", "send": "closed", "post": "modified", "build": "closed"}
     assert {x["name"]: x["fate"] for x in api if x["change"] == "removed"} == {"kept": "kept", "gone": "dead"}
     assert {x["name"] for x in r["dead"].collect()} == {"shown", "helperUtil"}
     assert blocking and got["mod"] == [{"n": "cfg", "f": "cfg.ts"}, {"n": "post", "f": "post.ts"}]
