@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ensure_checkpoints
+from ..config import ensure_checkpoints, shared_folder
+from ..functions import render as V
 from ..operators import graph as G
 from ..operators import usage as U
 from ..sources import inputs as N
+from ..sources import sinks as K
 from ..streaming import requests as Q
 from .history import read
 from .registry import query
@@ -122,17 +126,23 @@ def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.log_totals(N.log_rows(raw, "agent", F.lit("p")))
 
 
-@query("content_key", "SELECT doc_id, sha256(text) AS content_key FROM documents")
+@query("content_key", "SELECT doc_id, sha256('1' || chr(0) || coalesce(text, '')) AS content_key FROM documents")
 def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("content_key"))
+    return read(spark, sf_dir, "documents").select("doc_id", K.content_key(F.col("text")).alias("content_key"))
 
 
-@query("cache_misses", "SELECT sha256(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text)) GROUP BY 1")
+@query("cache_misses", """
+    WITH d AS (SELECT doc_id, sha256('1' || chr(0) || coalesce(text, '')) AS content_key FROM documents), b AS (SELECT DISTINCT sha256('1' || chr(0) || coalesce(text, '')) AS content_key FROM benchmark)
+    SELECT content_key, content_key IN (SELECT content_key FROM b) AS hit, min(doc_id) AS doc_id, count(*) AS copies FROM d GROUP BY 1, 2
+""")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose content is not among the cached results (the benchmark's texts), once a content."""
-    cached = read(spark, sf_dir, "benchmark").select(F.sha2(F.col("text"), 256).alias("content_key"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("content_key"))
-    return docs.join(cached, "content_key", "left_anti").groupBy("content_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    """Documents by content, hit where it is among the stored results, which are those of the benchmark's texts."""
+    store = K.Store(spark, f"{shared_folder(spark)}/store-{uuid4().hex}")
+    store.put(read(spark, sf_dir, "benchmark").select(K.content_key(F.col("text")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("value")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", K.content_key(F.col("text")).alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    hits, misses = store.get(docs)
+    found = hits.select("key", F.lit(True).alias("hit")).unionByName(misses.withColumn("hit", F.lit(False)))
+    return docs.join(found, "key").select(F.col("key").alias("content_key"), "hit", "doc_id", "copies")
 
 
 @query("auto_format", """
@@ -144,12 +154,6 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def auto_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rendering of each region's nations costs less: characters plus three a line; JSON on a tie."""
-    from ..functions.render import cost
-
     rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    row = F.struct(F.col("n_nationkey").alias("k"), F.concat(F.lit('{"name":"'), "n_name", F.lit('","key":'), F.col("n_nationkey").cast("string"), F.lit("}")).alias("j"), F.concat(F.lit("  "), "n_name", F.lit(","), F.col("n_nationkey").cast("string")).alias("t"))
-    g = rows.groupBy("r_name").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    json = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["j"]), ","), F.lit("]"))
-    toon = F.concat(F.lit("["), F.size("all").cast("string"), F.lit("]{name,key}:\n"), F.array_join(F.transform("all", lambda x: x["t"]), "\n"))
-    out = g.select("r_name", cost(json).alias("json_cost"), cost(toon).alias("toon_cost"))
-    return out.withColumn("format", F.when(F.col("toon_cost") < F.col("json_cost"), "toon").otherwise("json"))
+    g = rows.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))).alias("all"))
+    return V.auto(g.withColumn("rows", F.transform("all", lambda x: F.struct(x["name"].alias("name"), x["key"].alias("key")))), "rows", ["name", "key"]).select("r_name", "json_cost", "toon_cost", "format")

@@ -1,7 +1,7 @@
 """Queries on liveness, interface snapshots, renames, ranges and routes.
 
-References to a part are line items of the first two months of 1997 (unrestricted, every part is referenced and
-nothing is ever dead): flag R stands for test code, N for other code.
+A line item refers to a part if its quantity is the part's size (by the part alone, every part is referenced and nothing
+is ever dead): flag R stands for test code, others for other code.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from ..operators import snapshots as S
 from .history import read
 from .registry import query
 
-FROM, TO = "1997-01-01", "1997-03-01"
 LIVE_SQL = """
-    WITH refs AS (SELECT l_partkey AS key, l_returnflag = 'R' AS is_test FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-03-01' AND l_returnflag IN ('N', 'R')),
+    WITH refs AS (SELECT l_partkey AS key, l_returnflag = 'R' AS is_test FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity = p_size),
     counts AS (SELECT key, count(*) FILTER (NOT is_test) AS prod, count(*) FILTER (is_test) AS test FROM refs GROUP BY key),
     cls AS (SELECT p_partkey AS key, p_name AS name, p_brand AS file, p_size AS line, coalesce(prod, 0) AS prod, coalesce(test, 0) AS test,
                    CASE WHEN coalesce(prod, 0) > 0 THEN 'live' WHEN coalesce(test, 0) > 0 THEN 'test-only' ELSE 'dead' END AS status
@@ -27,8 +26,9 @@ LIVE_SQL = """
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit(FROM).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(TO).cast("timestamp_ntz")) & F.col("l_returnflag").isin("N", "R"))
-    return rows.select(F.col("l_partkey").alias("key"), (F.col("l_returnflag") == "R").alias("is_test"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("l_quantity"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_quantity").cast("double").alias("l_quantity"), (F.col("l_returnflag") == "R").alias("is_test"))
+    return rows.join(parts, ["key", "l_quantity"], "left_semi").select("key", "is_test")
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def liveness_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("duplicate_guard", """
-    WITH refs AS (SELECT p_name AS key, l_returnflag = 'R' AS is_test FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-03-01' AND l_returnflag IN ('N', 'R')),
+    WITH refs AS (SELECT p_name AS key, l_returnflag = 'R' AS is_test FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity = p_size),
     counts AS (SELECT key, count(*) FILTER (NOT is_test) AS prod, count(*) FILTER (is_test) AS test FROM refs GROUP BY key),
     c AS (SELECT p_partkey AS id, p_name AS key, count(*) OVER (PARTITION BY p_name) AS key_count FROM part)
     SELECT id, c.key, key_count, coalesce(prod, 0) AS prod, coalesce(test, 0) AS test,
@@ -78,15 +78,17 @@ def dead_wip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNAP_SQL = """
-    WITH s AS (SELECT year(o_orderdate) AS y, o_custkey AS name, max(o_orderstatus || o_orderpriority) AS signature FROM orders WHERE year(o_orderdate) IN (1997, 1998) GROUP BY 1, 2),
-    o AS (SELECT * FROM s WHERE y = 1997), n AS (SELECT * FROM s WHERE y = 1998)
+    WITH s AS (SELECT year(o_orderdate) < 1998 AS early, o_custkey || '-' || month(o_orderdate) AS name, max(o_orderpriority) AS signature FROM orders GROUP BY 1, 2),
+    o AS (SELECT * FROM s WHERE early), n AS (SELECT * FROM s WHERE NOT early)
 """
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_custkey").alias("name"), F.concat("o_orderstatus", "o_orderpriority").alias("s"))
-    of = lambda y: orders.where(F.col("y") == y).groupBy("name").agg(F.max("s").alias("signature"))
-    return of(1997), of(1998)
+    """All orders: those before 1998 are the old side, the others the new one; a customer's month is a name."""
+    name = F.concat_ws("-", "o_custkey", F.month("o_orderdate"))
+    orders = read(spark, sf_dir, "orders").select((F.year("o_orderdate") < 1998).alias("early"), name.alias("name"), F.col("o_orderpriority").alias("s"))
+    of = lambda early: orders.where(F.col("early") == early).groupBy("name").agg(F.max("s").alias("signature"))
+    return of(True), of(False)
 
 
 @query("api_snapshot_diff", SNAP_SQL + """
@@ -103,7 +105,7 @@ def api_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.signature, r.name AS from_name, a.name AS to_name FROM r JOIN a ON r.signature = a.signature AND r.nth = a.nth
 """)
 def api_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th removed customer of a signature moved to the k-th added one."""
+    """The k-th removed name of a signature moved to the k-th added one."""
     old, new = snapshots(spark, sf_dir)
     moved, _, _ = S.moves(old.join(new, "name", "left_anti"), new.join(old, "name", "left_anti"), ["signature"], ["name"])
     return moved
