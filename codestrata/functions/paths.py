@@ -111,6 +111,13 @@ def language(path: Column, first_line: Column | None = None) -> Column:
     return F.coalesce(out, F.when(first_line.startswith("#!"), bang))
 
 
+def header_language(path: Column, lang: Column, text: Column) -> Column:
+    """C headers (.h) are C++ where their code, comments and strings apart, holds what C has no form for."""
+    code = F.regexp_replace(text, r"""(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", " ")
+    cpp = code.rlike(r"\bclass\s+\w+[^;{()=]*[{;]|\bnamespace\s+[\w:]*\s*[{=]|\btemplate\s*<|\btypename\s+\w|\b(public|private|protected)\s*:|\w\s*::\s*[\w~]|\bvirtual\s+\w|\bconstexpr\s+\w")
+    return F.when((lang == "c") & F.lower(path).endswith(".h") & cpp, "cpp").otherwise(lang)
+
+
 def is_test_file(path: Column) -> Column:
     """By the name alone. Suffixes such as FooTest.java keep their case, the others do not."""
     name = basename(path)

@@ -31,7 +31,8 @@ def rows(diff_id: str, text: str) -> Iterator[tuple]:
     line that follows it). A file without hunks has one row without a tag."""
     old = new = None
     hunk, ord_, head, ln, left, seen = 0, 0, (0, 0, 0, 0), 0, [0, 0], True
-    for line in text.splitlines():
+    for line in text.split("\n"):  # form feeds and other separators are no ends of lines
+        line = line[:-1] if line.endswith("\r") else line
         if left[0] or left[1]:
             tag = line[:1]
             if tag == "\\":
@@ -107,3 +108,14 @@ def signature_changes(lines: DataFrame, names: DataFrame) -> DataFrame:
     at = F.struct("hunk", "ord")
     first = lambda tag: F.min_by(F.trim("text"), F.when(F.col("tag") == tag, at))
     return hit.groupBy("diff_id", F.col("new_path").alias("path"), "name").agg(first("-").alias("old_line"), first("+").alias("new_line")).where("old_line <> new_line")
+
+
+def all_added(files: DataFrame) -> DataFrame:
+    """Unified diffs (diff_id, text) in which each file (path, text) is new, every line added; what version control does not know
+    yet takes part in a review this way (``conventions.untracked``). Empty files have no hunk. Null texts are left out."""
+    ended = F.col("text").endswith("\n")
+    body = F.when(ended, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    n = F.size(F.split(body, "\n")).cast("string")
+    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\nnew file mode 100644\n"))
+    hunk = F.concat(F.lit("--- /dev/null\n+++ b/"), F.col("path"), F.lit("\n@@ -0,0 +1,"), n, F.lit(" @@\n+"), F.replace(body, F.lit("\n"), F.lit("\n+")), F.when(ended, "\n").otherwise("\n\\ No newline at end of file\n"))
+    return files.where("path is not null and text is not null").select(F.col("path").alias("diff_id"), F.when(F.col("text") == "", head).otherwise(F.concat(head, hunk)).alias("text"))
