@@ -239,19 +239,6 @@ def property_to_field(removed: DataFrame, added: DataFrame) -> DataFrame:
     return removed.join(added.select("class", "name", "file").distinct(), ["class", "name", "file"], "left_anti")
 
 
-def shell_removed(removed: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
-    """Removed shell functions (name, file) that count: not those whose file only lost lines (file, gained = 0) or gained
-    some while nothing refers to them."""
-    used = refs.select("name", F.lit(True).alias("used")).distinct()
-    rows = removed.join(files.select("file", "gained"), "file", "left").join(used, "name", "left")
-    return rows.where(F.coalesce("used", F.lit(False))).select("name", "file")
-
-
-def is_root_script(path: Column, text: Column) -> Column:
-    """A Python file at the root that runs itself: its names are its own."""
-    return ~F.contains(path, F.lit("/")) & path.endswith(".py") & text.rlike(r"(?m)^if __name__ == ['\"]__main__['\"]\s*:")
-
-
 def normalised(signature: Column, lang: Column) -> Column:
     """White space as one space each; without the parameters that a runtime injects (Rust commands); destructured
     TypeScript parameters by their type alone."""

@@ -19,6 +19,7 @@ from . import impact as M
 from . import intervals as I
 from . import lexing as X
 from . import liveness as L
+from . import removals as V
 from . import scopes as P
 from . import signatures as S
 from . import snapshots as N
@@ -143,13 +144,14 @@ def uses(files: DataFrame, names: DataFrame) -> DataFrame:
     return A.without_external(r, bound, R.packages(files).select("package").distinct())
 
 
-def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None = None, diff_lines: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None = None, diff_lines: DataFrame | None = None, symbols: DataFrame | None = None, old_tree: DataFrame | None = None) -> DataFrame:
     """(name, file, change, old_signature, new_signature, verdict, fate, to_file): how the exported surface of the changed files moves.
 
     In the whole new ``tree`` (the changed files, if none is given) the names are looked up: keys that an object lost and
     something still names break it; a function whose callers all stand on added lines, or
     pass a constant that got its new entries on added lines, is closed; a component that is only written as an
-    element may become async; a removed name that nothing uses is dead (``fate``), others are kept. Of several declarations of a
+    element may become async; a removed name that nothing uses is dead (``fate``), one that no caller can miss outside (``removals``), others are kept.
+    ``old_tree`` gives the old project file where it isn't among ``old_files``. Of several declarations of a
     name in a file the first one counts.
     """
     def flat(s: DataFrame) -> DataFrame:
@@ -168,7 +170,8 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     moved_names = rows.where("change in ('removed', 'modified')").select(F.substring_index("name", ".", -1).alias("name"))
     keys = rows.where(F.col("change") == "modified").select("id", F.explode(F.array_except(F.map_keys(A.members(F.col("old_signature"))), F.map_keys(A.members(F.col("new_signature"))))).alias("raw"))
     keys = keys.select("id", "raw", F.regexp_replace("raw", r"^['\"]|\??$|['\"]\??$", "").alias("key")).where("key <> ''")
-    refs = uses(tree, moved_names.unionByName(keys.select(F.col("key").alias("name"))).distinct()).checkpoint()
+    scripts = V.script_modules(old_files).join(tree.select(F.col("path").alias("file")), "file", "left_anti").select(F.col("module").alias("name"))
+    refs = uses(tree, moved_names.unionByName(keys.select(F.col("key").alias("name"))).unionByName(scripts).distinct()).checkpoint()
     # A key is read behind a dot, in what may be a pattern, or as a text in quotes.
     spelled = tree.where(F.col("lang").isin(*P.LANGS)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\"'`]([A-Za-z_$][A-Za-z0-9_$]*)[\"'`]"), F.lit(1)))).alias("key"))
     touched = refs.where("not is_definition and before in ('.', '{', ',')").select(F.col("name").alias("key")).unionByName(spelled).distinct()
@@ -209,7 +212,9 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     none = look.select("name", "path", F.lit(False).alias("proved")).where(F.lit(False))
     fates = A.removed_dead(removed.select("name", "file", "owner"), look, none, removed.where("kind in ('class', 'struct', 'interface', 'enum', 'trait')").select("name", "file"))
     fates = fates.groupBy(F.col("name").alias("bare"), "file").agg(F.max("fate").alias("fate"))
-    rows = rows.join(fates, ["bare", "file"], "left")
+    sources = old_files.select("path", "text") if old_tree is None else old_files.select("path", "text").unionByName(old_tree.where("path = 'pyproject.toml'").select("path", "text")).distinct()
+    outside = V.outside_surface(removed, sources, tree, rows.where("change = 'added'"), refs).select(F.col("name").alias("bare"), "file", F.lit(True).alias("outside"))
+    rows = rows.join(fates, ["bare", "file"], "left").join(outside, ["bare", "file"], "left").withColumn("fate", F.when(F.col("outside"), "outside").otherwise(F.col("fate")))
     change = F.when(F.col("to_file").isNotNull(), "moved").otherwise(F.col("change"))
     return rows.select("name", "file", change.alias("change"), "old_signature", "new_signature", F.when(F.col("change") == "modified", verdict).alias("verdict"), F.when((F.col("change") == "removed") & F.col("to_file").isNull(), F.col("fate")).alias("fate"), "to_file")
 
@@ -227,7 +232,7 @@ def hook(unresolved: DataFrame, dead_: DataFrame, interface_: DataFrame, missing
         "impacts": listed(causes, F.struct(F.col("path").alias("f"), "syms")),
         "dead": listed(dead_, F.struct(F.col("name").alias("n"), F.col("path").alias("f"), F.col("line").alias("l")), "status = 'dead'"),
         "test_only": listed(dead_, F.struct(F.col("name").alias("n"), F.col("path").alias("f"), F.col("line").alias("l")), "status = 'test-only'"),
-        "rm": listed(interface_, pair, "change = 'removed' and coalesce(fate, 'kept') <> 'dead'"), "rm_dead": listed(interface_, pair, "change = 'removed' and fate = 'dead'"), "mod": listed(interface_, pair, (F.col("change") == "modified") & broken),
+        "rm": listed(interface_, pair, "change = 'removed' and coalesce(fate, 'kept') not in ('dead', 'outside')"), "rm_dead": listed(interface_, pair, "change = 'removed' and fate = 'dead'"), "mod": listed(interface_, pair, (F.col("change") == "modified") & broken),
         "add": listed(interface_, pair, "change = 'added'"), "mv": listed(interface_, F.struct(F.col("name").alias("n"), F.col("file").alias("from"), F.col("to_file").alias("to")), "change = 'moved'"),
         "mod_compat": listed(interface_, F.struct(F.col("name").alias("n"), F.col("file").alias("f"), F.col("verdict").alias("reason")), F.col("verdict").isin(*quiet)),
     }
@@ -253,5 +258,5 @@ def review(old_files: DataFrame, new_files: DataFrame, diffs: DataFrame, missing
     hit, settled, unresolved = impact(new_files, lines, symbols)
     unresolved = unresolved.checkpoint()
     dead_ = dead(new_files, lines, assets, symbols).checkpoint()
-    moves = interface(old_files.join(changed, "path", "left_semi"), new_files.join(changed, "path", "left_semi"), new_files, lines, symbols.join(changed, "path", "left_semi")).checkpoint()
+    moves = interface(old_files.join(changed, "path", "left_semi"), new_files.join(changed, "path", "left_semi"), new_files, lines, symbols.join(changed, "path", "left_semi"), old_files).checkpoint()
     return {"affected": hit, "callers": settled, "impact": unresolved, "dead": dead_, "api": moves, "hook": hook(unresolved, dead_, moves, missing)}
