@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import code, history, logs, review, structure  # noqa: E402, F401  (they register themselves)
+from . import changes, code, history, logs, review, structure  # noqa: E402, F401  (they register themselves)
