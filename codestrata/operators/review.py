@@ -20,6 +20,7 @@ from . import intervals as I
 from . import lexing as X
 from . import liveness as L
 from . import removals as V
+from . import runtime as E
 from . import scopes as P
 from . import signatures as S
 from . import snapshots as N
@@ -110,7 +111,7 @@ def impact(files: DataFrame, diff_lines: DataFrame, symbols: DataFrame | None =
 
 def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Exported symbols declared on added lines that nothing refers to, or tests alone: (path, name, line, status). What a
-    runtime calls is none: special methods of Python, events and tests of Xojo."""
+    runtime or a framework calls is none: special methods of Python, events and tests of Xojo, what ``runtime`` knows."""
     s = (symbol_rows(files) if symbols is None else symbols).where("not is_test and kind in ('function', 'method', 'class', 'constant', 'variable')")
     s = s.where(F.coalesce("exported", F.lit(False)) & ~F.col("name").rlike("^__.*__$"))
     xojo = files.where("lang = 'xojo'")
@@ -118,6 +119,7 @@ def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = Non
         entries = B.xojo_symbols(xojo).where("entry").select("path", "name", F.col("ln").alias("sl"))
         s = s.join(entries, ["path", "name", "sl"], "left_anti")
     added = D.added_lines(diff_lines).select(F.col("path").alias("file"), "line")
+    s = E.without_entries(s, E.entries(files.join(added.select(F.col("file").alias("path")).distinct(), "path", "left_semi")))
     mine = L.touched(s.select(F.col("path").alias("file"), F.col("sl").alias("line"), "name", F.col("name").alias("key"), "lang"), added)
     refs = X.references(files, mine.select("name")).where("context = 'reference' and not is_import")
     counts = L.reference_counts(refs.select(F.col("symbol").alias("key"), is_test_path(F.col("path")).alias("is_test")))
