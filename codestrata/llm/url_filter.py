@@ -7,7 +7,8 @@ that ends at a slash; an equi-join on (kind, entry) whose interval holds the cap
 
 The keys of a capture are as many as its labels and path segments. A common host makes a hot join key with few
 intervals behind it; the join is a plain equi-join, which adaptive execution splits, and it is a broadcast join
-while the list is small. Equal captures are counted before they are joined.
+while the list is small. Captures are taken apart where they are read, and what belongs to one is put together before
+the one shuffle that counts equal captures.
 
 Dirty input. A null or unparsable URL has no keys and is never blocked. Schemes and hosts are lower-cased,
 ports and user names dropped, query and fragment don't take part. Captures with a null day match nothing.
@@ -60,17 +61,17 @@ def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """(page_id, url, day, captures, blocked, entries, first_entry, since) for (page_id, url, day) rows.
 
     ``entries``: active entries that match; ``first_entry``: the smallest, as kind:entry; ``since``: the
-    earliest day from which one of them is active.
+    earliest day from which one of them is active. Intervals of an entry must not overlap; those of ``intervals`` don't.
     """
-    once = captures.groupBy("page_id", "url", "day").agg(F.count(F.lit(1)).alias("captures"))
-    looked = once.withColumn("k", F.explode_outer(keys(F.col("url")))).select("*", F.col("k.kind").alias("ck"), F.col("k.entry").alias("ce")).drop("k")
+    looked = captures.select("page_id", "url", "day", F.posexplode_outer(keys(F.col("url"))).alias("nth", "k")).select("page_id", "url", "day", "nth", F.col("k.kind").alias("ck"), F.col("k.entry").alias("ce"))
     hit = looked.join(
         listed, (F.col("ck") == F.col("kind")) & (F.col("ce") == F.col("entry")) & (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))), "left"
     )
+    # Each capture has one row of its first key, or one without a key; equal captures have equal hits.
     return hit.groupBy("page_id", "url", "day").agg(
-        F.max("captures").alias("captures"),
+        F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("captures"),
         (F.count("entry") > 0).alias("blocked"),
-        F.count("entry").alias("entries"),
+        F.expr("count(entry) div count_if(coalesce(nth, 0) = 0)").alias("entries"),
         F.min(F.concat("kind", F.lit(":"), "entry")).alias("first_entry"),
         F.min("valid_from").alias("since"),
     )
