@@ -152,7 +152,7 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     In the whole new ``tree`` (the changed files, if none is given) the names are looked up: keys that an object lost and
     something still names break it; a function whose callers all stand on added lines, or
     pass a constant that got its new entries on added lines, is closed; a component that is only written as an
-    element may become async; a removed name that nothing uses is dead (``fate``), one that no caller can miss outside (``removals``), others are kept.
+    element may become async; a removed name that nothing uses is dead (``fate``), one that no caller can miss outside (``removals``; what was replaced is dead, and told), others are kept.
     ``old_tree`` gives the old project file where it isn't among ``old_files``. Of several declarations of a
     name in a file the first one counts.
     """
@@ -215,7 +215,7 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     fates = A.removed_dead(removed.select("name", "file", "owner"), look, none, removed.where("kind in ('class', 'struct', 'interface', 'enum', 'trait')").select("name", "file"))
     fates = fates.groupBy(F.col("name").alias("bare"), "file").agg(F.max("fate").alias("fate"))
     sources = old_files.select("path", "text") if old_tree is None else old_files.select("path", "text").unionByName(old_tree.where("path = 'pyproject.toml'").select("path", "text")).distinct()
-    outside = V.outside_surface(removed, sources, tree, rows.where("change = 'added'"), refs).select(F.col("name").alias("bare"), "file", F.lit(True).alias("outside"))
+    outside = V.outside_surface(removed, sources, tree, rows.where("change = 'added'"), refs).where("reason <> 'replaced'").select(F.col("name").alias("bare"), "file", F.lit(True).alias("outside"))
     rows = rows.join(fates, ["bare", "file"], "left").join(outside, ["bare", "file"], "left").withColumn("fate", F.when(F.col("outside"), "outside").otherwise(F.col("fate")))
     change = F.when(F.col("to_file").isNotNull(), "moved").otherwise(F.col("change"))
     return rows.select("name", "file", change.alias("change"), "old_signature", "new_signature", F.when(F.col("change") == "modified", verdict).alias("verdict"), F.when((F.col("change") == "removed") & F.col("to_file").isNull(), F.col("fate")).alias("fate"), "to_file")

@@ -40,13 +40,12 @@ def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files(parts.where("s < 46"), old_folder, F.lit("")), files(parts.where("s > 10"), new_folder, more)
 
 
-@query("review_interface", TREE_SQL + """,
-    more AS (SELECT DISTINCT path FROM n WHERE s >= 46)
+@query("review_interface", TREE_SQL + """
     SELECT coalesce(o.name, n.name) AS name, coalesce(o.path, n.path) AS file,
            CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.path <> n.path THEN 'moved' ELSE 'modified' END AS change,
            o.signature AS old_signature, CASE WHEN o.path = n.path OR o.k IS NULL THEN n.signature END AS new_signature,
            CASE WHEN o.path = n.path AND n.s <= 15 THEN 'python-tail' WHEN o.path = n.path THEN 'modified' END AS verdict,
-           CASE WHEN n.k IS NULL THEN CASE WHEN u.k IS NOT NULL THEN 'kept' WHEN o.path IN (SELECT path FROM more) THEN 'outside' ELSE 'dead' END END AS fate,
+           CASE WHEN n.k IS NULL THEN CASE WHEN u.k IS NOT NULL THEN 'kept' ELSE 'dead' END END AS fate,
            CASE WHEN o.path <> n.path THEN n.path END AS to_file
     FROM o FULL JOIN n ON o.k = n.k LEFT JOIN uses u ON u.k = o.k
     WHERE coalesce(o.s, n.s) NOT BETWEEN 26 AND 45
