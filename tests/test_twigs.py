@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -181,3 +182,22 @@ def test_traits_and_closures_have_no_depth(spark):
     chain = spark.range(70).selectExpr("id as src", "id + 1 as dst")
     got = G.closure(chain, spark.createDataFrame([(0,)], "node long"))
     assert got.count() == 70 and got.agg({"depth": "max"}).first()[0] == 70
+
+
+def test_traits_of_cycles_are_counted_once_a_component(spark):
+    rng = random.Random(4)
+    nodes = 12
+    edges = sorted({(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(16)})
+    reach = {}
+    for c in {a for a, _ in edges}:
+        seen, todo = set(), [c]
+        while todo:
+            x = todo.pop()
+            new = {b for a, b in edges if a == x} - seen
+            seen |= new
+            todo += new
+        reach[c] = seen
+    methods = [(t, m) for t in range(0, nodes, 2) for m in ("m", "n")[: 1 + t % 4 // 2]]
+    want = Counter(c for c, seen in reach.items() for t, _ in methods if t in seen)
+    uses, offered = spark.createDataFrame(edges, "class long, trait long").coalesce(1), spark.createDataFrame(methods + methods[:2], "trait long, method string").coalesce(1)
+    assert {(r["class"], r["targets"]) for r in A.trait_target_counts(uses, offered).collect()} == set(want.items())
