@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexing as X
+from .limits import frames
 from .sweep import containers
 
 MARKS = "path string, lang string, ord int, ln int, col int, text string, kind string"
@@ -69,8 +69,7 @@ def marks(files: DataFrame) -> DataFrame:
     def run(batches):
         names = [c.split()[0] for c in MARKS.split(", ")]
         for b in batches:
-            rows = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in stream(p, g, t)]
-            yield pd.DataFrame(rows, columns=names)
+            yield from frames((r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in stream(p, g, t)), names)
 
     return files.select("path", "lang", "text").mapInPandas(run, MARKS)
 

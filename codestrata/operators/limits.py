@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import signal
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..config import shared_folder
 
 SECONDS = 10.0
+#: Rows of a frame that a reader hands over at once.
+FRAME_ROWS = 20_000
 
 
 class TooLate(Exception):
@@ -42,6 +45,12 @@ def within(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
+def frames(rows: Iterable[tuple], names: list[str], dtype: type | None = None) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most ``FRAME_ROWS``, so that a worker holds no more of them than that, however many a batch of files has."""
+    for some in batched(rows, FRAME_ROWS):
+        yield pd.DataFrame(list(some), columns=names, dtype=dtype)
+
+
 def read_within(files: DataFrame, reader: Callable[[str, str, str], list[tuple]], schema: str, seconds: float = SECONDS) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(rows, errors, totals) of ``reader`` over (path, lang, text) files.
 
@@ -64,16 +73,17 @@ def read_within(files: DataFrame, reader: Callable[[str, str, str], list[tuple]]
         except Exception as e:  # a reader may fail in any way on a file that no one wrote it for; the error is a row
             return [], (path, lang, type(e).__name__, 1, 0)
 
-    def run(batches):
+    def told(batches):
         for b in batches:
-            rows, notes = [], []
             for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True):
                 found, note = one(p, g, t)
-                rows += found
-                notes.append(note)
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            marks = pd.DataFrame([(n[0], *[None] * (len(names) - 1), *n[1:]) for n in notes], columns=[*names, *extra]).astype(object)
-            yield pd.concat([out.assign(**{c: None for c in extra}), marks], ignore_index=True).astype(object).where(lambda d: d.notna(), None)
+                for r in found:
+                    yield *r, None, None, None, None
+                yield note[0], *[None] * (len(names) - 1), *note[1:]
+
+    def run(batches):
+        for frame in frames(told(batches), [*names, *extra], object):
+            yield frame.where(lambda d: d.notna(), None)
 
     seen = Observation()
     counted = lambda c: F.count(F.when(c, 1))

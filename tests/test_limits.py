@@ -3,6 +3,9 @@
 import random
 import time
 
+import pandas as pd
+
+from codestrata.operators import blocks, lexing, limits
 from codestrata.operators import symbols as S
 from codestrata.operators.limits import read_within
 
@@ -63,3 +66,21 @@ def test_ends_are_linear():
     began = time.time()
     assert sum(1 for _ in S.pattern_symbols("p", "rust", text)) == 30000
     assert time.time() - began < 3
+
+
+def test_readers_hand_over_bounded_frames(monkeypatch):
+    """However many rows a batch of files has, no frame holds more than ``FRAME_ROWS``, and none is lost."""
+    monkeypatch.setattr(limits, "FRAME_ROWS", 7)
+    got = [*limits.frames(((str(i), i) for i in range(30)), ["a", "b"])]
+    assert [len(f) for f in got] == [7, 7, 7, 7, 2] and [b for f in got for b in f["b"]] == [*range(30)]
+    assert [*limits.frames([], ["a", "b"])] == []
+    for reader, rows in ((blocks.marks, 24), (lexing.tokens, 12)):
+        class Files:  # stands for a table; what the task would run is called here
+            def select(self, *_):
+                return self
+
+            def mapInPandas(self, run, schema):
+                return [*run([pd.DataFrame([("a", "zig", "go(now)" * 6)], columns=["path", "lang", "text"])])]
+
+        found = reader(Files())
+        assert max(map(len, found)) <= 7 and sum(map(len, found)) == rows
