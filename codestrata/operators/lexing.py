@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_import_line
+from .limits import frames
 
 TOKENS = "path string, lang string, ln int, col int, name string, context string, role string, confidence string, before string, line string"
 MOST_LINE = 200
@@ -181,8 +181,7 @@ def tokens(files: DataFrame) -> DataFrame:
     def run(batches):
         names = [c.split()[0] for c in TOKENS.split(", ")]
         for b in batches:
-            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in lex(p, g, t)]
-            yield pd.DataFrame(found, columns=names)
+            yield from frames((r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if t is not None and g is not None for r in lex(p, g, t)), names)
 
     return files.select("path", "lang", "text").mapInPandas(run, TOKENS)
 
