@@ -9,11 +9,11 @@ from __future__ import annotations
 import ast
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoints
+from .limits import frames
 from .sweep import LINE, containers, spot
 
 NODES = "path string, id int, last int, parent int, depth int, kind string, name string, field string, sl int, sc int, el int, ec int, preview string, error string"
@@ -67,9 +67,9 @@ def nodes(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if g == "python" and t is not None for r in numbered([*tree(p, t)])]
-            out = pd.DataFrame(found, columns=[c.split()[0] for c in NODES.split(", ")])
-            yield out.astype({"parent": "Int32"})
+            found = (r for p, g, t in zip(b["path"], b["lang"], b["text"], strict=True) if g == "python" and t is not None for r in numbered([*tree(p, t)]))
+            for out in frames(found, [c.split()[0] for c in NODES.split(", ")]):
+                yield out.astype({"parent": "Int32"})
 
     return files.select("path", "lang", "text").mapInPandas(run, NODES)
 

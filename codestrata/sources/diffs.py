@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.limits import frames
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 SCHEMA = "diff_id string, old_path string, new_path string, hunk int, old_start int, old_count int, new_start int, new_count int, ord int, tag string, text string, new_ln int"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -63,9 +64,9 @@ def parse(diffs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [r for i, t in zip(b["diff_id"], b["text"], strict=True) if t is not None for r in rows(i, t)]
-            out = pd.DataFrame(found, columns=COLUMNS)
-            yield out.astype({c: "Int32" for c in ("hunk", "old_start", "old_count", "new_start", "new_count", "ord", "new_ln")})
+            found = (r for i, t in zip(b["diff_id"], b["text"], strict=True) if t is not None for r in rows(i, t))
+            for out in frames(found, COLUMNS):
+                yield out.astype({c: "Int32" for c in ("hunk", "old_start", "old_count", "new_start", "new_count", "ord", "new_ln")})
 
     return diffs.select("diff_id", "text").mapInPandas(run, SCHEMA)
 
