@@ -208,3 +208,9 @@ def test_impact(spark):
     assert as_set(I.covered_moves(removed, uses, added)) == {("a.rs", "f", "b.rs")}
     kept = table(spark, [("function", "go", True, None, None, None, "modified", True, None, None, None, True), ("function", "go", True, None, None, None, "modified", False, None, None, None, True), ("class", "java", True, None, None, None, "modified", None, True, None, None, True), ("class", "java", False, None, None, None, "modified", None, True, None, None, True)], "kind string, lang string, exported boolean, is_test boolean, is_override boolean, is_local boolean, change string, signature_changed boolean, header_added boolean, deleted_inside boolean, object_literal boolean, named_in_change boolean")
     assert I.crosses_files(kept).count() == 2
+
+
+def test_walks_do_not_gather_partitions(spark):
+    chain = spark.range(12).selectExpr("id as src", "id + 1 as dst").repartition(3)
+    got = graph.closure(chain, table(spark, [(0,)], "node long"))
+    assert got.count() == 12 and got.rdd.getNumPartitions() <= 3 and graph.more(chain, chain.repartition(5)).rdd.getNumPartitions() == 5
