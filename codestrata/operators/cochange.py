@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CoChangeConfig
+from .dealing import deal
 
 
 def weight(n_files: Column, config: CoChangeConfig) -> Column:
@@ -24,25 +25,34 @@ def author_unit(mail: Column, time: Column, config: CoChangeConfig) -> Column:
     return F.struct(mail.alias("mail"), F.floor(time / F.lit(86400 * config.author_window_days)).alias("span"))
 
 
-def candidates(evidence: DataFrame, commit_files: DataFrame, config: CoChangeConfig, exclude_all_sources: bool = True) -> DataFrame:
-    """One row a (source, candidate): co, den, units, weights, confidence, score."""
-    files = commit_files.select("sha", "path").distinct()
+def candidates(evidence: DataFrame, commit_files: DataFrame, config: CoChangeConfig, exclude_all_sources: bool = True, parts: int | None = None) -> DataFrame:
+    """One row a (source, candidate): co, den, units, weights, confidence, score.
+
+    What is counted once a commit is told apart where the commit is, in ``parts`` dealt by commit; what is counted once a unit where
+    the unit is, dealt by unit with a row a commit. Only counts of pairs are shuffled, never a pair a commit."""
+    files = deal(commit_files.select("sha", "path"), parts, "sha").distinct()
     sizes = files.groupBy("sha").agg(F.count(F.lit(1)).alias("n_files"))
+    told = deal(evidence.select("source", "sha", "author_mail", "author_time"), parts, "sha").distinct()
     # a commit without a readable file list still counts, with weight 1
-    used = evidence.select("source", "sha", "author_mail", "author_time").distinct().join(sizes, "sha", "left")
+    used = told.join(sizes, "sha", "left")
     used = used.withColumn("w", weight(F.coalesce("n_files", F.lit(0)), config)).where("w > 0")
     known = F.col("author_mail").isNotNull() & F.col("author_time").isNotNull()
     active = config.author_window_days > 0
     used = used.withColumn("unit", F.when(known, author_unit(F.col("author_mail"), F.col("author_time"), config)) if active else F.lit(None).cast("string"))
-    per_source = used.groupBy("source").agg(F.countDistinct("sha").alias("den"), F.sum("w").alias("sum_w"), F.countDistinct("unit").alias("units"))
-    pairs = used.join(files, "sha").where(F.col("path") != F.col("source"))
+    in_unit = deal(used.where("unit is not null").select("source", "unit"), parts, "unit").distinct().groupBy("source").agg(F.count("unit").alias("units"))
+    in_commit = used.groupBy("sha", "source").agg(F.sum("w").alias("w")).groupBy("source").agg(F.count("sha").alias("den"), F.sum("w").alias("sum_w"))
+    per_source = in_commit.join(in_unit, "source", "left").withColumn("units", F.coalesce("units", F.lit(0)))
+    pairs = used.select("source", "sha", "w").join(files, "sha").where(F.col("path") != F.col("source")).groupBy("sha", "source", F.col("path").alias("candidate")).agg(F.sum("w").alias("w"))
+    per_pair = pairs.groupBy("source", "candidate").agg(F.count("sha").alias("co"), F.sum("w").alias("co_w"))
+    lists = files.join(sizes.where(F.col("n_files") <= config.max_files_per_commit), "sha", "left_semi").groupBy("sha").agg(F.collect_list("path").alias("paths"))
+    held = used.where("unit is not null").groupBy("sha", "unit").agg(F.collect_set("source").alias("sources")).join(lists, "sha")
+    apart = deal(held.select("unit", "sources", "paths"), parts, "unit").select("unit", F.explode("sources").alias("source"), "paths").select("unit", "source", F.explode("paths").alias("candidate"))
+    together = apart.where("candidate <> source").distinct().groupBy("source", "candidate").agg(F.count(F.lit(1)).alias("co_units"))
+    per_pair = per_pair.join(together, ["source", "candidate"], "left").withColumn("co_units", F.coalesce("co_units", F.lit(0)))
     if exclude_all_sources:
-        pairs = pairs.join(evidence.select(F.col("source").alias("path")).distinct(), "path", "left_anti")
-    per_pair = pairs.groupBy("source", F.col("path").alias("candidate")).agg(
-        F.countDistinct("sha").alias("co"), F.sum("w").alias("co_w"), F.countDistinct("unit").alias("co_units")
-    )
+        per_pair = per_pair.join(evidence.select(F.col("source").alias("candidate")).distinct(), "candidate", "left_anti")
     per_candidate = files.groupBy(F.col("path").alias("candidate")).agg(F.count(F.lit(1)).alias("total_changes_b"))
-    evidence_size = evidence.groupBy("source").agg(F.countDistinct("sha").alias("total_changes_a"))
+    evidence_size = told.select("sha", "source").distinct().groupBy("source").agg(F.count("sha").alias("total_changes_a"))
     joined = per_pair.join(per_source, "source").join(evidence_size, "source").join(per_candidate, "candidate")
     confidence = F.col("co") / F.col("den")
     a, b = F.lit(config.alpha), F.lit(config.beta)
@@ -81,23 +91,23 @@ def diagnostics(found: DataFrame, config: CoChangeConfig) -> DataFrame:
     )
 
 
-def history(touches: DataFrame, limit: int) -> DataFrame:
-    """The last ``limit`` commits of each path: (path, sha, ord) in commit order."""
+def history(touches: DataFrame, limit: int, parts: int | None = None) -> DataFrame:
+    """The last ``limit`` commits of each path: (path, sha, ord) in commit order; ``parts`` dealt by path."""
     order = Window.partitionBy("path").orderBy(F.desc("ord"), F.desc("sha"))
-    return touches.select("path", "sha", "ord").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
+    return deal(touches.select("path", "sha", "ord"), parts, "path").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
 
-def choose_evidence(blame: DataFrame, past: DataFrame, min_denominator: int) -> DataFrame:
+def choose_evidence(blame: DataFrame, past: DataFrame, min_denominator: int, parts: int | None = None) -> DataFrame:
     """Per source the blame commits, or the history where blame has too few and history has more.
 
-    Both inputs are (source, sha); the result adds ``mode``.
+    Both inputs are (source, sha); the result adds ``mode``. All is done in ``parts`` dealt by source.
     """
-    n = lambda df, name: df.groupBy("source").agg(F.countDistinct("sha").alias(name))
-    sizes = n(blame, "n_blame").join(n(past, "n_history"), "source", "full_outer").select("source", F.coalesce("n_blame", F.lit(0)).alias("n_blame"), F.coalesce("n_history", F.lit(0)).alias("n_history"))
-    mode = F.when((F.col("n_blame") < min_denominator) & (F.col("n_history") > F.col("n_blame")), "history").otherwise("blame")
-    chosen = sizes.select("source", mode.alias("mode"))
     both = blame.select("source", "sha", F.lit("blame").alias("mode")).unionByName(past.select("source", "sha", F.lit("history").alias("mode")))
-    return both.distinct().join(chosen, ["source", "mode"])
+    both = deal(both.where("source is not null"), parts, "source").distinct()
+    n = lambda mode: F.count(F.when(F.col("mode") == mode, F.col("sha"))).alias(f"n_{mode}")
+    sizes = both.groupBy("source").agg(n("blame"), n("history"))
+    chosen = F.when((F.col("n_blame") < min_denominator) & (F.col("n_history") > F.col("n_blame")), "history").otherwise("blame")
+    return both.join(sizes.select("source", chosen.alias("chosen")), "source").where("mode = chosen").select("source", "mode", "sha")
 
 
 def missing(pairs: DataFrame, changed: DataFrame, limit: int = 10, lock_pairs: DataFrame | None = None) -> DataFrame:
