@@ -97,15 +97,17 @@ def changed_paths(lines: DataFrame) -> DataFrame:
 
 def signature_changes(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(diff_id, path, name, old_line, new_line): per name the first removed and the first added line of a file
-    that hold it as a word and look like a declaration, where they differ."""
+    that hold it as a word and look like a declaration, where they differ. A short list of names is broadcast: a common name's lines
+    would all be shuffled to one task."""
     from ..functions.paths import has_token
+    from ..operators.lexing import sized
 
     looks = F.col("text").rlike(r"\(|\b(fn|def|func|function|class|struct|interface|sub|fun)\b")
     body = lines.where(F.col("tag").isin("+", "-") & looks)
     # Words are joined to the names by equality; what is only part of a word is told apart afterwards.
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))
     spelled = F.array_union(words, F.flatten(F.transform(words, lambda w: F.split(w, r"\$"))))
-    hit = body.withColumn("name", F.explode(spelled)).join(names.select("name").distinct(), "name", "left_semi").where(has_token(F.col("text"), F.col("name")))
+    hit = body.withColumn("name", F.explode(spelled)).join(sized(names.select("name").distinct()), "name", "left_semi").where(has_token(F.col("text"), F.col("name")))
     at = F.struct("hunk", "ord")
     first = lambda tag: F.min_by(F.trim("text"), F.when(F.col("tag") == tag, at))
     return hit.groupBy("diff_id", F.col("new_path").alias("path"), "name").agg(first("-").alias("old_line"), first("+").alias("new_line")).where("old_line <> new_line")
