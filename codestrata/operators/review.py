@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ensure_checkpoints
+from ..config import ensure_checkpoints, measured_joins
 from ..functions.paths import is_test_path
 from ..sources import diffs as D
 from ..sources import inputs as R
@@ -112,6 +112,12 @@ def impact(files: DataFrame, diff_lines: DataFrame, symbols: DataFrame | None =
 def dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Exported symbols declared on added lines that nothing refers to, or tests alone: (path, name, line, status). What a
     runtime or a framework calls is none: special methods of Python, events and tests of Xojo, what ``runtime`` knows."""
+    ensure_checkpoints(files.sparkSession)
+    with measured_joins(files.sparkSession):
+        return _dead(files, diff_lines, assets, symbols).checkpoint()
+
+
+def _dead(files: DataFrame, diff_lines: DataFrame, assets: DataFrame | None, symbols: DataFrame | None) -> DataFrame:
     s = (symbol_rows(files) if symbols is None else symbols).where("not is_test and kind in ('function', 'method', 'class', 'constant', 'variable')")
     s = s.where(F.coalesce("exported", F.lit(False)) & ~F.col("name").rlike("^__.*__$"))
     xojo = files.where("lang = 'xojo'")
@@ -156,6 +162,12 @@ def interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None
     ``old_tree`` gives the old project file where it isn't among ``old_files``. Of several declarations of a
     name in a file the first one counts.
     """
+    ensure_checkpoints(old_files.sparkSession)
+    with measured_joins(old_files.sparkSession):
+        return _interface(old_files, new_files, tree, diff_lines, symbols, old_tree).checkpoint()
+
+
+def _interface(old_files: DataFrame, new_files: DataFrame, tree: DataFrame | None, diff_lines: DataFrame | None, symbols: DataFrame | None, old_tree: DataFrame | None) -> DataFrame:
     def flat(s: DataFrame) -> DataFrame:
         first = N.Window.partitionBy("path", "container", "name").orderBy("sl", "id")
         rows = A.exported_surface(s.where("not is_test").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))

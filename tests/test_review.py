@@ -89,3 +89,32 @@ def test_dead_code_with_totals(spark):
     rows, errors, totals = V.dead_report(files, lines)
     assert [(r["name"], r["status"]) for r in rows.collect()] == [("lonely", "dead")]
     assert errors.count() == 0 and totals == {"files": 2, "passed_over": 1, "rows": 2, "timeouts": 0, "failures": 0}
+
+
+def test_joins_of_a_review_trust_no_estimate(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    key, seen, run = "spark.sql.autoBroadcastJoinThreshold", [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a, **k: (seen.append(spark.conf.get(key)), run(df, *a, **k))[1])
+    before = spark.conf.get(key)
+    old, new = (spark.createDataFrame([("a.py", "python", t)], FILES) for t in ("def f():\n    return 1\n", "def g():\n    return 1\n"))
+    assert {(r["name"], r["change"]) for r in V.interface(old, new).collect()} == {("f", "removed"), ("g", "added")}
+    assert seen and set(seen) == {"-1"} and spark.conf.get(key) == before
+
+
+def test_a_side_that_only_looks_small_is_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from codestrata.config import measured_joins
+
+    # Each of 200 rows becomes 1000, which no estimate knows.
+    small = spark.range(200).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("n"), "id")
+    grown = small.select((F.col("id") * 1000 + F.col("n")).alias("k"), F.lit("x" * 40).alias("text"))
+    plans = []
+    with measured_joins(spark):
+        for most in (200_000, 10):
+            joined = spark.range(300_000).withColumnRenamed("id", "k").join(grown.where(F.col("k") < most), "k")
+            assert joined.count() == most
+            joined.collect()
+            plans.append(str(joined._jdf.queryExecution().executedPlan()))
+    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1].split("Initial Plan")[0]
