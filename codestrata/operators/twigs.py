@@ -19,6 +19,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..config import held
 
 MATCHES = "rule_id string, severity string, message string, path string, ln int, col int, name string, capture string"
 _TOKEN = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<deep>\.\.)|(?P<cap>@[\w.]+)|(?P<pred>#[a-z-]+\?)|(?P<field>\w+)\s*:|(?P<kind>\w+)|"(?P<text>(?:\\.|[^"\\])*)")')
@@ -98,17 +101,18 @@ def twig(query: str) -> Twig:
     return root
 
 
-def nested_pairs(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """(path, up, low): numbers of nodes (path, id, last) with those (path, id) below them at any depth. Rows of a path are sorted by
-    number and read once with a stack of open ancestors: time and rows grow with the pairs that nest."""
-    rows = upper.select("path", "id", "last", F.lit(1).alias("side")).unionByName(lower.select("path", "id", F.lit(None).cast("int").alias("last"), F.lit(0).alias("side")))
-    rows = rows.where("path is not null").repartition("path").sortWithinPartitions("path", "id", "side")
+def nested_pairs(upper: DataFrame, lower: DataFrame, at: str, up: str) -> DataFrame:
+    """Rows of ``lower`` (path, ``at``, ...), a node's number ``at``, once for each node (path, id, last) of ``upper`` above them at any
+    depth, whose number is ``up``. Rows of a path are sorted by number and read once with a stack of open ancestors: time and rows grow
+    with the pairs that nest."""
+    rows = upper.select("path", F.col("id").alias(at), "last", F.lit(1).alias("side")).unionByName(lower.withColumns({"last": F.lit(None).cast("int"), "side": F.lit(0)}), allowMissingColumns=True)
+    rows = rows.where("path is not null").repartition("path").sortWithinPartitions("path", at, "side")
 
     def run(batches):
         path, stack = None, []
         for b in batches:
-            ups, lows, at = [], [], []
-            for i, (p, n, last, side) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "id", "last", "side")), strict=True)):
+            ups, lows = [], []
+            for i, (p, n, last, side) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", at, "last", "side")), strict=True)):
                 if p != path:
                     path, stack = p, []
                 while stack and stack[-1][1] < n:
@@ -117,12 +121,13 @@ def nested_pairs(upper: DataFrame, lower: DataFrame) -> DataFrame:
                     stack.append((n, last))
                 else:
                     ups += [u for u, _ in stack]
-                    lows += [n] * len(stack)
-                    at += [i] * len(stack)
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column("path").take(pa.array(at)), pa.array(ups, pa.int32()), pa.array(lows, pa.int32())], names=["path", "up", "low"])
+                    lows += [i] * len(stack)
+            if lows:
+                own = b.select(names).take(pa.array(lows))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ups, b.column(at).type)], names=[*names, up])
 
-    return rows.mapInArrow(run, "path string, up int, low int")
+    names = lower.columns
+    return rows.mapInArrow(run, StructType([*lower.schema.fields, StructField(up, upper.schema["id"].dataType)]))
 
 
 def _test(pred: str, column: Column, text: str) -> Column:
@@ -130,8 +135,9 @@ def _test(pred: str, column: Column, text: str) -> Column:
     return F.coalesce(~hit if "not" in pred else hit, F.lit("not" in pred))
 
 
-def matches(nodes_: DataFrame, pattern: Twig) -> DataFrame:
-    """(path, n0, n1 ...): the nodes of every match, numbered as ``pattern.all()`` lists its nodes."""
+def matches(nodes_: DataFrame, pattern: Twig, about: Column | None = None) -> DataFrame:
+    """(path, n0, n1 ...): the nodes of every match, numbered as ``pattern.all()`` lists its nodes; besides, a0, a1 ...: what ``about``
+    says of those that are captured. A node's number is its own within its path. No side of a join is broadcast: a pattern's nodes grow with the files."""
     order = {id(t): k for k, t in enumerate(pattern.all())}
     tests: dict[str, list[tuple[str, str]]] = {}
     for pred, capture, text in pattern.tests:
@@ -139,31 +145,35 @@ def matches(nodes_: DataFrame, pattern: Twig) -> DataFrame:
 
     def candidates(t: Twig) -> DataFrame:
         """Nodes of one pattern node: its kind, field and tests leave few before anything is joined."""
-        c = nodes_ if t.kind == "_" else nodes_.where(F.col("kind") == t.kind)
+        c = nodes_.where("path is not null and id is not null")
+        if t.kind != "_":
+            c = c.where(F.col("kind") == t.kind)
         if t.field is not None:
             c = c.where(F.col("field") == t.field)
         for pred, text in tests.get(t.capture or "", []):
             c = c.where(_test(pred, F.col("name"), text))
-        return c
+        k = order[id(t)]
+        told = [] if about is None or t.capture is None else [about.alias(f"a{k}")]
+        return c.select("path", F.col("id").alias(f"n{k}"), "last", "parent", *told)
 
     def solve(t: Twig) -> DataFrame:
-        me = f"n{order[id(t)]}"
-        out = candidates(t).select("path", F.col("id").alias(me), "last")
+        me, joined = f"n{order[id(t)]}", False
+        out = candidates(t)
         for b in t.below:
             low, at = solve(b), f"n{order[id(b)]}"
             if b.deep:
-                pairs = nested_pairs(out.select("path", F.col(me).alias("id"), "last").distinct(), low.select("path", F.col(at).alias("id")).distinct())
-                low = low.join(pairs.select("path", F.col("up").alias(me), F.col("low").alias(at)), ["path", at])
+                upper = out.select("path", F.col(me).alias("id"), "last")
+                low = nested_pairs(upper.distinct() if joined else upper, low.drop("last", "parent"), at, me)
             else:
-                low = low.join(candidates(b).select("path", F.col("id").alias(at), F.col("parent").alias(me)).where(f"{me} is not null"), ["path", at])
-            out = out.join(low.drop("last"), ["path", me])
+                low = low.drop("last").withColumnRenamed("parent", me).where(f"{me} is not null")
+            out, joined = out.join(low.hint("merge"), ["path", me]), True
         # Two children of one node are two nodes.
         for i, x in enumerate(t.below):
             for y in t.below[i + 1 :]:
                 out = out.where(F.col(f"n{order[id(x)]}") != F.col(f"n{order[id(y)]}"))
         return out
 
-    return solve(pattern).drop("last")
+    return solve(pattern).drop("last", "parent")
 
 
 def lint(nodes_: DataFrame, rules: DataFrame, language: str = "python") -> tuple[DataFrame, DataFrame]:
@@ -171,8 +181,12 @@ def lint(nodes_: DataFrame, rules: DataFrame, language: str = "python") -> tuple
 
     A query goes before a pattern; a pattern is looked for in the names of identifiers. Rules with both or neither and queries that
     are none give warnings. Rules are written by hand and few, so the driver reads them; rules of other languages are passed over.
+    The nodes are made once, whatever the number of rules.
     """
     spark = nodes_.sparkSession
+    nodes_ = held(nodes_.select("path", "id", "last", "parent", "kind", "name", "field", "sl", "sc", "preview"), "nodes")
+    place = [F.col("sl").alias("ln"), F.col("sc").alias("col"), F.coalesce("name", "preview").alias("name")]
+    about = F.struct(*place)
     found, warned = None, []
     patterns = []
     for r in rules.where(F.col("language") == language).collect():
@@ -189,14 +203,13 @@ def lint(nodes_: DataFrame, rules: DataFrame, language: str = "python") -> tuple
         except ValueError as e:
             warned.append((r["id"], f"invalid query: {e}; skipped"))
             continue
-        captured = [F.struct(F.lit(t.capture).alias("capture"), F.col(f"n{k}").alias("id")) for k, t in enumerate(pattern.all()) if t.capture]
+        captured = [F.struct(F.lit(t.capture).alias("capture"), F.col(f"a{k}").alias("at")) for k, t in enumerate(pattern.all()) if t.capture]
         if captured:
-            rows = matches(nodes_, pattern).select("path", F.explode(F.array(*captured)).alias("c")).select("path", "c.*")
-            rows = rows.select(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"]).alias("message"), "path", "id", "capture")
+            rows = matches(nodes_, pattern, about).select("path", F.explode(F.array(*captured)).alias("c"))
+            rows = rows.select(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"]).alias("message"), "path", "c.at.ln", "c.at.col", "c.at.name", "c.capture")
             found = rows if found is None else found.unionByName(rows)
     named = F.broadcast(rules.where(F.col("language") == language).where(F.col("id").isin(*patterns)).select(F.col("id").alias("rule_id"), "severity", "message", "pattern"))
-    identifiers = nodes_.where("name is not null and kind in ('Name', 'Attribute', 'arg', 'keyword', 'FunctionDef', 'AsyncFunctionDef', 'ClassDef', 'alias')")
-    by_name = identifiers.join(named, F.contains("name", F.col("pattern"))).select("rule_id", "severity", "message", "path", "id", F.lit(None).cast("string").alias("capture"))
+    identifiers = nodes_.where("path is not null and id is not null and name is not null and kind in ('Name', 'Attribute', 'arg', 'keyword', 'FunctionDef', 'AsyncFunctionDef', 'ClassDef', 'alias')")
+    by_name = identifiers.join(named, F.contains("name", F.col("pattern"))).select("rule_id", "severity", "message", "path", *place, F.lit(None).cast("string").alias("capture"))
     found = by_name if found is None else found.unionByName(by_name)
-    placed = found.join(nodes_.select("path", "id", F.col("sl").alias("ln"), F.col("sc").alias("col"), F.coalesce("name", "preview").alias("name")), ["path", "id"])
-    return placed.select(*[c.split()[0] for c in MATCHES.split(", ")]), spark.createDataFrame(warned, "id string, warning string")
+    return found.select(*[c.split()[0] for c in MATCHES.split(", ")]), spark.createDataFrame(warned, "id string, warning string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import held
 from ..operators import api as A
 from ..operators import blocks as B
 from ..operators import syntax as Y
@@ -70,18 +71,19 @@ def lint_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     its flag. Rules ask for calls in urgent functions, for pairs of calls in one, and for calls anywhere in the module."""
     from pyspark.sql import Window
 
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("path"), F.col("o_orderpriority").alias("name"))
-    o = o.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")))
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     items = read(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(by)).select(F.col("l_orderkey").alias("o_orderkey"), "at", F.col("l_returnflag").alias("flag"))
     sizes = items.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("size"))
-    o = o.join(sizes, "o_orderkey", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    before = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    o = o.withColumn("id", (F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)) + 1).cast("int"))
+    # No side is broadcast: the tables are as large as the input, whatever their compressed files let Spark expect.
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("path"), F.col("o_orderpriority").alias("name"))
+    o = o.join(sizes.hint("merge"), "o_orderkey", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    nth = Window.partitionBy("path").orderBy("o_orderkey")
+    o = o.withColumns({"nth": F.row_number().over(nth), "id": (F.coalesce(F.sum(F.col("size") + 1).over(nth.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int")})
+    o = held(o, "orders")
     shape = lambda df, id_, last, parent, kind, name, field, ln: df.select("path", id_.cast("int").alias("id"), last.cast("int").alias("last"), parent.cast("int").alias("parent"), F.lit(kind).alias("kind"), name.alias("name"), F.lit(field).alias("field"), ln.cast("int").alias("sl"), F.lit(0).alias("sc"), F.lit("").alias("preview"))
     modules = shape(o.groupBy("path").agg(F.max(F.col("id") + F.col("size")).alias("end")), F.lit(0), F.col("end"), F.lit(None), "Module", F.lit(None).cast("string"), None, F.lit(0))
     functions = shape(o, F.col("id"), F.col("id") + F.col("size"), F.lit(0), "FunctionDef", F.col("name"), "body", F.col("nth"))
-    calls = o.join(items, "o_orderkey")
+    calls = o.join(items.hint("merge"), "o_orderkey")
     calls = shape(calls, F.col("id") + F.col("at"), F.col("id") + F.col("at"), F.col("id"), "Call", F.col("flag"), "body", F.col("nth"))
     nodes = modules.unionByName(functions).unionByName(calls)
     rules = spark.createDataFrame([

@@ -58,6 +58,23 @@ def test_rules(spark, nodes, tmp_path):
     assert {r["id"]: r["warning"].split(";")[0].split(":")[0] for r in warned.collect()} == {"both": "query and pattern are mutually exclusive", "neither": "must have either query or pattern", "wrong": "invalid query"}
 
 
+def test_nodes_are_made_once_and_no_side_is_broadcast(spark, nodes):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rules = spark.createDataFrame([(str(k), "python", "info", "m", q, None) for k, q in enumerate(["(FunctionDef ..(Call func: (Name) @f) @c) @d", "(Call) @c"])], RULE)
+    every = nodes.count()
+    found, _ = W.lint(nodes.mapInPandas(counted, nodes.schema), rules)
+    got = Counter((r["rule_id"], r["capture"], r["ln"], r["name"]) for r in found.collect())
+    assert {k: n for k, n in got.items() if k[1] == "d"} == {("0", "d", 1, "outer"): 2, ("0", "d", 2, "inner"): 1, ("0", "d", 10, "outer"): 1}
+    assert sum(n for k, n in got.items() if k[0] == "1") == 4 and read.value == every
+    assert "BroadcastHashJoin" not in str(found._jdf.queryExecution().executedPlan())
+
+
 @pytest.mark.parametrize("query", ["", "Call", "(Call", "(Call))", "(Call (#eq? @x \"a\"))", "(Call @)", "(Call (#like? @c \"a\")) @c", "(Call (#match? @c \"(\")) @c", "(Call !) @c"])
 def test_no_patterns(query):
     with pytest.raises(ValueError):
