@@ -18,8 +18,8 @@ texts last; it is an order whatever the counts, so counting by sample windows co
    has another class of a size that may link, the smaller at home. Those are marked, by shingle and size, in a
    bit table of ``FILTER_BITS`` bits, of fixed size however many they are; a wrong mark only costs.
 3. ``_entries``: for the marked entries, (shingle, class, point).
-4. ``_trees``: an R-tree a slab joins its points; pairs that the bound lets pass are united, and a class is
-   sent on with its united group, not with its pairs. Groups that meet over slabs are joined into blocks, whose
+4. ``_trees``: an R-tree a slab joins its points, but for slabs of a few; pairs that the bound lets pass are united, and a class is
+   sent on with the group of its task, not with its pairs. Groups that meet over slabs are joined into blocks, whose
    classes are marked in a bit table likewise.
 5. ``_solve``: a block's sets, made once more from the texts, meet once. An R-tree over them, then verification,
    nearest first, skipping pairs that are connected already. A block beyond ``TILE`` sets is solved in tiles, then among one set of each tile
@@ -56,6 +56,8 @@ BLOCK_BITS = 1 << 20
 TILE = 96
 PART = 16 * TILE
 LEAF = 8
+#: Points of a slab up to which its pairs are told without a tree.
+FEW = 16
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
@@ -158,15 +160,21 @@ class RTree:
 
 def may_link(points: list[np.ndarray], sizes: np.ndarray, t: int) -> Union:
     """Unites all members of a slab between which the bound leaves a link possible."""
-    found = Union(len(points))
+    found, label = Union(len(points)), np.arange(len(points))
     dims = np.array([len(p) for p in points])
     for d in np.unique(dims):
         # sets of the next size class meet this one only near its upper end; other classes are too far in size
         at = np.flatnonzero((dims == d) | (dims > d) & (t * sizes <= 100 * sizes[dims == d].max()))
         if len(at) > 1:
             for i, j, _ in RTree(np.stack([fold(points[k], int(d)) for k in at]), sizes[at]).pairs(t):
-                for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True):
-                    found.join(x, y)
+                while len(i):  # most pairs of near copies are together already
+                    x, y = label[at[i]], label[at[j]]
+                    apart = x != y
+                    i, j = i[apart], j[apart]
+                    if len(i):
+                        x, y = int(x[apart][0]), int(y[apart][0])
+                        found.join(x, y)
+                        label[label == max(x, y)] = min(x, y)
     return found
 
 
@@ -371,8 +379,41 @@ def _sets(marked):
     return run
 
 
+def _points(raw: list[bytes]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """({groups: points of so many groups as rows}, groups of each, its row, its size)."""
+    form: dict[tuple[int, int], list[int]] = {}
+    for k, p in enumerate(raw):
+        form.setdefault((len(p), p[0]), []).append(k)
+    parts: dict[int, list[np.ndarray]] = {}
+    dims, place, sizes = (np.empty(len(raw), np.int64) for _ in range(3))
+    for (n, two), at in form.items():
+        m = np.frombuffer(b"".join([raw[k] for k in at]), np.uint8).reshape(-1, n)[:, 1:]
+        m = np.stack([m >> 4, m & 15], 2).reshape(len(at), -1) if two else m
+        own = parts.setdefault(m.shape[1], [])
+        dims[at], place[at], sizes[at] = m.shape[1], sum(map(len, own)) + np.arange(len(at)), m.sum(1, dtype=np.int64)
+        own.append(m)
+    return {d: np.concatenate(x) for d, x in parts.items()}, dims, place, sizes
+
+
+def may_pair(raw: list[bytes], a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """Which pairs of packed points the bound lets pass, pairs of equal numbers of groups at once."""
+    tables, dims, place, sizes = _points(raw)
+    passed = 100 * np.minimum(sizes[a], sizes[b]) >= t * np.maximum(sizes[a], sizes[b])
+    left = np.flatnonzero(passed)
+    shape = dims[a[left]] << 32 | dims[b[left]]
+    for s in np.unique(shape).tolist():
+        own, few = left[shape == s], min(s >> 32, s & 0xFFFFFFFF)
+        step = max(1, (1 << 21) // max(s >> 32, s & 0xFFFFFFFF))
+        for at in (own[i : i + step] for i in range(0, len(own), step)):
+            p, q = (tables[d][place[x[at]]] for d, x in ((s >> 32, a), (s & 0xFFFFFFFF, b)))
+            p, q = (m if m.shape[1] == few else m.reshape(len(m), few, -1).sum(2, dtype=np.uint16) for m in (p, q))
+            passed[at] = (100 + t) * np.minimum(p, q).sum(1, dtype=np.int64) >= t * (sizes[a[at]] + sizes[b[at]])
+    return passed
+
+
 def _trees(t: int):
-    """Of a partition of slab entries: (a, b) that keep together what may link."""
+    """Of a partition of slab entries: (a, b) that keep together what may link. Pairs of slabs of up to ``FEW`` points are told once each,
+    however many slabs they share; a larger slab needs a tree if its points are not all together by then."""
 
     def run(batches):
         cols = [(b.column("h").to_numpy(), b.column("class").to_numpy(), b.column("body").to_pylist()) for b in batches if b.num_rows]
@@ -381,20 +422,33 @@ def _trees(t: int):
         h, c, body = np.concatenate([x[0] for x in cols]), np.concatenate([x[1] for x in cols]), [p for x in cols for p in x[2]]
         order = np.lexsort((c, h))
         order = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)])]
-        cuts = np.flatnonzero(np.diff(h[order])) + 1
-        seen, out = set(), set()
-        for at in np.split(order, cuts):
-            key = c[at].tobytes()
-            if len(at) < 2 or key in seen:  # near copies share many slabs with the same members
+        classes, first, which = np.unique(c[order], return_index=True, return_inverse=True)
+        raw = [body[k] for k in order[first].tolist()]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        n = np.diff(begin, append=len(order))
+        codes = [np.zeros(0, np.int64)]
+        for k in range(2, FEW + 1):
+            members = which[begin[n == k][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            codes.append(np.unique(members[:, i] * len(classes) + members[:, j]))
+        a, b = np.divmod(np.unique(np.concatenate(codes)), len(classes))
+        passed, found = may_pair(raw, a, b, t), Union(len(classes))
+        for x, y in zip(a[passed].tolist(), b[passed].tolist(), strict=True):
+            found.join(x, y)
+        seen = set()
+        for s in np.flatnonzero(n > FEW).tolist():
+            own = which[begin[s] : begin[s] + n[s]]
+            key, at = own.tobytes(), own.tolist()
+            if key in seen or len({found.root(x) for x in at}) == 1:  # near copies share many slabs
                 continue
             seen.add(key)
-            points = [unpacked(body[k]) for k in at]
-            found = may_link(points, np.array([int(p.sum(dtype=np.int64)) for p in points]), t)
-            for k in range(len(at)):
-                if (r := found.root(k)) != k:
-                    out.add((int(c[at[r]]), int(c[at[k]])))
-        a, b = ([x[i] for x in out] for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            points = [unpacked(raw[x]) for x in at]
+            near = may_link(points, np.array([int(p.sum(dtype=np.int64)) for p in points]), t)
+            for k, x in enumerate(at):
+                found.join(at[near.root(k)], x)
+        roots = np.array([found.root(k) for k in range(len(classes))])
+        moved = np.flatnonzero(roots != np.arange(len(classes)))
+        yield pa.RecordBatch.from_arrays([pa.array(classes[roots[moved]]), pa.array(classes[moved])], names=["a", "b"])
 
     return run
 

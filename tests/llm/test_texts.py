@@ -537,3 +537,31 @@ def test_ways_of_a_tree():
             high, begin, low, low_begin = where[i].tolist()
             assert codes[0][begin : begin + high].tolist() + codes[1][low_begin : low_begin + low].tolist() == want
             assert all(c < 2 * top for c in want[:high]) and all(c >= 2 * top for c in want[high:])
+
+
+def test_slabs_of_a_few_need_no_tree(monkeypatch):
+    import pyarrow as pa
+
+    from codestrata.llm import ngram_join as J
+
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64)) for n in (9, 40, 300, 4000, 270)]
+    sets = [np.concatenate([s, rng.integers(1, 1 << 62, extra, dtype=np.uint64)]) for s in base for extra in (0, 1, len(s) // 9, len(s) // 5, len(s))]
+    packed = [J.packed(J.point(s)) for s in sets]
+    rows = [(h, k) for h in range(60) for k in rng.choice(len(sets), rng.integers(2, 7), replace=False).tolist()]
+    rows += [(100 + h, k) for h in range(5) for k in range(5 * h, 5 * h + 5)]
+    want = J.Union(len(sets))
+    for h in {h for h, _ in rows}:
+        at = [k for g, k in rows if g == h]
+        for i in at:
+            for j in at:
+                if i < j and J.may_link([J.unpacked(packed[k]) for k in (i, j)], np.array([len(sets[k]) for k in (i, j)]), 75).root(1) == 0:
+                    want.join(i, j)
+    monkeypatch.setattr(J, "may_link", lambda *_: pytest.fail("a tree for a few points"))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([packed[r[1]] for r in rows], pa.binary())], names=["h", "class", "body"])
+    got = J.Union(len(sets))
+    for b in J._trees(75)(iter([batch])):
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            got.join(x, y)
+    assert [got.root(k) for k in range(len(sets))] == [want.root(k) for k in range(len(sets))]
+    assert len({want.root(k) for k in range(len(sets))}) < len(sets)
