@@ -218,3 +218,27 @@ def test_traits_of_cycles_are_counted_once_a_component(spark):
     want = Counter(c for c, seen in reach.items() for t, _ in methods if t in seen)
     uses, offered = spark.createDataFrame(edges, "class long, trait long").coalesce(1), spark.createDataFrame(methods + methods[:2], "trait long, method string").coalesce(1)
     assert {(r["class"], r["targets"]) for r in A.trait_target_counts(uses, offered).collect()} == set(want.items())
+
+
+def test_trait_counts_are_counts_of_target_rows(spark, monkeypatch):
+    uses, methods = spark.createDataFrame([("C", "T")], "class string, trait string"), spark.createDataFrame([("T", "m")], "trait string, method string")
+    rows = spark.createDataFrame([("C", "m", "T"), ("C", "n", "T"), ("D", "m", "T")], "class string, method string, trait string")
+    monkeypatch.setattr(A, "trait_targets", lambda *_: rows)
+    assert {tuple(r) for r in A.trait_target_counts(uses, methods).collect()} == {("C", 2), ("D", 1)}
+
+
+def test_trait_targets_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(A, "CLASS_TILE", 3)
+    monkeypatch.setattr(A, "METHOD_TILE", 2)
+    uses = [(k, (k + 1) % 8) for k in range(8)] + [(k, 100 + k % 5) for k in range(8)] + [(None, 3), (None, 200), (50, 100), (100, 50), (60, None)]
+    methods = [(t, m) for t in (0, 3, 100, 101, 102, 103, 104, 200, None) for m in ("m", "n", None)]
+    got = [tuple(r) for r in A.trait_targets(spark.createDataFrame(uses, "class long, trait long").coalesce(1), spark.createDataFrame(methods * 2, "trait long, method string").coalesce(1)).collect()]
+    want = set()
+    for c in {a for a, _ in uses}:
+        seen, todo = set(), {b for a, b in uses if a == c}
+        while todo:
+            x = todo.pop()
+            seen.add(x)
+            todo |= {b for a, b in uses if a == x and a is not None} - seen
+        want |= {(c, m, t) for t, m in methods if t in seen and t is not None}
+    assert len(got) == len(want) and set(got) == want
