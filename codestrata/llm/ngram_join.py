@@ -23,7 +23,7 @@ texts last; it is an order whatever the counts, so counting by sample windows co
    classes are marked in a bit table likewise.
 5. ``_solve``: a block's sets, made once more from the texts, meet once. An R-tree over them, then verification,
    nearest first, skipping pairs that are connected already. A block beyond ``TILE`` sets is solved in tiles, then among one set of each tile
-   group, ``PART`` of them at a time, then each ``PART`` of what is still apart is checked against every tile, so that no task holds a hot block.
+   group, ``PART`` of them at a time, then each ``PART`` of what is still apart is checked against ``SPAN`` tiles at a time, so that no task holds a hot block.
 
 Rows that move: a quarter of all shingles at 16 bytes in step 2, the points of texts that share a rare
 shingle, and the sets of texts in blocks. Hashing a text again costs less than moving its set. No pair is emitted before it is verified, and of a hot group not all pairs are.
@@ -56,6 +56,10 @@ BLOCK_BITS = 1 << 20
 TILE = 96
 PART = 16 * TILE
 LEAF = 8
+#: Tiles that a part of what is still apart meets at once.
+SPAN = 4
+#: Most bytes of the bit rows by which sets that meet are verified.
+ROWS_BYTES = 64 << 20
 #: Points of a slab up to which its pairs are told without a tree.
 FEW = 16
 
@@ -127,13 +131,18 @@ class RTree:
         order = at[np.lexsort((n, own[:, d]))]
         return (*head, (self._node(order[: len(at) // 2]), self._node(order[len(at) // 2 :])))
 
-    def pairs(self, t: int):
-        """(i array, j array, bound array) of pairs that may link, leaf pair by leaf pair."""
+    def pairs(self, t: int, label: np.ndarray | None = None, probes: np.ndarray | None = None, met: np.ndarray | None = None):
+        """(i array, j array, bound array) of pairs that may link, leaf pair by leaf pair. ``label``, which the caller may change
+        meanwhile: nodes whose points all have one label are passed by. ``probes`` and ``met``: only pairs of one with the other."""
         stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()
             if 100 * a[2] < t * b[1] or 100 * b[2] < t * a[1]:
                 continue
+            if label is not None and (label[a[3]] == label[b[3][0]]).all() and (label[b[3]] == label[a[3][0]]).all():
+                continue
+            if probes is not None and not (probes[a[3]].any() and met[b[3]].any() or met[a[3]].any() and probes[b[3]].any()):
+                continue
             if a is not b and (100 + t) * int(np.minimum(a[0], b[0]).sum(dtype=np.int64)) < t * (a[1] + b[1]):
                 continue
             if a[4] is None and b[4] is None:
@@ -142,6 +151,10 @@ class RTree:
                     i, j = i[i < j], j[i < j]
                 small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
                 ok = 100 * small >= t * large
+                if label is not None:
+                    ok &= label[i] != label[j]
+                if probes is not None:
+                    ok &= probes[i] & met[j] | met[i] & probes[j]
                 i, j = i[ok], j[ok]
                 if len(i):
                     bound = np.minimum(self.points[i], self.points[j]).sum(1, dtype=np.int64)
@@ -166,38 +179,69 @@ def may_link(points: list[np.ndarray], sizes: np.ndarray, t: int) -> Union:
         # sets of the next size class meet this one only near its upper end; other classes are too far in size
         at = np.flatnonzero((dims == d) | (dims > d) & (t * sizes <= 100 * sizes[dims == d].max()))
         if len(at) > 1:
-            for i, j, _ in RTree(np.stack([fold(points[k], int(d)) for k in at]), sizes[at]).pairs(t):
+            own = label[at]
+            for i, j, _ in RTree(np.stack([fold(points[k], int(d)) for k in at]), sizes[at]).pairs(t, own):
                 while len(i):  # most pairs of near copies are together already
-                    x, y = label[at[i]], label[at[j]]
+                    x, y = own[i], own[j]
                     apart = x != y
                     i, j = i[apart], j[apart]
                     if len(i):
                         x, y = int(x[apart][0]), int(y[apart][0])
                         found.join(x, y)
-                        label[label == max(x, y)] = min(x, y)
+                        own[own == max(x, y)] = min(x, y)
+            label = np.array([found.root(k) for k in range(len(points))])
     return found
 
 
-def links(sets: list[np.ndarray], t: int, known: list[int] | None = None, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
+class Overlaps:
+    """Shingles that pairs of sets share. Those that several sets have are bits of a row for each set, if all rows together take
+    no more than ``ROWS_BYTES``; else, and for a few sets, each pair of sets is intersected."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.rows = sets, None
+        if len(sets) > FEW:
+            values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            place = np.cumsum(times > 1) - 1
+            words = -(-max(1, int((times > 1).sum())) // 64)
+            if words * 8 * len(sets) <= ROWS_BYTES:
+                who, shared = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), times[at] > 1
+                who, bit = who[shared], place[at[shared]]
+                self.rows = np.zeros((len(sets), words), np.uint64)
+                np.add.at(self.rows.reshape(-1), who * words + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))  # no bit comes twice
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.rows is not None:
+            return np.bitwise_count(self.rows[i] & self.rows[j]).sum(1, dtype=np.int64)
+        return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+
+
+def links(sets: list[np.ndarray], t: int, known: list[int] | None = None, probes: np.ndarray | None = None, met: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Verified links that connect what is linked; of pairs connected already none. ``known``: groups
-    connected before. ``probes``: only pairs with one of these."""
+    connected before. ``probes``: only pairs of one of these with one of ``met`` (None: any)."""
     sizes = np.array([len(s) for s in sets])
-    found, out = Union(len(sets)), []
+    label, out = np.arange(len(sets)), []
     if known is not None:
         first: dict[int, int] = {}
-        for i, g in enumerate(known):
-            found.join(first.setdefault(g, i), i)
+        label = np.array([first.setdefault(g, i) for i, g in enumerate(known)])
+    if probes is not None and met is None:
+        met = np.ones(len(sets), bool)
     bits = max(5, min(10, int(np.ceil(np.log2(max(1, sizes.max()) / 8)))))
     points = np.stack([np.bincount(groups(s, bits), minlength=1 << bits) for s in sets]).astype(np.uint32)
-    for i, j, bound in RTree(points, sizes).pairs(t):
-        for k in np.argsort(-bound, kind="stable").tolist():
-            x, y = int(i[k]), int(j[k])
-            if probes is not None and not (probes[x] or probes[y]) or found.root(x) == found.root(y):
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if (100 + t) * both >= t * (len(sets[x]) + len(sets[y])):
-                found.join(x, y)
-                out.append((x, y))
+    shared = Overlaps(sets)
+    for i, j, bound in RTree(points, sizes).pairs(t, label, probes, met):
+        nearest = np.argsort(-bound, kind="stable")
+        i, j = i[nearest], j[nearest]
+        step = 1 if shared.rows is None else len(i)
+        while len(i):
+            x, y = i[:step], j[:step]
+            ok = (100 + t) * shared.of(x, y) >= t * (sizes[x] + sizes[y])
+            for x, y in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if label[x] != label[y]:
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
+                    out.append((x, y))
+            i, j = i[step:], j[step:]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
     return out
 
 
@@ -457,18 +501,21 @@ EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _solve(t: int):
-    """Links inside each (block, tile) of a bucket; with ``known`` labels and ``probe`` flags, only what is
-    still apart and touches a probe."""
+    """Links inside each (block, tile) of a bucket; with ``known`` labels, ``probe`` and ``met`` flags, only what is
+    still apart and is a probe and one that it meets."""
 
     def run(rows: pa.Table) -> pa.Table:
         block, tile, cls = (rows.column(x).to_numpy() for x in ("block", "tile", "class"))
-        known, probe, body = rows.column("known").to_numpy(), rows.column("probe").to_numpy(zero_copy_only=False), rows.column("body").to_pylist()
+        known, body = rows.column("known").to_numpy(), rows.column("body").to_pylist()
+        probe, met = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("probe", "met"))
         order = np.lexsort((cls, ~probe, tile, block))
         out = []
         for at in np.split(order, np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(tile[order]) != 0)) + 1):
-            once = {int(cls[k]): k for k in reversed(at.tolist())}  # a set met twice: the probe stands
+            once = {int(cls[k]): k for k in reversed(at.tolist())}  # a set may be a probe and met, in two rows
+            asked, seen = set(cls[at[probe[at]]].tolist()), set(cls[at[met[at]]].tolist())
+            flags = [np.array([c in x for c in once]) for x in (asked, seen)]
             at = [*once.values()]
-            for i, j in links([np.frombuffer(body[k], np.uint64) for k in at], t, [int(known[k]) for k in at], probe[at]) if len(at) > 1 else ():
+            for i, j in links([np.frombuffer(body[k], np.uint64) for k in at], t, [int(known[k]) for k in at], *flags) if len(at) > 1 else ():
                 out.append((int(cls[at[i]]), int(cls[at[j]])))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=EDGE)
 
@@ -507,22 +554,22 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     wanted = bit_table(blocks.select("class").mapInArrow(_marked(CLASS_BITS), "block int, bit int"), CLASS_BITS)
     sets = texts.select("bytes").mapInArrow(_sets(wanted), "class long, body binary")
     held = materialize(
-        sets.join(placed, "class").select("block", "tile", "tiles", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe")), "blocks"
+        sets.join(placed, "class").select("block", "tile", "tiles", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe"), F.lit(True).alias("met")), "blocks"
     )
     wanted.unpersist()
     count = size.agg(F.coalesce(F.sum("tiles"), F.lit(0))).collect()[0][0]
     buckets = max(8, int(count) // 64)
-    shape = ["block", "tile", "class", "body", "known", "probe"]
+    shape = ["block", "tile", "class", "body", "known", "probe", "met"]
     first = materialize(solved(held.select(*shape), t, buckets), "links")
 
-    tiled = held.where("tiles > 1").drop("known", "probe")
+    tiled = held.where("tiles > 1").drop("known", "probe", "met")
     if not tiled.limit(1).count():
         return marks.where("kind = 0").drop("kind"), first
     label = components(first)
     named = tiled.join(label, tiled["class"] == label["node"], "left").select(*tiled.columns, F.coalesce("label", "class").alias("known"))
     leaders = named.where("known = class").drop("known", "tile", "tiles")
     leaders = leaders.join(parted(leaders), "block").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    leaders = leaders.select("block", "tile", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe"))
+    leaders = leaders.select("block", "tile", "class", "body", F.col("class").alias("known"), F.lit(True).alias("probe"), F.lit(True).alias("met"))
     second = materialize(first.unionByName(solved(leaders, t, buckets)), "links")
 
     label = components(second)
@@ -532,11 +579,12 @@ def similar_classes(docs: DataFrame, text_col: str = "text", t: int = THRESHOLD,
     named = materialize(named.join(largest, "block").withColumn("probe", F.col("known") != F.col("main")).drop("main"), "named")
     apart = named.where("probe")
     apart = apart.join(parted(apart), "block").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
-    place = (F.col("tile") * F.col("parts") + F.col("part")).alias("tile")  # a tile's sets and a part of what is apart
-    asked = apart.drop("tile").withColumn("tile", F.explode(every("tiles")))
-    met = named.join(apart.select("block", "parts").distinct(), "block").withColumn("part", F.explode(every("parts"))).withColumn("probe", F.lit(False))
-    shape_ = ["block", place, "class", "body", "known", "probe"]
+    every = lambda n: F.sequence(F.lit(0), (F.col(n) if isinstance(n, str) else n).cast("int") - 1)
+    place = (F.col("tile") * F.col("parts") + F.col("part")).alias("tile")  # a span of tiles' sets and a part of what is apart
+    asked = apart.drop("tile").withColumn("tile", F.explode(every(F.ceil(F.col("tiles") / SPAN)))).withColumn("met", F.lit(False))
+    met = named.withColumn("tile", F.floor(F.col("tile") / SPAN).cast("int")).join(apart.select("block", "parts").distinct(), "block")
+    met = met.withColumn("part", F.explode(every("parts"))).withColumn("probe", F.lit(False)).withColumn("met", F.lit(True))
+    shape_ = ["block", place, "class", "body", "known", "probe", "met"]
     third = solved(asked.select(*shape_).unionByName(met.select(*shape_)), t, buckets)
     return marks.where("kind = 0").drop("kind"), materialize(second.unionByName(third), "links")
 

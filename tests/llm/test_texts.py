@@ -98,6 +98,58 @@ def test_ngram_join_large_block(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(components(df.collect()))
 
 
+def mutants(n, seed=5):
+    """Sets of which each keeps most of one base, so that about half of them link with no other."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    return [np.unique(np.concatenate([rng.permutation(base)[: 300 - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in rng.integers(0, 80, n).tolist()]
+
+
+def test_probes_are_verified_against_what_they_meet_alone(monkeypatch):
+    """Probes of a part come to every span of tiles; pairs among them are told where one of them is met."""
+    sets, told = mutants(90), set()
+    probes, met = np.arange(90) < 60, np.arange(90) >= 50
+    of = ngram_join.Overlaps.of
+    monkeypatch.setattr(ngram_join.Overlaps, "of", lambda self, i, j: told.update(zip(i.tolist(), j.tolist(), strict=True)) or of(self, i, j))
+    found = ngram_join.links(sets, 75, None, probes, met)
+    assert told and all(probes[i] and met[j] or met[i] and probes[j] for i, j in told)
+    up = ngram_join.Union(90)
+    for i, j in found:
+        up.join(i, j)
+    want = ngram_join.Union(90)
+    for i in range(90):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if (probes[i] and met[j] or met[i] and probes[j]) and 175 * k >= 75 * (len(sets[i]) + len(sets[j])):
+                want.join(i, j)
+    assert [up.root(i) for i in range(90)] == [want.root(i) for i in range(90)]
+
+
+def test_overlaps_by_bits_equal_intersections(monkeypatch):
+    sets = mutants(40)
+    i, j = np.triu_indices(40, 1)
+    bits = ngram_join.Overlaps(sets)
+    monkeypatch.setattr(ngram_join, "ROWS_BYTES", 0)
+    plain = ngram_join.Overlaps(sets)
+    assert bits.rows is not None and plain.rows is None
+    assert bits.of(i, j).tolist() == plain.of(i, j).tolist()
+    assert len(ngram_join.links(sets, 75)) > 10
+
+
+def test_a_slab_of_near_copies_is_not_all_pairs(monkeypatch):
+    points, seen = [ngram_join.point(s) for s in mutants(600)], []
+    pairs = ngram_join.RTree.pairs
+
+    def counted(*args):
+        for x in pairs(*args):
+            seen.append(len(x[0]))
+            yield x
+
+    monkeypatch.setattr(ngram_join.RTree, "pairs", counted)
+    found = ngram_join.may_link(points, np.array([300] * 600), 75)
+    assert len({found.root(k) for k in range(600)}) < 300 and sum(seen) < 600 * 600 // 8
+
+
 def test_ngram_join_partner_beyond_a_neighbour(spark):
     """In the slabs that A shares with B1 and B2 only A is at home, and between A and B2 stands B1, which does not link with B2."""
     a = [f"w{i}" for i in range(129)]
